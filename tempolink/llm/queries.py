@@ -2,10 +2,14 @@
 
 from __future__ import annotations
 
+from .fingerprints import op3_fingerprints
 from .packing import op4_packing
+from .secrets import op6_secrets
 
 QUERIES = {
+    "op3_fingerprints": op3_fingerprints,
     "op4_packing": op4_packing,
+    "op6_secrets": op6_secrets,
 }
 
 ORACLE_SQL: dict[str, str] = {}

@@ -181,7 +181,7 @@ def shingle_sets(data: np.ndarray, offs: np.ndarray):
             np.not_equal(v[1:], v[:-1], out=keep[1:])
             v = v[keep]
         elif b > a:
-            v = mix(np.array([(words[a:b] * _SHINGLE[: b - a]).sum() + _SHORT[b - a]], dtype=np.uint64))
+            v = mix((words[a:b] * _SHINGLE[: b - a]).sum(keepdims=True) + _SHORT[b - a : b - a + 1])
         else:
             continue
         out.append(v)
