@@ -1,0 +1,55 @@
+"""Connected components of an edge table, in rounds of joins.
+
+Each round hooks every vertex to its smallest neighbour, follows the pointers a
+few steps, and contracts the edges to what still differs.  Aggregates are
+partial before they shuffle, so a vertex with very many edges is no burden, and
+every round's tables go to the shared folder.
+"""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+from .shared import Scratch
+
+JUMPS = 2
+
+
+def components(edges: DataFrame, scratch: Scratch, most_rounds: int = 60) -> DataFrame:
+    """(vertex, component): the smallest vertex that each vertex of an edge can reach.
+
+    ``edges`` has long columns ``u`` and ``v``; self-links and repeats do no
+    harm.  Vertices without edges aren't returned; the edges must have no nulls.
+    """
+    labels: DataFrame | None = None
+    edges = scratch.keep(edges.where("u <> v").select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v")).distinct())
+    for _ in range(most_rounds):
+        if edges.isEmpty():
+            break
+        ends = edges.select(F.explode(F.array(F.struct("u", F.col("u").alias("p")), F.struct(F.col("v").alias("u"), F.col("u").alias("p")))).alias("e"))
+        parents = scratch.keep(ends.groupBy("e.u").agg(F.min("e.p").alias("p")))
+        for _ in range(JUMPS):
+            up = parents.select(F.col("u").alias("p"), F.col("p").alias("pp"))
+            jumped = scratch.keep(parents.join(up, "p").select("u", F.col("pp").alias("p")))
+            scratch.drop(parents)
+            parents = jumped
+        if labels is None:
+            new = parents.select(F.col("u").alias("vertex"), F.col("p").alias("component"))
+        else:
+            step = parents.select(F.col("u").alias("component"), "p")
+            new = labels.join(step, "component", "left").select("vertex", F.coalesce("p", "component").alias("component"))
+        kept = scratch.keep(new)
+        if labels is not None:
+            scratch.drop(labels)
+        labels = kept
+        a, b = parents.select("u", F.col("p").alias("a")), parents.select(F.col("u").alias("v"), F.col("p").alias("b"))
+        ab = edges.join(a, "u").join(b, "v").where("a <> b").select(F.least("a", "b").alias("u"), F.greatest("a", "b").alias("v")).distinct()
+        contracted = scratch.keep(ab)
+        scratch.drop(edges, parents)
+        edges = contracted
+    else:
+        raise RuntimeError(f"components not settled after {most_rounds} rounds")
+    if labels is None:
+        labels = scratch.keep(edges.select(F.col("u").alias("vertex"), F.col("v").alias("component")))
+    return labels

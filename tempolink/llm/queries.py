@@ -3,10 +3,12 @@
 from __future__ import annotations
 
 from .fingerprints import op3_fingerprints
+from .neardup import op1_neardup
 from .packing import op4_packing
 from .secrets import op6_secrets
 
 QUERIES = {
+    "op1_neardup": op1_neardup,
     "op3_fingerprints": op3_fingerprints,
     "op4_packing": op4_packing,
     "op6_secrets": op6_secrets,
