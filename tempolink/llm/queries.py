@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from .embeddings import op2_embeddings
 from .fingerprints import op3_fingerprints
 from .neardup import op1_neardup
 from .packing import op4_packing
@@ -9,6 +10,7 @@ from .secrets import op6_secrets
 
 QUERIES = {
     "op1_neardup": op1_neardup,
+    "op2_embeddings": op2_embeddings,
     "op3_fingerprints": op3_fingerprints,
     "op4_packing": op4_packing,
     "op6_secrets": op6_secrets,
