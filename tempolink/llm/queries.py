@@ -4,16 +4,26 @@ from __future__ import annotations
 
 from .embeddings import op2_embeddings
 from .fingerprints import op3_fingerprints
+from . import mixing, warc
+from .licenses import op8_licenses
+from .mixing import op9_mixing
 from .neardup import op1_neardup
 from .packing import op4_packing
 from .secrets import op6_secrets
+from .warc import op5_warc
 
 QUERIES = {
     "op1_neardup": op1_neardup,
     "op2_embeddings": op2_embeddings,
     "op3_fingerprints": op3_fingerprints,
     "op4_packing": op4_packing,
+    "op5_warc": op5_warc,
     "op6_secrets": op6_secrets,
+    "op8_licenses": op8_licenses,
+    "op9_mixing": op9_mixing,
 }
 
-ORACLE_SQL: dict[str, str] = {}
+ORACLE_SQL: dict[str, str] = {
+    "op5_warc": warc.SQL,
+    "op9_mixing": mixing.SQL,
+}
