@@ -9,7 +9,9 @@ from .licenses import op8_licenses
 from .mixing import op9_mixing
 from .neardup import op1_neardup
 from .packing import op4_packing
+from .quality import op10_quality
 from .secrets import op6_secrets
+from .toxicity import op7_toxicity
 from .warc import op5_warc
 
 QUERIES = {
@@ -19,8 +21,10 @@ QUERIES = {
     "op4_packing": op4_packing,
     "op5_warc": op5_warc,
     "op6_secrets": op6_secrets,
+    "op7_toxicity": op7_toxicity,
     "op8_licenses": op8_licenses,
     "op9_mixing": op9_mixing,
+    "op10_quality": op10_quality,
 }
 
 ORACLE_SQL: dict[str, str] = {
