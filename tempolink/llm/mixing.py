@@ -89,11 +89,14 @@ def mix(docs: DataFrame, weights: dict = WEIGHTS, share: float = SHARE, epochs:
     """The chosen rows of docs (with path columns and ``text``), once for each epoch.
 
     Adds ``epoch``, ``n_tokens`` and ``taken``, the tokens that the budget
-    covers: all, or fewer for a leaf's last document.
+    covers: all, or fewer for a leaf's last document.  They replace columns of
+    those names.
     """
     scratch = Scratch(docs.sparkSession, "mixing")
     path = [F.coalesce(F.col(f"_{c}"), F.lit("")).alias(f"_{c}") for c in PATH]
-    rows = docs.select("*", *[F.col(c).cast("string").alias(f"_{c}") for c in PATH])
+    added = ("epoch", "n_tokens", "taken")
+    own = [c for c in docs.columns if c.lower() not in added]
+    rows = docs.select(F.struct(*own).alias("_row"), "doc_id", "text", *[F.col(c).cast("string").alias(f"_{c}") for c in PATH])
     rows = rows.withColumn("_n", token_count(F.col("text").cast("string")))
     rows = rows.withColumn("_epoch", F.explode(F.array(*map(F.lit, range(epochs)))))
     key = F.md5(F.concat_ws(":", F.lit(seed), F.col("_epoch").cast("string"), F.coalesce(F.col("doc_id").cast("string"), F.lit(""))))
@@ -117,7 +120,7 @@ def mix(docs: DataFrame, weights: dict = WEIGHTS, share: float = SHARE, epochs:
     last = last.withColumn("_start", F.col("_before") + F.sum("_n").over(order) - F.col("_n")).where("_start < budget")
     last = last.withColumn("taken", F.least("_n", F.col("budget") - F.col("_start")))
     out = whole.unionByName(last.drop("_start"))
-    return out.select(*docs.columns, F.col("_epoch").alias("epoch"), F.col("_n").alias("n_tokens"), "taken")
+    return out.select("_row.*", F.col("_epoch").alias("epoch"), F.col("_n").alias("n_tokens"), "taken")
 
 
 def op9_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -307,5 +307,23 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     return out.withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)))
 
 
+def drop_copies(docs: DataFrame) -> DataFrame:
+    """The rows, all columns, that stay: one of each group of near duplicates.
+
+    Of rows that share a doc_id one stays; rows without doc_id all stay.
+    """
+    scratch = Scratch(docs.sparkSession, "dropcopies")
+    found = scratch.keep(near_duplicates(docs).select("doc_id", "kept"))
+    gone = scratch.keep(found.where("not kept").select(F.col("doc_id").alias("_gone")).distinct())
+    few = gone.count() <= SEND
+    ids = F.col("doc_id").cast("long")
+    rest = docs.join(F.broadcast(gone) if few else gone, ids == F.col("_gone"), "left_anti")
+    repeated = scratch.keep(found.where("kept and doc_id is not null").groupBy("doc_id").count().where("count > 1").select(F.col("doc_id").alias("_again")))
+    if repeated.isEmpty():
+        return rest
+    once = rest.join(repeated, ids == F.col("_again"), "left_anti")
+    return once.unionByName(rest.join(repeated, ids == F.col("_again"), "left_semi").dropDuplicates(["doc_id"]))
+
+
 def op1_neardup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(spark.read.parquet(f"{sf_dir}/documents.parquet"))

@@ -28,6 +28,8 @@ PASSAGE = 64
 HASHED = 16
 HIDDEN = 24
 GATE = 12
+#: Documents below this score are of low quality.
+GOOD = 0.3
 
 #: Kinds of bytes whose shares describe a passage.
 _KIND = np.full(256, 1, dtype=np.int64)
@@ -163,30 +165,41 @@ def train(rows: list[tuple[str, int]], share: float, epochs: int = 60, batch: in
     return net
 
 
+def _scored(texts: pa.Array, model: Network | float) -> list[np.ndarray]:
+    """Each text's score, passages, and greatest weight of one passage."""
+    found = [(np.zeros(0), np.zeros(0, np.int64), np.zeros(0))]
+    for _, data, offs in text_slices(texts):
+        x, row = passages(data, offs)
+        n = np.diff(row)
+        if isinstance(model, float):
+            found.append((np.full(len(n), model), n, 1 / n))
+        else:
+            score, kept = model.forward(x, row)
+            found.append((score, n, np.maximum.reduceat(kept["a"], row[:-1])))
+    return [np.concatenate(c) for c in zip(*found)]
+
+
 def score_documents(docs: DataFrame, model: Network | float) -> DataFrame:
     """(doc_id, score, n_passages, attention): attention is the greatest weight of one passage."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            scores, counts, most = [], [], []
-            for _, data, offs in text_slices(batch.column(1)):
-                x, row = passages(data, offs)
-                counts.append(np.diff(row))
-                if isinstance(model, float):
-                    scores.append(np.full(len(offs) - 1, model))
-                    most.append(1 / counts[-1])
-                else:
-                    s, kept = model.forward(x, row)
-                    scores.append(s)
-                    most.append(np.maximum.reduceat(kept["a"], row[:-1]))
-            if scores:
-                yield pa.RecordBatch.from_arrays([batch.column(0), *[pa.array(np.concatenate(c)) for c in (scores, counts, most)]], names=["doc_id", "score", "n_passages", "attention"])
+            found = [pa.array(c) for c in _scored(batch.column(1), model)]
+            yield pa.RecordBatch.from_arrays([batch.column(0), *found], names=["doc_id", "score", "n_passages", "attention"])
 
     return pick(docs, doc_id="long", text="string").mapInArrow(run, "doc_id long, score double, n_passages long, attention double")
 
 
-#: Documents below this score are of low quality.
-GOOD = 0.3
+
+def keep_good(docs: DataFrame, model: Network | float) -> DataFrame:
+    """The rows, all columns, whose ``text`` isn't of low quality."""
+    at = docs.columns.index("text")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            yield batch.filter(pa.array(_scored(batch.column(at).cast(pa.string()), model)[0] >= GOOD))
+
+    return docs.mapInArrow(run, docs.schema)
 
 
 def fit(docs: DataFrame, labels: DataFrame) -> Network | float:

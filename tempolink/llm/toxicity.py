@@ -34,9 +34,6 @@ PREFIXES = range(3, 11)
 SUFFIXES = range(3, 6)
 N_FEATURES = 1 + len(PREFIXES) + len(SUFFIXES)
 SLOTS = 1 << 20
-#: Least G-squared of a feature that marks toxic tokens (p below one in a million).
-G2 = 25.0
-
 _BREAK = np.zeros(256, dtype=bool)
 _BREAK[[10, 33, 46, 63]] = True
 
@@ -177,7 +174,9 @@ def _token_labels(tokens: Tokens, toxic: np.ndarray) -> np.ndarray:
     seen = pos + neg
     with np.errstate(divide="ignore", invalid="ignore"):
         g2 = 2 * (pos * np.log(pos / (seen * share)) + np.where(neg > 0, neg * np.log(neg / (seen * (1 - share))), 0))
-        marked = (g2 > G2) & (pos / p > 6 * neg / q)
+        # a chance of one false mark among all features seen twice (the tail of chi-squared)
+        least = 2 * np.log(max(100, (seen > 1).sum())) - 3.6
+        marked = (g2 > least) & (pos / p > 6 * neg / q)
     marked[0] = False
     tied = marked[tokens.slots % SLOTS].any(axis=1)
     return (tied[tokens.word] & (toxic[doc] == 1)).astype(np.int64)
