@@ -27,8 +27,9 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .components import components
-from .shared import Scratch, pick
+from ..operators.components import components
+from ..sources.scratch import Scratch
+from .shared import pick
 
 THRESHOLD = 0.93
 RECALL = 0.999

@@ -27,8 +27,9 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .components import components
-from .shared import Scratch, mix, pick, shingle_sets, text_slices
+from ..operators.components import components
+from ..sources.scratch import Scratch
+from .shared import mix, pick, shingle_sets, text_slices
 
 WIDTH = 128
 TREES = 12

@@ -1,62 +1,13 @@
-"""Shared-storage and text helpers used by several operators."""
+"""Text helpers used by several operators."""
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that all executors share, as ``spark.checkpoint.dir`` names it.
-
-    Only a local session (as in tests) may leave it unset; it then gets a
-    temporary folder of its own.
-    """
-    folder = spark.conf.get("spark.checkpoint.dir", None)
-    if folder:
-        return folder.rstrip("/")
-    jvm_dir = spark.sparkContext._jsc.sc().getCheckpointDir()
-    if jvm_dir.isDefined():
-        return jvm_dir.get().rstrip("/")
-    if not spark.sparkContext.master.startswith("local"):
-        raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
-    folder = tempfile.mkdtemp(prefix="tempolink-")
-    spark.sparkContext.setCheckpointDir(folder)
-    return folder
-
-
-class Scratch:
-    """Tables of one job in the shared folder.
-
-    ``keep`` writes a DataFrame and reads it back, which cuts its lineage and
-    survives the loss of executors.  ``drop`` frees a table that no later step
-    reads.
-    """
-
-    def __init__(self, spark: SparkSession, name: str):
-        self.spark = spark
-        self.root = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
-        self.n = 0
-
-    def keep(self, df: DataFrame) -> DataFrame:
-        self.n += 1
-        path = f"{self.root}/{self.n:03d}"
-        df.write.option("compression", "zstd").parquet(path)
-        kept = self.spark.read.schema(df.schema).parquet(path)
-        kept._scratch_path = path
-        return kept
-
-    def drop(self, *frames: DataFrame) -> None:
-        for df in frames:
-            path = self.spark._jvm.org.apache.hadoop.fs.Path(df._scratch_path)
-            path.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(path, True)
-
-
 def pick(df: DataFrame, **columns: str) -> DataFrame:
     """Only the named columns, cast: ``pick(docs, doc_id="long", text="string")``.
 
