@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tempolink.llm import mixing, neardup, packing, quality, secrets
-from tempolink.llm.shared import Scratch
+from tempolink.sources.scratch import Scratch
 
 #: The mix takes this share of the tokens, each document at most once.
 SHARE = 0.9
