@@ -3,14 +3,17 @@
 Every text becomes its set of five-word shingles and ``WIDTH`` minwise tokens.
 Equal sets are one from here on.  A forest of ``TREES`` independent trees
 branches the sets by selected tokens: sets that agree on a node's tokens meet in
-that node.  Nodes of up to ``LEAF`` sets are compared exhaustively.  A larger
-node first compares its sets with a few pivots, and branches on unless all its
-sets are linked by then.  What is still large at ``DEPTH`` is compared in blocks,
-so nothing is dropped.  Candidates that the tokens let pass are confirmed on
-the full sets, and the links' connected components give the classes.
+that node.  Nodes of up to ``LEAF`` sets are compared exhaustively.  In a larger
+node every set first meets the closest of a few pivots; the node branches on
+unless all its sets are joined by then.  What is still large at ``DEPTH`` is
+compared in blocks, so nothing is dropped.  Sets that confirmed links already
+join aren't compared again, so a large family of copies costs few pairs.
+Candidates that the tokens let pass are confirmed on the full sets, and the
+links' connected components give the classes.
 
 A pair at the threshold is missed by a tree's first level with probability 1/16,
-by all twelve with 4e-15; through six levels of large nodes by about 2e-5.
+by all twelve with 4e-15; through four levels of large nodes by less than 1e-6.
+The byte test passes over 1 in 10,000 pairs right at the threshold.
 
 Defined cases: a null or empty text, or one without words, has no shingles and
 links with nothing; rows of one doc_id are one vertex, and each row is returned;
@@ -35,10 +38,11 @@ WIDTH = 128
 TREES = 12
 BRANCHES = 2
 LEAF = 16
-DEPTH = 10
+DEPTH = 4
+PIVOTS = 4
 BLOCK = 64
-#: Of 128 token bytes that must agree: four standard errors below 0.75.
-AGREE = 76
+#: Of 128 token bytes that must agree: 3.7 standard errors below 0.75.
+AGREE = 78
 
 _rng = np.random.default_rng(77)
 _MUL = _rng.integers(1, 2**63, WIDTH, dtype=np.uint64) | np.uint64(1)
@@ -135,54 +139,57 @@ def _children(rows: DataFrame) -> DataFrame:
     return rows.select("node", "id", "tokens").mapInArrow(run, "node long, id long")
 
 
-_SET = "struct<id: long, n: long, brief: binary>"
+_SET = "struct<id: long, n: long, label: long, brief: binary>"
 
 
 def _compared(groups: DataFrame) -> DataFrame:
-    """(a, b), a < b: pairs that sizes and token bytes let pass.
+    """(a, b), a < b: pairs of different labels that sizes and token bytes let pass.
 
-    A group has ``own`` sets and ``others``, both lists of (id, n, brief, ...);
-    own sets are compared with each other, or, if there are others, with those.
+    A group has ``own`` sets and ``others``, both lists of (id, n, label, brief).
+    Without others its own are compared with each other.  With others, if
+    ``each``, every own set is compared with all of them, else it meets the
+    one of them that it agrees with most.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def unpack(column):
             flat = column.values
-            ends = column.offsets.to_numpy()
-            return ends, flat.field("id").to_numpy(zero_copy_only=False), flat.field("n").to_numpy(zero_copy_only=False), flat.field("brief")
+            fields = [flat.field(k).to_numpy(zero_copy_only=False) for k in ("id", "n", "label")]
+            return column.offsets.to_numpy(), *fields, _matrix(flat.field("brief"), np.uint8) if len(flat) else None
 
         for batch in batches:
             found_a, found_b = [], []
-            for at in range(0, batch.num_rows, 2048):
-                part = batch.slice(at, 2048)
-                own, others = (pa.concat_arrays([c]) for c in part.columns)
-                oe, oid, on, ob = unpack(own)
-                xe, xid, xn, xb = unpack(others)
-                if not len(oid):
+            oe, oid, on, ol, ob = unpack(batch.column(0))
+            xe, xid, xn, xl, xb = unpack(batch.column(1))
+            every = batch.column(2).to_pylist()
+            for g in range(batch.num_rows):
+                i = slice(oe[g], oe[g + 1])
+                within = xe[g + 1] == xe[g]
+                ids, n, label, brief = oid[i], on[i], ol[i], ob[i]
+                j = slice(xe[g], xe[g + 1])
+                jd, jn, jl, jb = (ids, n, label, brief) if within else (xid[j], xn[j], xl[j], xb[j])
+                # sizes first: a similarity of 0.75 needs sizes within it
+                ok = (label[:, None] != jl) & (100 * np.minimum(n[:, None], jn) >= 75 * np.maximum(n[:, None], jn))
+                if within:
+                    ok &= ids[:, None] < jd
+                p, q = np.nonzero(ok)
+                if not len(p):
                     continue
-                ob = _matrix(ob, np.uint8)
-                xb = _matrix(xb, np.uint8) if len(xid) else None
-                for g in range(part.num_rows):
-                    i = slice(oe[g], oe[g + 1])
-                    ids, n, b = oid[i], on[i], ob[i]
-                    if xe[g + 1] > xe[g]:
-                        j = slice(xe[g], xe[g + 1])
-                        jd, jn, jb = xid[j], xn[j], xb[j]
-                    else:
-                        jd, jn, jb = ids, n, b
-                    # sizes first: a similarity of 0.75 needs sizes within it
-                    ok = (100 * np.minimum(n[:, None], jn) >= 75 * np.maximum(n[:, None], jn)) & (ids[:, None] < jd if jd is ids else ids[:, None] != jd)
-                    p, q = np.nonzero(ok)
-                    if not len(p):
-                        continue
-                    ok = (b[p] == jb[q]).sum(axis=1) >= AGREE
-                    found_a.append(ids[p[ok]])
-                    found_b.append(jd[q[ok]])
+                agree = (brief[p] == jb[q]).sum(axis=1)
+                ok = agree >= AGREE
+                if not within and not every[g]:
+                    order = np.lexsort((jd[q], -agree, p))
+                    first = np.zeros(len(p), dtype=bool)
+                    first[order[np.append(True, p[order][1:] != p[order][:-1])]] = True
+                    ok &= first
+                found_a.append(ids[p[ok]])
+                found_b.append(jd[q[ok]])
             if found_a:
                 a, b = np.concatenate(found_a), np.concatenate(found_b)
-                yield pa.RecordBatch.from_arrays([pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b))], names=["a", "b"])
+                pairs = np.unique(np.stack([np.minimum(a, b), np.maximum(a, b)], axis=1), axis=0)
+                yield pa.RecordBatch.from_arrays([pa.array(pairs[:, 0]), pa.array(pairs[:, 1])], names=["a", "b"])
 
-    return groups.select("own", "others").mapInArrow(run, "a long, b long").distinct()
+    return groups.select("own", "others", "each").mapInArrow(run, "a long, b long").distinct()
 
 
 #: Ids up to which the list of wanted documents is sent to every task (16 MB of ids).
@@ -217,49 +224,51 @@ def _sets(column: pa.Array) -> Iterator[np.ndarray]:
             yield values[a:b]
 
 
-def _pivot(seed: int, pick_one) -> Column:
-    return pick_one(F.struct(F.xxhash64("id", "node", F.lit(seed)).alias("h"), "id"))
+def _mixed(rows: DataFrame) -> DataFrame:
+    """The rows (node, id, size, label) of nodes that hold more than one label."""
+    mixed = rows.groupBy("node").agg(F.min("label").alias("x"), F.max("label").alias("y")).where("x <> y").select("node")
+    return rows.join(mixed, "node")
+
+
+def _labelled(rows: DataFrame, labels: DataFrame) -> DataFrame:
+    return rows.join(labels, F.col("id") == F.col("vertex"), "left").select("node", "id", "size", F.coalesce("component", "id").alias("label"))
 
 
 def link(sets: DataFrame, docs: DataFrame, scratch: Scratch) -> list[DataFrame]:
     """Tables of confirmed links (a, b) between the ids of different sets.
 
     ``sets``: kept rows (id, n, tokens).  The links join up all sets that any
-    chain of similar sets joins.
+    chain of similar sets joins; sets that are joined already aren't compared.
     """
     brief = sets.select("id", "n", _brief(F.col("tokens")).alias("brief"))
+    item = F.struct("id", "n", "label", "brief")
+    none = F.array().cast(f"array<{_SET}>")
     nodes = _roots(sets)
     links: list[DataFrame] = []
     tested: DataFrame | None = None
     labels: DataFrame | None = None
     for depth in range(DEPTH + 1):
+        last = depth == DEPTH
         nodes = scratch.keep(nodes)
-        sized = nodes.groupBy("node").agg(F.count("*").alias("size"), _pivot(1, F.min).alias("p1"), _pivot(1, F.max).alias("p2"), _pivot(2, F.min).alias("p3"), _pivot(2, F.max).alias("p4"))
-        sized = scratch.keep(sized.where("size > 1"))
+        # pivots are chosen alike in all nodes, so that pairs of nodes that share sets coincide
+        pivots = [F.min(F.struct(F.xxhash64("id", F.lit(depth), F.lit(i)).alias("h"), "id"))["id"].alias(f"p{i}") for i in range(PIVOTS)]
+        sized = scratch.keep(nodes.groupBy("node").agg(F.count("*").alias("size"), *pivots).where("size > 1"))
         rows = nodes.join(sized.select("node", "size"), "node")
-        if labels is not None:
-            rows = rows.join(labels, F.col("id") == F.col("vertex"), "left").select("node", "id", "size", F.coalesce("component", "id").alias("label"))
-            rows = scratch.keep(rows)
-            mixed = rows.groupBy("node").agg(F.min("label").alias("x"), F.max("label").alias("y")).where("x <> y").select("node")
-            rows = rows.join(mixed, "node").select("node", "id", "size")
-        rows = scratch.keep(rows.select("node", "id", "size"))
-        last = depth == DEPTH
-        n_blocks = F.when(F.col("size") <= LEAF, F.lit(1)).otherwise(F.ceil(F.col("size") / BLOCK)).cast("int")
-        with_brief = rows.withColumn("blocks", n_blocks).withColumn("block", F.pmod(F.xxhash64("id", "node"), F.col("blocks")).cast("int")).join(brief, "id")
-        item = F.struct("id", "n", "brief")
-        own = with_brief.groupBy("node", "block", "blocks", (F.col("size") > LEAF).alias("large")).agg(F.collect_list(item).alias("own"))
-        none = F.array().cast(f"array<{_SET}>")
+        rows = rows.withColumn("label", F.col("id")) if labels is None else _mixed(scratch.keep(_labelled(rows, labels)))
+        rows = scratch.keep(rows.select("node", "id", "size", "label"))
+        blocks = F.when(F.col("size") <= LEAF, F.lit(1)).otherwise(F.ceil(F.col("size") / BLOCK)).cast("int")
+        full = rows.withColumn("blocks", blocks).withColumn("block", F.pmod(F.xxhash64("id", "node"), F.col("blocks")).cast("int")).join(brief, "id")
+        own = full.groupBy("node", "block", "blocks", (F.col("size") > LEAF).alias("large")).agg(F.collect_list(item).alias("own"))
         if last:
-            # the exact rest: every block meets every block of its node
+            # the exact rest: every two blocks of a node meet
             own = scratch.keep(own)
-            sent = own.where("large").select("node", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block"), F.col("own").alias("others"))
-            small = own.where(~F.col("large")).select("own", none.alias("others"))
-            within = own.where("large").select("own", none.alias("others"))
-            groups = small.unionByName(within).unionByName(own.where("large").select("node", "block", "own").join(sent, ["node", "block"]).select("own", "others"))
+            sent = own.where("block > 0").select("node", F.explode(F.sequence(F.lit(0), F.col("block") - 1)).alias("block"), F.col("own").alias("others"))
+            across = own.where("blocks > 1").select("node", "block", "own").join(sent, ["node", "block"])
+            groups = own.select("own", none.alias("others"), F.lit(True).alias("each")).unionByName(across.select("own", "others", F.lit(True).alias("each")))
         else:
-            large = sized.where(F.col("size") > LEAF).select("node", F.explode(F.array_distinct(F.array("p1.id", "p2.id", "p3.id", "p4.id"))).alias("id"))
-            pivots = large.join(brief, "id").groupBy("node").agg(F.collect_list(item).alias("others"))
-            groups = own.join(pivots, "node", "left").select("own", F.coalesce("others", none).alias("others"))
+            large = sized.where(F.col("size") > LEAF).select("node", F.explode(F.array_distinct(F.array(*[f"p{i}" for i in range(PIVOTS)]))).alias("id"))
+            chosen = full.select("node", "id", "n", "label", "brief").join(large, ["node", "id"]).groupBy("node").agg(F.collect_list(item).alias("others"))
+            groups = own.join(chosen, "node", "left").select("own", F.coalesce("others", none).alias("others"), F.lit(False).alias("each"))
         pairs = _compared(groups)
         if tested is not None:
             pairs = pairs.join(tested, ["a", "b"], "left_anti")
@@ -270,11 +279,8 @@ def link(sets: DataFrame, docs: DataFrame, scratch: Scratch) -> list[DataFrame]:
         if last or large.isEmpty():
             return links
         labels = components(_edges(links), scratch)
-        label = large.join(labels, F.col("id") == F.col("vertex"), "left").select("node", "id", F.coalesce("component", "id").alias("label"))
-        label = scratch.keep(label)
-        mixed = label.groupBy("node").agg(F.min("label").alias("x"), F.max("label").alias("y")).where("x <> y").select("node")
-        nodes = _children(label.select("node", "id").join(mixed, "node").join(sets.select("id", "tokens"), "id"))
-        scratch.drop(sized)
+        going = _mixed(scratch.keep(_labelled(large, labels)))
+        nodes = _children(going.join(sets.select("id", "tokens"), "id"))
     return links
 
 
