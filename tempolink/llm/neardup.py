@@ -6,13 +6,13 @@ branches the sets by selected tokens: sets that agree on a node's tokens meet in
 that node.  Nodes of up to ``LEAF`` sets are compared exhaustively.  In a larger
 node every set first meets the closest of a few pivots; the node branches on
 unless all its sets are joined by then.  What is still large at ``DEPTH`` is
-compared in blocks, so nothing is dropped.  Sets that confirmed links already
+compared whole in blocks, so nothing is dropped.  Sets that confirmed links already
 join aren't compared again, so a large family of copies costs few pairs.
 Candidates that the tokens let pass are confirmed on the full sets, and the
 links' connected components give the classes.
 
 A pair at the threshold is missed by a tree's first level with probability 1/16,
-by all twelve with 4e-15; through four levels of large nodes by less than 1e-6.
+by all twelve with 4e-15; through three levels of large nodes by less than 1e-7.
 The byte test passes over 1 in 10,000 pairs right at the threshold.
 
 Defined cases: a null or empty text, or one without words, has no shingles and
@@ -38,9 +38,10 @@ WIDTH = 128
 TREES = 12
 BRANCHES = 2
 LEAF = 16
-DEPTH = 4
-PIVOTS = 4
+DEPTH = 3
+PIVOTS = 8
 BLOCK = 64
+BLOCK_BYTES = 2_000_000
 #: Of 128 token bytes that must agree: 3.7 standard errors below 0.75.
 AGREE = 78
 
@@ -146,9 +147,8 @@ def _compared(groups: DataFrame) -> DataFrame:
     """(a, b), a < b: pairs of different labels that sizes and token bytes let pass.
 
     A group has ``own`` sets and ``others``, both lists of (id, n, label, brief).
-    Without others its own are compared with each other.  With others, if
-    ``each``, every own set is compared with all of them, else it meets the
-    one of them that it agrees with most.
+    Without others its own are compared with each other, else every one meets
+    that of the others which it agrees with most.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -161,7 +161,6 @@ def _compared(groups: DataFrame) -> DataFrame:
             found_a, found_b = [], []
             oe, oid, on, ol, ob = unpack(batch.column(0))
             xe, xid, xn, xl, xb = unpack(batch.column(1))
-            every = batch.column(2).to_pylist()
             for g in range(batch.num_rows):
                 i = slice(oe[g], oe[g + 1])
                 within = xe[g + 1] == xe[g]
@@ -177,7 +176,7 @@ def _compared(groups: DataFrame) -> DataFrame:
                     continue
                 agree = (brief[p] == jb[q]).sum(axis=1)
                 ok = agree >= AGREE
-                if not within and not every[g]:
+                if not within:
                     order = np.lexsort((jd[q], -agree, p))
                     first = np.zeros(len(p), dtype=bool)
                     first[order[np.append(True, p[order][1:] != p[order][:-1])]] = True
@@ -189,29 +188,35 @@ def _compared(groups: DataFrame) -> DataFrame:
                 pairs = np.unique(np.stack([np.minimum(a, b), np.maximum(a, b)], axis=1), axis=0)
                 yield pa.RecordBatch.from_arrays([pa.array(pairs[:, 0]), pa.array(pairs[:, 1])], names=["a", "b"])
 
-    return groups.select("own", "others", "each").mapInArrow(run, "a long, b long").distinct()
+    return groups.select("own", "others").mapInArrow(run, "a long, b long").distinct()
 
 
 #: Ids up to which the list of wanted documents is sent to every task (16 MB of ids).
 SEND = 1_000_000
 
 
+def _texts(wanted: DataFrame, docs: DataFrame) -> DataFrame:
+    """(doc_id, text) of the kept ids; only a list of bounded size is sent to all tasks."""
+    few = wanted.count() <= SEND
+    return pick(docs, doc_id="long", text="string").join(F.broadcast(wanted) if few else wanted, "doc_id", "left_semi")
+
+
+def _similar(x: np.ndarray, y: np.ndarray) -> bool:
+    shared = len(np.intersect1d(x, y, assume_unique=True))
+    return shared > 0 and 100 * shared >= 75 * (len(x) + len(y) - shared)
+
+
 def confirm(pairs: DataFrame, docs: DataFrame, scratch: Scratch) -> DataFrame:
     """Those of the kept pairs (a, b) whose full shingle sets have a similarity of 0.75 or more."""
     wanted = scratch.keep(pairs.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct())
-    few = wanted.count() <= SEND
-    texts = pick(docs, doc_id="long", text="string").join(F.broadcast(wanted) if few else wanted, "doc_id", "left_semi")
+    texts = _texts(wanted, docs)
     both = pairs.join(texts.select(F.col("doc_id").alias("b"), F.col("text").alias("tb")), "b").join(texts.select(F.col("doc_id").alias("a"), F.col("text").alias("ta")), "a")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for at in range(0, batch.num_rows, 128):
                 part = batch.slice(at, 128)
-                a, b = (list(_sets(part.column(i))) for i in (2, 3))
-                keep = []
-                for x, y in zip(a, b):
-                    shared = len(np.intersect1d(x, y, assume_unique=True))
-                    keep.append(shared > 0 and 100 * shared >= 75 * (len(x) + len(y) - shared))
+                keep = [_similar(x, y) for x, y in zip(*(_sets(part.column(i)) for i in (2, 3)))]
                 yield part.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
     return scratch.keep(both.select("a", "b", "ta", "tb").mapInArrow(run, "a long, b long").distinct())
@@ -260,15 +265,11 @@ def link(sets: DataFrame, docs: DataFrame, scratch: Scratch) -> list[DataFrame]:
         full = rows.withColumn("blocks", blocks).withColumn("block", F.pmod(F.xxhash64("id", "node"), F.col("blocks")).cast("int")).join(brief, "id")
         own = full.groupBy("node", "block", "blocks", (F.col("size") > LEAF).alias("large")).agg(F.collect_list(item).alias("own"))
         if last:
-            # the exact rest: every two blocks of a node meet
-            own = scratch.keep(own)
-            sent = own.where("block > 0").select("node", F.explode(F.sequence(F.lit(0), F.col("block") - 1)).alias("block"), F.col("own").alias("others"))
-            across = own.where("blocks > 1").select("node", "block", "own").join(sent, ["node", "block"])
-            groups = own.select("own", none.alias("others"), F.lit(True).alias("each")).unionByName(across.select("own", "others", F.lit(True).alias("each")))
+            groups = own.where(~F.col("large")).select("own", none.alias("others"))
         else:
             large = sized.where(F.col("size") > LEAF).select("node", F.explode(F.array_distinct(F.array(*[f"p{i}" for i in range(PIVOTS)]))).alias("id"))
             chosen = full.select("node", "id", "n", "label", "brief").join(large, ["node", "id"]).groupBy("node").agg(F.collect_list(item).alias("others"))
-            groups = own.join(chosen, "node", "left").select("own", F.coalesce("others", none).alias("others"), F.lit(False).alias("each"))
+            groups = own.join(chosen, "node", "left").select("own", F.coalesce("others", none).alias("others"))
         pairs = _compared(groups)
         if tested is not None:
             pairs = pairs.join(tested, ["a", "b"], "left_anti")
@@ -276,14 +277,78 @@ def link(sets: DataFrame, docs: DataFrame, scratch: Scratch) -> list[DataFrame]:
         links.append(confirm(pairs, docs, scratch))
         tested = pairs if tested is None else scratch.keep(tested.unionByName(pairs))
         large = rows.where(F.col("size") > LEAF)
-        if last or large.isEmpty():
+        if large.isEmpty():
             return links
+        if last:
+            return [*links, _rest(large, brief, docs, scratch)]
         labels = components(_edges(links), scratch)
         going = _mixed(scratch.keep(_labelled(large, labels)))
         nodes = _children(going.join(sets.select("id", "tokens"), "id"))
     return links
 
 
+def _rest(rows: DataFrame, brief: DataFrame, docs: DataFrame, scratch: Scratch) -> DataFrame:
+    """Links (a, b) among sets that still share large nodes: all pairs of different labels.
+
+    Sets that nodes hold together are a family, each with its full sets once.
+    A family is dealt into blocks of ``BLOCK_BYTES`` and every two blocks meet in
+    a task of bounded size.  A group gives a spanning forest of its links.
+    """
+    seen = scratch.keep(rows.select("node", "id", "label"))
+    first = seen.groupBy("node").agg(F.min("id").alias("first"))
+    families = components(seen.join(first, "node").select(F.col("id").alias("u"), F.col("first").alias("v")), scratch)
+    of = seen.select("id", "label").distinct().join(families, F.col("id") == F.col("vertex")).select("id", "label", F.col("component").alias("family"))
+    of = scratch.keep(_mixed(of.select(F.col("family").alias("node"), "id", "label")))
+    sized = of.join(brief, "id")
+    blocks = sized.groupBy("node").agg(F.ceil(F.sum("n") * 8 / BLOCK_BYTES).cast("int").alias("blocks"))
+    texts = _texts(of.select(F.col("id").alias("doc_id")), docs)
+
+    def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            sets = pa.array([s.tobytes() for s in _sets(batch.column(1))], pa.binary())
+            yield pa.RecordBatch.from_arrays([batch.column(0), sets], names=["id", "full"])
+
+    full = texts.select("doc_id", "text").mapInArrow(encode, "id long, full binary").dropDuplicates(["id"])
+    dealt = sized.join(full, "id").join(blocks, "node").withColumn("block", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int"))
+    own = scratch.keep(dealt.groupBy("node", "block").agg(F.collect_list(F.struct("id", "label", "brief", "full")).alias("own")))
+    sent = own.where("block > 0").select("node", F.explode(F.sequence(F.lit(0), F.col("block") - 1)).alias("block"), F.col("own").alias("others"))
+    across = own.join(sent, ["node", "block"]).select("own", "others")
+    groups = own.select("own", F.lit(None).cast(own.schema["own"].dataType).alias("others")).unionByName(across)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for at in range(batch.num_rows):
+                own, others = (c[at].as_py() for c in batch.columns)
+                everyone = own + (others or [])
+                matrix = np.frombuffer(b"".join(r["brief"] for r in everyone), np.uint8).reshape(len(everyone), -1)
+                full = [np.frombuffer(r["full"], np.uint64) for r in everyone]
+                root: dict[int, int] = {}
+
+                def top(v):
+                    while root.setdefault(v, v) != v:
+                        root[v] = v = root[root[v]]
+                    return v
+
+                label = np.array([r["label"] for r in everyone])
+                size = np.array([len(f) for f in full])
+                a, b = [], []
+                for i in range(len(own)):
+                    # all later sets of a block, or all of the other block
+                    j = np.arange(i + 1 if others is None else len(own), len(everyone))
+                    j = j[(label[j] != label[i]) & (100 * np.minimum(size[j], size[i]) >= 75 * np.maximum(size[j], size[i]))]
+                    j = j[(matrix[j] == matrix[i]).sum(axis=1) >= AGREE]
+                    for k in j.tolist():
+                        x, y = top(int(label[i])), top(int(label[k]))
+                        if x != y and _similar(full[i], full[k]):
+                            root[max(x, y)] = min(x, y)
+                            a.append(min(everyone[i]["id"], everyone[k]["id"]))
+                            b.append(max(everyone[i]["id"], everyone[k]["id"]))
+                if a:
+                    yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["a", "b"])
+
+    return scratch.keep(groups.mapInArrow(run, "a long, b long").distinct())
+
+
 def _brief(tokens: Column) -> Column:
     """The low byte of each token."""
     return F.unhex(F.regexp_replace(F.hex(tokens), "(..)......", "$1"))
