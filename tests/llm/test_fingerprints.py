@@ -1,0 +1,68 @@
+import hashlib
+
+import numpy as np
+import pyarrow as pa
+import pytest
+from pyspark.sql import functions as F
+
+from tempolink.llm import fingerprints as fp
+
+from .test_shared import shingles
+
+
+def jaccard(a, b):
+    return len(a & b) / len(a | b) if a | b else 1.0
+
+
+def test_next_and_edited_texts(spark, small):
+    rows = [tuple(r) for r in spark.read.parquet(f"{small}/documents.parquet").select("doc_id", "text").collect()]
+    rows.sort(reverse=True)
+    got = {r["doc_id"]: r for r in fp.op3_fingerprints(spark, small).collect()}
+    assert len(got) == len(rows)
+    for (i, t), (_, u) in zip(rows, rows[1:] + rows[:1]):
+        cut = len(t) // 3
+        edited = t[: len(t) - cut] + u[:cut]
+        assert got[i]["n_chars"] == len(t) and got[i]["edited_sha256"] == hashlib.sha256(edited.encode()).hexdigest()
+        assert abs(got[i]["near_edited"] - jaccard(shingles(t), shingles(edited))) < 0.2
+        assert abs(got[i]["near_next"] - jaccard(shingles(t), shingles(u))) < 0.2
+
+
+@pytest.mark.parametrize("rows_per_run", [2, 100])
+def test_runs_hold_every_row_and_its_next(odd, rows_per_run):
+    runs = [list(g) for g in fp.with_next(odd, rows_per_run).select("doc_id", "text", "spare").rdd.glom().collect()]
+    pairs = [(a["doc_id"], b["doc_id"]) for g in runs for a, b in zip(g, g[1:]) if not a["spare"]]
+    order = [10, 9, 8, 8, 7, 6, 5, 4, 3, 2, 1, None, None]
+    assert sorted(pairs, key=str) == sorted(zip(order, order[1:] + order[:1]), key=str)
+
+
+def test_odd_cases(odd, nothing):
+    got = fp.compare_with_next(odd).collect()
+    assert len(got) == 13 and fp.compare_with_next(nothing).count() == 0
+    by = {r["doc_id"]: r for r in got}
+    assert by[1]["fingerprint"] == by[7]["fingerprint"] and by[5]["fingerprint"] == by[6]["fingerprint"]
+    assert by[2]["fingerprint"] == "" and by[2]["n_chars"] == 0 and by[9]["n_chars"] == len("ünï cödé 😀 text with five words")
+    assert by[6]["near_next"] == 1.0 and by[3]["near_next"] == 1.0
+
+
+def test_one_document_is_its_own_next(spark):
+    r = fp.compare_with_next(spark.createDataFrame([(5, "abcdef")], "doc_id long, text string")).head()
+    assert r["edited_sha256"] == hashlib.sha256(b"abcdab").hexdigest() and r["near_next"] == 1.0
+
+
+def test_parts_merge_into_the_whole(spark):
+    words = [f"w{i % 700}x{i}" for i in range(2000)]
+    parts = [" ".join(words[max(0, i - 4) : i + 100]) for i in range(0, 2000, 100)]
+    whole = fp.bottom_k(pa.array([" ".join(words)]))[0]
+    df = fp.sketch_documents(spark.createDataFrame([(1, p) for p in parts], "doc_id long, text string"))
+    assert fp.sketch_parts(df, "doc_id").head()["sketch"] == whole.tolist()
+    n = df.limit(1).select(fp.distinct_count(F.lit(whole.tolist()).cast("array<bigint>"))).head()[0]
+    assert abs(n - 1996) / 1996 < 0.3
+
+
+def test_estimates(spark):
+    a, b = (" ".join(f"w{i}" for i in range(*r)) for r in ((0, 3000), (1500, 3000)))
+    x, y = (np.asarray(s).tolist() for s in fp.bottom_k(pa.array([a, b])))
+    df = spark.createDataFrame([(x, y, [])], "x array<long>, y array<long>, z array<long>")
+    r = df.select(fp.resemblance(F.col("x"), F.col("y")), fp.containment(F.col("y"), F.col("x")), fp.resemblance(F.col("z"), F.col("z")), fp.resemblance(F.col("x"), F.col("z"))).head()
+    assert abs(r[0] - 0.5) < 0.15 and r[1] > 0.75 and r[2] == 1.0 and r[3] == 0.0
+    assert fp.likeness(np.array(x), np.array(y)) == r[0]

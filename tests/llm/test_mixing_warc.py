@@ -1,0 +1,99 @@
+import random
+import re
+
+import pytest
+from pyspark.sql import functions as F
+
+from tempolink.llm import mixing, warc
+from tempolink.plans.catalogue import QUERIES  # noqa: F401  (the package's own queries import without llm)
+
+from ..test_queries import same
+
+
+def test_mixing_equals_sql(spark, small):
+    same(spark, small, "op9_mixing", mixing.op9_mixing, mixing.SQL)
+
+
+def test_warc_equals_sql(spark, small):
+    same(spark, small, "op5_warc", warc.op5_warc, warc.SQL)
+
+
+def pour(budget, children):
+    """Water filling by repetition: what a full child can't take goes to the others."""
+    given, open_ = {}, dict(children)
+    while open_:
+        level = budget / sum(w for _, w in open_.values())
+        full = {k: c for k, (c, w) in open_.items() if c <= level * w}
+        if not full:
+            return given | {k: level * w for k, (_, w) in open_.items()}
+        given |= full
+        budget -= sum(full.values())
+        for k in full:
+            del open_[k]
+    return given
+
+
+@pytest.mark.parametrize("seed", range(4))
+def test_shortages_go_to_siblings(spark, seed):
+    r = random.Random(seed)
+    children = {f"c{i}": (r.randrange(0, 200), r.randrange(1, 9)) for i in range(6)}
+    budget = float(r.randrange(50, 700))
+    rows = [("p", k, c, float(w), budget) for k, (c, w) in children.items()]
+    df = spark.createDataFrame(rows, "domain string, lang string, cap long, weight double, budget double")
+    got = {x["lang"]: x["given"] for x in mixing.fill(df, ["domain"]).collect()}
+    for k, v in pour(budget, children).items():
+        assert got[k] == pytest.approx(min(v, children[k][0]))
+
+
+def test_a_short_leaf_is_covered_by_its_siblings_first(spark):
+    rows = [("d", "en", "a", 10), ("d", "en", "b", 1000), ("d", "fr", "c", 1000)]
+    leaves = spark.createDataFrame(rows, "domain string, lang string, source string, tokens long")
+    got = {r["source"]: r["budget"] for r in mixing.budgets(leaves, {"lang": {"en": 1, "fr": 1}}, 0.5, 1).collect()}
+    assert got == {"a": 10, "b": 492, "c": 502}
+
+
+def test_epochs_repeat_and_prefixes_fit(spark):
+    rows = [(i, "d", "en", "s" if i else "t", "w " * (5 + i)) for i in range(30)]
+    docs = spark.createDataFrame(rows, "doc_id long, domain string, lang string, source string, text string")
+    got = mixing.mix(docs, share=1.0, epochs=2, weights={}).collect()
+    taken = {s: sum(r["taken"] for r in got if r["source"] == s) for s in ("s", "t")}
+    assert taken["t"] == 10 and taken["s"] == sum(5 + i for i in range(1, 30)) + 5 - 10
+    assert {r["epoch"] for r in got if r["doc_id"] == 0} == {0, 1}
+
+
+def test_mixing_odd_cases(odd, nothing):
+    rows = odd.withColumn("domain", mixing.domain_of(F.col("source")))
+    everything = mixing.mix(rows, share=1.0, epochs=1)
+    assert set(everything.columns) == {*rows.columns, "n_tokens", "taken"}
+    texts = [r for r in everything.collect() if r["text"] and r["text"].strip()]
+    assert sorted(r["doc_id"] or 0 for r in texts) == [0, 1, 5, 6, 7, 8, 8, 9, 10]
+    assert mixing.mix(nothing.withColumn("domain", F.lit("d"))).count() == 0
+
+
+def test_native_plans_have_no_python(spark, small):
+    for df in (mixing.op9_mixing(spark, small), warc.op5_warc(spark, small)):
+        assert not re.search("Python|Pandas|ArrowEval", df._jdf.queryExecution().toString())
+
+
+def test_warc_round_trip_and_links(spark, small, tmp_path):
+    made = warc.op5_warc(spark, small)
+    warc.write_warc(made, str(tmp_path / "w"))
+    got = {r["headers"]["WARC-Record-ID"]: r for r in warc.read_warc(spark, str(tmp_path / "w")).collect()}
+    for r in made.collect():
+        back = got[r["record_id"]]
+        assert back["block"] == r["block"] and back["headers"]["WARC-Refers-To"] == r["refers_to"]
+        assert int(back["headers"]["Content-Length"]) == len(r["block"].encode())
+    assert len(got) == made.count() == 2 * warc.responses(spark.read.parquet(f"{small}/pages.parquet")).count()
+
+
+def test_page_text_and_odd_pages(spark):
+    html = "<html><head><title> A &amp;lt; B </title><style>p{}</style><script>var t='</p>';</script></head><body><!-- x <p> --><p>one&nbsp;  two<br>three</p><a href=\"/l\">li<b>nk</b></a></body></html>"
+    pages = spark.createDataFrame([(1, "u", html, "z"), (2, None, None, "z"), (None, "u", "", "z"), (3, "u", "<" * 50_000, "z"), (1, "u", html, "z")], "page_id long, url string, html string, block string")
+    got = warc.derivatives(warc.responses(pages)).collect()
+    assert len(got) == 10
+    text = [r["block"] for r in got if r["page_id"] == 1 and r["warc_type"] == "conversion"]
+    assert text == ["A &lt; B\none two\nthree\nlink"] * 2
+    about = [r["block"] for r in got if r["page_id"] == 1 and r["warc_type"] == "metadata"][0]
+    assert '"links":["/l"]' in about and '"title":"A &lt; B"' in about
+    assert [r["block"] for r in got if r["page_id"] == 2 and r["warc_type"] == "conversion"] == [""]
+    assert warc.derivatives(warc.responses(pages.where("1 = 0"))).count() == 0
