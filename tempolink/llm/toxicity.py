@@ -28,7 +28,7 @@ from .labelled import held_out, sample
 from .shared import WORDLIKE, mix, pick, prefix_hash, span_hash, text_slices, word_spans
 
 #: Labelled documents that are learned from: toxic and others.
-SAMPLE = {1: 2000, 0: 6000}
+SAMPLE = {1: 1000, 0: 3000}
 LONGEST_CHAIN = 64
 PREFIXES = range(3, 11)
 SUFFIXES = range(3, 6)
@@ -40,13 +40,13 @@ _BREAK[[10, 33, 46, 63]] = True
 
 def features(sums: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
     """Feature slots of words: the word itself, its prefixes and suffixes; slot 0 is none."""
-    out = np.zeros((len(starts), N_FEATURES), dtype=np.int64)
+    out = np.zeros((len(starts), N_FEATURES), dtype=np.int32)
     size = ends - starts
     top = np.uint64(SLOTS - 1)
 
     def put(column, kind, a, b, rows):
         h = mix(span_hash(sums, a, b) + np.uint64(kind * 0x9E3779B97F4A7C15 % 2**64))
-        out[rows, column] = (h % top).astype(np.int64) + 1
+        out[rows, column] = (h % top).astype(np.int32) + 1
 
     put(0, 1, starts, ends, slice(None))
     at = 1
@@ -69,6 +69,7 @@ class Tokens:
     ends: np.ndarray
     first: np.ndarray  # each row's first token
     word: np.ndarray  # each token's distinct word
+    keys: np.ndarray  # hash of each distinct word
     slots: np.ndarray  # feature slots of each distinct word
     chain: np.ndarray  # first token of each chain, and the end
 
@@ -76,7 +77,7 @@ class Tokens:
 def tokenise(data: np.ndarray, offs: np.ndarray) -> Tokens:
     starts, ends, first = word_spans(data, offs, WORDLIKE)
     sums = prefix_hash(data)
-    _, at, word = np.unique(span_hash(sums, starts, ends), return_index=True, return_inverse=True)
+    keys, at, word = np.unique(span_hash(sums, starts, ends), return_index=True, return_inverse=True)
     slots = features(sums, starts[at], ends[at])
     breaks = np.cumsum(_BREAK[data], dtype=np.int64)
     sentence = breaks[starts] if len(starts) else breaks[:0]
@@ -90,7 +91,21 @@ def tokenise(data: np.ndarray, offs: np.ndarray) -> Tokens:
         n = -(-size // LONGEST_CHAIN)
         within = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
         chain = np.repeat(chain, n) + within * LONGEST_CHAIN
-    return Tokens(starts, ends, first, word, slots, np.append(chain, len(starts)))
+    return Tokens(starts, ends, first, word, keys, slots, np.append(chain, len(starts)))
+
+
+def tokenise_all(texts: list[str]) -> Tokens:
+    """Tokens of all texts, taken in slices of bounded size; places in bytes are left out."""
+    parts = [tokenise(data, offs) for _, data, offs in text_slices(pa.array(texts, pa.string()))]
+    keys, at, inverse = np.unique(np.concatenate([t.keys for t in parts]), return_index=True, return_inverse=True)
+    slots = np.concatenate([t.slots for t in parts])[at]
+    n_keys = np.cumsum([0] + [len(t.keys) for t in parts])
+    n_tokens = np.cumsum([0] + [len(t.word) for t in parts])
+    word = np.concatenate([inverse[t.word + k] for t, k in zip(parts, n_keys)])
+    first = np.concatenate([t.first[:-1] + n for t, n in zip(parts, n_tokens)] + [n_tokens[-1:]])
+    chain = np.concatenate([t.chain[:-1] + n for t, n in zip(parts, n_tokens)] + [n_tokens[-1:]])
+    none = np.zeros(0, np.int64)
+    return Tokens(none, none, first, word, keys, slots, chain)
 
 
 def _by_length(chain: np.ndarray):
@@ -165,10 +180,12 @@ def _token_labels(tokens: Tokens, toxic: np.ndarray) -> np.ndarray:
     doc = np.repeat(np.arange(len(n)), n)
     pairs = np.unique(doc * len(tokens.slots) + tokens.word)
     d, w = pairs // len(tokens.slots), pairs % len(tokens.slots)
-    cells = np.unique((d[:, None] * SLOTS + tokens.slots[w] % SLOTS).ravel())
-    d, slot = cells // SLOTS, cells % SLOTS
-    pos = np.bincount(slot[toxic[d] == 1], minlength=SLOTS).astype(float)
-    neg = np.bincount(slot[toxic[d] == 0], minlength=SLOTS).astype(float)
+    pos, neg = np.zeros(SLOTS), np.zeros(SLOTS)
+    for c in range(N_FEATURES):
+        cells = np.unique(d * SLOTS + tokens.slots[w, c] % SLOTS)
+        is_toxic, slot = toxic[cells // SLOTS] == 1, cells % SLOTS
+        pos += np.bincount(slot[is_toxic], minlength=SLOTS)
+        neg += np.bincount(slot[~is_toxic], minlength=SLOTS)
     p, q = max(1, toxic.sum()), max(1, (toxic == 0).sum())
     share = p / (p + q)
     seen = pos + neg
@@ -182,15 +199,13 @@ def _token_labels(tokens: Tokens, toxic: np.ndarray) -> np.ndarray:
     return (tied[tokens.word] & (toxic[doc] == 1)).astype(np.int64)
 
 
-def train(rows: list[tuple[str, int]], share: float, rounds: int = 12, seed: int = 5) -> Field:
+def train(rows: list[tuple[str, int]], share: float, rounds: int = 8, seed: int = 5) -> Field:
     """Trains the field on (text, toxic) rows; ``share``: label 1's share of all labels."""
     toxic = np.array([y for _, y in rows], dtype=np.int64)
     none = Field(np.zeros(SLOTS + 1), np.ones((2, 2)), 0.0, np.zeros(5), share)
     if not len(toxic) or toxic.min() == toxic.max():
         return none
-    column = pa.array([t for t, _ in rows], pa.string())
-    ((_, data, offs),) = text_slices(column, most=1 << 40)
-    tokens = tokenise(data, offs)
+    tokens = tokenise_all([t for t, _ in rows])
     y = _token_labels(tokens, toxic)
     rng = np.random.default_rng(seed)
     # chains with a toxic token, and as many and more without
@@ -206,7 +221,7 @@ def train(rows: list[tuple[str, int]], share: float, rounds: int = 12, seed: int
     trans_sq, start_sq = np.full((2, 2), 1e-3), 1e-3
     for _ in range(rounds):
         order = rng.permutation(chosen)
-        for part in np.array_split(order, max(1, len(order) // 2048)):
+        for part in np.array_split(order, max(min(16, len(order)), len(order) // 2048)):
             length = min(LONGEST_CHAIN, int(size[part].max()))
             at = begins[part][:, None] + np.arange(length)
             live = np.arange(length) < size[part][:, None]
