@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .labelled import held_out, sample
-from .shared import NOT_BLANK, pick, prefix_hash, span_hash, text_slices, word_spans
+from .shared import NOT_BLANK, pick, prefix_hash, small_batches, span_hash, text_slices, word_spans
 
 #: Labelled documents that are learned from: good and others.
 SAMPLE = {1: 4000, 0: 2000}
@@ -193,6 +193,7 @@ def score_documents(docs: DataFrame, model: Network | float) -> DataFrame:
 
 def keep_good(docs: DataFrame, model: Network | float) -> DataFrame:
     """The rows, all columns, whose ``text`` isn't of low quality."""
+    small_batches(docs.sparkSession)
     at = docs.columns.index("text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

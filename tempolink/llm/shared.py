@@ -4,15 +4,31 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
+#: Most rows and bytes that a batch for Python holds: what a task needs besides
+#: Spark's own memory is a few times the bytes, whatever the texts' length.
+BATCH_ROWS = 2048
+BATCH_BYTES = 8 << 20
+
+
+def small_batches(spark: SparkSession) -> None:
+    """Lowers the session's limits of batches for Python to those above."""
+    for key, most in (("maxRecordsPerBatch", BATCH_ROWS), ("maxBytesPerBatch", BATCH_BYTES)):
+        key = f"spark.sql.execution.arrow.{key}"
+        now = spark.conf.get(key).rstrip("b")
+        if not now.isdigit() or not 0 < int(now) <= most:
+            spark.conf.set(key, str(most))
+
+
 def pick(df: DataFrame, **columns: str) -> DataFrame:
     """Only the named columns, cast: ``pick(docs, doc_id="long", text="string")``.
 
     Whatever else the table carries, clashing names included, goes no further.
     """
+    small_batches(df.sparkSession)
     return df.select(*[F.col(c).cast(t).alias(c) for c, t in columns.items()])
 
 
@@ -58,7 +74,7 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
-def text_slices(column: pa.Array, most: int = 1 << 20):
+def text_slices(column: pa.Array, most: int = 1 << 19):
     """Parts of a string column as ``(first row, bytes, offsets)``.
 
     A part holds whole rows and about ``most`` bytes, so temporary arrays stay
