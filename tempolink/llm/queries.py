@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from .embeddings import op2_embeddings
 from .fingerprints import op3_fingerprints
-from . import mixing, warc
+from . import mixing, sql, warc
 from .licenses import op8_licenses
 from .mixing import op9_mixing
 from .neardup import op1_neardup
@@ -28,6 +28,9 @@ QUERIES = {
 }
 
 ORACLE_SQL: dict[str, str] = {
+    "op1_neardup": sql.NEARDUP,
+    "op2_embeddings": sql.EMBEDDINGS,
     "op5_warc": warc.SQL,
+    "op8_licenses": sql.LICENSES,
     "op9_mixing": mixing.SQL,
 }
