@@ -5,17 +5,6 @@ import pytest
 from pyspark.sql import functions as F
 
 from tempolink.llm import mixing, warc
-from tempolink.plans.catalogue import QUERIES  # noqa: F401  (the package's own queries import without llm)
-
-from ..test_queries import same
-
-
-def test_mixing_equals_sql(spark, small):
-    same(spark, small, "op9_mixing", mixing.op9_mixing, mixing.SQL)
-
-
-def test_warc_equals_sql(spark, small):
-    same(spark, small, "op5_warc", warc.op5_warc, warc.SQL)
 
 
 def pour(budget, children):
