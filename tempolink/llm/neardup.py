@@ -41,6 +41,7 @@ LEAF = 16
 DEPTH = 3
 PIVOTS = 8
 BLOCK = 64
+BLOCK_SETS = 1024
 BLOCK_BYTES = 2_000_000
 #: Of 128 token bytes that must agree: 3.7 standard errors below 0.75.
 AGREE = 78
@@ -255,10 +256,8 @@ def link(sets: DataFrame, docs: DataFrame, scratch: Scratch) -> list[DataFrame]:
     for depth in range(DEPTH + 1):
         last = depth == DEPTH
         nodes = scratch.keep(nodes)
-        # pivots are chosen alike in all nodes, so that pairs of nodes that share sets coincide
-        pivots = [F.min(F.struct(F.xxhash64("id", F.lit(depth), F.lit(i)).alias("h"), "id"))["id"].alias(f"p{i}") for i in range(PIVOTS)]
-        sized = scratch.keep(nodes.groupBy("node").agg(F.count("*").alias("size"), *pivots).where("size > 1"))
-        rows = nodes.join(sized.select("node", "size"), "node")
+        sized = scratch.keep(nodes.groupBy("node").agg(F.count("*").alias("size")).where("size > 1"))
+        rows = nodes.join(sized, "node")
         rows = rows.withColumn("label", F.col("id")) if labels is None else _mixed(scratch.keep(_labelled(rows, labels)))
         rows = scratch.keep(rows.select("node", "id", "size", "label"))
         blocks = F.when(F.col("size") <= LEAF, F.lit(1)).otherwise(F.ceil(F.col("size") / BLOCK)).cast("int")
@@ -267,7 +266,9 @@ def link(sets: DataFrame, docs: DataFrame, scratch: Scratch) -> list[DataFrame]:
         if last:
             groups = own.where(~F.col("large")).select("own", none.alias("others"))
         else:
-            large = sized.where(F.col("size") > LEAF).select("node", F.explode(F.array_distinct(F.array(*[f"p{i}" for i in range(PIVOTS)]))).alias("id"))
+            # pivots are chosen alike in all nodes, so that pairs of nodes that share sets coincide
+            pivots = [F.min(F.struct(F.xxhash64("id", F.lit(depth), F.lit(i)).alias("h"), "id"))["id"] for i in range(PIVOTS)]
+            large = rows.where(F.col("size") > LEAF).groupBy("node").agg(F.array(*pivots).alias("p")).select("node", F.explode(F.array_distinct("p")).alias("id"))
             chosen = full.select("node", "id", "n", "label", "brief").join(large, ["node", "id"]).groupBy("node").agg(F.collect_list(item).alias("others"))
             groups = own.join(chosen, "node", "left").select("own", F.coalesce("others", none).alias("others"))
         pairs = _compared(groups)
@@ -287,20 +288,53 @@ def link(sets: DataFrame, docs: DataFrame, scratch: Scratch) -> list[DataFrame]:
     return links
 
 
+def _blocks(of: DataFrame, size: Column, item: Column) -> DataFrame:
+    """(own, others): every block of each family (node) alone, and every two blocks of it."""
+    blocks = of.groupBy("node").agg(F.ceil(size).cast("int").alias("blocks"))
+    dealt = of.join(blocks, "node").withColumn("block", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int"))
+    own = dealt.groupBy("node", "block").agg(F.collect_list(item).alias("own"))
+    sent = own.where("block > 0").select("node", F.explode(F.sequence(F.lit(0), F.col("block") - 1)).alias("block"), F.col("own").alias("others"))
+    none = F.array().cast(own.schema["own"].dataType)
+    return own.select("own", none.alias("others")).unionByName(own.join(sent, ["node", "block"]).select("own", "others"))
+
+
+def _partnered(groups: DataFrame) -> DataFrame:
+    """(id): sets that sizes and token bytes let pass with any set of another label in their group."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            found = [np.zeros(0, np.int64)]
+            for at in range(batch.num_rows):
+                sides = []
+                for column in batch.columns:
+                    flat = column[at].values
+                    sides.append([flat.field(k).to_numpy(zero_copy_only=False) for k in ("id", "n", "label")] + [_matrix(flat.field("brief"), np.uint8) if len(flat) else None])
+                (i, n, y, b), (j, m, z, c) = sides[0], sides[1] if len(sides[1][0]) else sides[0]
+                for k in range(0, len(i), 32):
+                    s = slice(k, k + 32)
+                    p, q = np.nonzero((y[s, None] != z) & (100 * np.minimum(n[s, None], m) >= 75 * np.maximum(n[s, None], m)))
+                    ok = (b[s][p] == c[q]).sum(axis=1) >= AGREE
+                    found += [np.unique(i[s][p[ok]]), np.unique(j[q[ok]])]
+            yield pa.RecordBatch.from_arrays([pa.array(np.unique(np.concatenate(found)))], names=["id"])
+
+    return groups.select("own", "others").mapInArrow(run, "id long").distinct()
+
+
 def _rest(rows: DataFrame, brief: DataFrame, docs: DataFrame, scratch: Scratch) -> DataFrame:
     """Links (a, b) among sets that still share large nodes: all pairs of different labels.
 
-    Sets that nodes hold together are a family, each with its full sets once.
-    A family is dealt into blocks of ``BLOCK_BYTES`` and every two blocks meet in
-    a task of bounded size.  A group gives a spanning forest of its links.
+    Sets that nodes hold together are a family. A family's tokens are compared
+    in blocks first; sets with a possible partner are dealt into blocks of
+    ``BLOCK_BYTES`` with their full sets, and every two blocks meet in a task of
+    bounded size. A group gives a spanning forest of its links.
     """
     seen = scratch.keep(rows.select("node", "id", "label"))
     first = seen.groupBy("node").agg(F.min("id").alias("first"))
     families = components(seen.join(first, "node").select(F.col("id").alias("u"), F.col("first").alias("v")), scratch)
-    of = seen.select("id", "label").distinct().join(families, F.col("id") == F.col("vertex")).select("id", "label", F.col("component").alias("family"))
-    of = scratch.keep(_mixed(of.select(F.col("family").alias("node"), "id", "label")))
-    sized = of.join(brief, "id")
-    blocks = sized.groupBy("node").agg(F.ceil(F.sum("n") * 8 / BLOCK_BYTES).cast("int").alias("blocks"))
+    of = seen.select("id", "label").distinct().join(families, F.col("id") == F.col("vertex")).select(F.col("component").alias("node"), "id", "label")
+    of = scratch.keep(_mixed(scratch.keep(of)).join(brief, "id"))
+    near = scratch.keep(_partnered(_blocks(of, F.count("*") / BLOCK_SETS, F.struct("id", "n", "label", "brief"))))
+    of = scratch.keep(of.join(near, "id"))
     texts = _texts(of.select(F.col("id").alias("doc_id")), docs)
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -309,17 +343,13 @@ def _rest(rows: DataFrame, brief: DataFrame, docs: DataFrame, scratch: Scratch)
             yield pa.RecordBatch.from_arrays([batch.column(0), sets], names=["id", "full"])
 
     full = texts.select("doc_id", "text").mapInArrow(encode, "id long, full binary").dropDuplicates(["id"])
-    dealt = sized.join(full, "id").join(blocks, "node").withColumn("block", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int"))
-    own = scratch.keep(dealt.groupBy("node", "block").agg(F.collect_list(F.struct("id", "label", "brief", "full")).alias("own")))
-    sent = own.where("block > 0").select("node", F.explode(F.sequence(F.lit(0), F.col("block") - 1)).alias("block"), F.col("own").alias("others"))
-    across = own.join(sent, ["node", "block"]).select("own", "others")
-    groups = own.select("own", F.lit(None).cast(own.schema["own"].dataType).alias("others")).unionByName(across)
+    groups = _blocks(of.join(full, "id"), F.sum("n") * 8 / BLOCK_BYTES, F.struct("id", "label", "brief", "full"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for at in range(batch.num_rows):
                 own, others = (c[at].as_py() for c in batch.columns)
-                everyone = own + (others or [])
+                everyone = own + others
                 matrix = np.frombuffer(b"".join(r["brief"] for r in everyone), np.uint8).reshape(len(everyone), -1)
                 full = [np.frombuffer(r["full"], np.uint64) for r in everyone]
                 root: dict[int, int] = {}
@@ -334,7 +364,7 @@ def _rest(rows: DataFrame, brief: DataFrame, docs: DataFrame, scratch: Scratch)
                 a, b = [], []
                 for i in range(len(own)):
                     # all later sets of a block, or all of the other block
-                    j = np.arange(i + 1 if others is None else len(own), len(everyone))
+                    j = np.arange(i + 1 if not others else len(own), len(everyone))
                     j = j[(label[j] != label[i]) & (100 * np.minimum(size[j], size[i]) >= 75 * np.maximum(size[j], size[i]))]
                     j = j[(matrix[j] == matrix[i]).sum(axis=1) >= AGREE]
                     for k in j.tolist():
