@@ -110,8 +110,8 @@ def paths2(adj: DataFrame, horizon_days: int = 30) -> DataFrame:
     return on.groupBy("u").agg(F.count("*").alias("n_paths"))
 
 
-def triangles(edges: DataFrame) -> DataFrame:
-    """(n_triangles): triangles of distinct edges.
+def closed_triples(edges: DataFrame) -> DataFrame:
+    """(a, b, c), b < c: each triangle of distinct edges once.
 
     Edges point from the lower to the higher degree (ties by id), so no node
     has more than the root of twice the edges to pair up, hubs included.
@@ -119,24 +119,29 @@ def triangles(edges: DataFrame) -> DataFrame:
     pairs = edges.select("src", "dst").distinct()
     deg = pairs.select(F.explode(F.array("src", "dst")).alias("n")).groupBy("n").agg(F.count("*").alias("d"))
     sized = pairs.join(deg.select(F.col("n").alias("src"), F.col("d").alias("ds")), "src").join(deg.select(F.col("n").alias("dst"), F.col("d").alias("dd")), "dst")
-    up = F.struct(F.col("ds"), F.col("src")) < F.struct(F.col("dd").alias("ds"), F.col("dst").alias("src"))
+    up = (F.col("ds") < F.col("dd")) | ((F.col("ds") == F.col("dd")) & (F.col("src") < F.col("dst")))
     out = sized.select(F.when(up, F.col("src")).otherwise(F.col("dst")).alias("a"), F.when(up, F.col("dst")).otherwise(F.col("src")).alias("b"))
-    wedges = out.join(out.select("a", F.col("b").alias("c")), "a").where("b < c").select("b", "c")
-    return wedges.join(pairs.select(F.col("src").alias("b"), F.col("dst").alias("c")), ["b", "c"]).agg(F.count("*").alias("n_triangles"))
+    wedges = out.join(out.select("a", F.col("b").alias("c")), "a").where("b < c")
+    return wedges.join(pairs.select(F.col("src").alias("b"), F.col("dst").alias("c")), ["b", "c"]).select("a", "b", "c")
+
+
+def triangles(edges: DataFrame) -> DataFrame:
+    """(n_triangles): triangles of distinct edges."""
+    return closed_triples(edges).agg(F.count("*").alias("n_triangles"))
 
 
 def common_neighbors(edges: DataFrame) -> DataFrame:
     """Each linked pair's shared neighbours and Adamic-Adar index; pairs with none are absent.
 
-    Terms are rounded to a millionth before they are summed, so the sum is the
-    same in any order.
+    A shared neighbour of a linked pair closes a triangle, so triangles are
+    listed once and give a row to each of their three pairs.  Terms are rounded
+    to a millionth before they are summed, so the sum is the same in any order.
     """
-    pairs = edges.select("src", "dst").distinct()
-    near = adjacency(pairs.withColumns({"ts": F.lit(None).cast("timestamp_ntz"), "group_id": F.lit(0).cast("bigint")})).select("u", "v")
-    deg = near.groupBy("u").agg(F.count("*").alias("d"))
-    shared = pairs.join(near.select(F.col("u").alias("src"), F.col("v").alias("z")), "src").join(near.select(F.col("u").alias("dst"), F.col("v").alias("z")), ["dst", "z"])
+    deg = degree(adjacency(edges)).select(F.col("u").alias("z"), F.col("n_neighbors").alias("d"))
+    side = lambda x, y, z: F.struct(F.least(x, y).alias("src"), F.greatest(x, y).alias("dst"), F.col(z).alias("z"))
+    three = closed_triples(edges).select(F.explode(F.array(side("a", "b", "c"), side("a", "c", "b"), side("b", "c", "a"))).alias("p")).select("p.*")
     term = F.round(F.lit(1e6) / F.log(F.col("d").cast("double"))).cast("bigint")
-    return shared.join(deg.withColumnRenamed("u", "z"), "z").groupBy("src", "dst").agg(F.count("*").alias("n_common"), (F.sum(term) / 1e6).alias("adamic_adar"))
+    return three.join(deg, "z").groupBy("src", "dst").agg(F.count("*").alias("n_common"), (F.sum(term) / 1e6).alias("adamic_adar"))
 
 
 def component_labels(edges: DataFrame) -> DataFrame:
