@@ -16,8 +16,8 @@ def held_out(doc_id: Column) -> Column:
     return F.coalesce(F.crc32(doc_id.cast("string").cast("binary")) % 5 == 0, F.lit(False))
 
 
-def sample(docs: DataFrame, labels: DataFrame, column: str, most: dict[int, int], longest: int = LONGEST) -> tuple[list[tuple[str, int]], float]:
-    """(text, label) of at most ``most[label]`` training documents a label, and label 1's share of all.
+def sample_rows(docs: DataFrame, labels: DataFrame, column: str, most: dict[int, int], longest: int = LONGEST) -> tuple[DataFrame, float]:
+    """(doc_id, text, label) of at most ``most[label]`` training documents a label, and label 1's share of all.
 
     Documents are taken in the order of a hash of their id; texts longer than
     ``longest`` aren't taken, so the sample has a bound in bytes too.
@@ -31,7 +31,11 @@ def sample(docs: DataFrame, labels: DataFrame, column: str, most: dict[int, int]
         part = known.where(F.col("label") == label).orderBy(F.xxhash64("doc_id"), "doc_id").limit(n)
         chosen = part if chosen is None else chosen.unionByName(part)
     texts = pick(docs, doc_id="long", text="string").join(F.broadcast(chosen), "doc_id").where(F.length("text") <= longest)
-    rows = texts.dropDuplicates(["doc_id"]).collect()
-    rows = sorted((r["doc_id"], r["text"], r["label"]) for r in rows)
     total = sum(counts.values())
-    return [(t, y) for _, t, y in rows], counts.get(1, 0) / total if total else 0.0
+    return texts.dropDuplicates(["doc_id"]), counts.get(1, 0) / total if total else 0.0
+
+
+def sample(docs: DataFrame, labels: DataFrame, column: str, most: dict[int, int], longest: int = LONGEST) -> tuple[list[tuple[str, int]], float]:
+    """``sample_rows`` brought to the driver, in the order of the ids."""
+    rows, share = sample_rows(docs, labels, column, most, longest)
+    return [(t, y) for _, t, y in sorted((r["doc_id"], r["text"], r["label"]) for r in rows.collect())], share
