@@ -5,7 +5,6 @@ import pyarrow as pa
 import pytest
 
 from tempolink.llm import toxicity as tox
-from tempolink.llm.labelled import sample
 from tempolink.llm.shared import text_slices
 
 
@@ -79,8 +78,7 @@ def test_chains_cover_all_tokens_and_are_bounded():
 def test_odd_cases(odd, nothing, spark):
     labels = spark.createDataFrame([(1, 1), (5, 0), (None, 1), (9, None)], "doc_id long, toxic int")
     for docs in (odd, nothing):
-        rows, share = sample(docs, labels, "toxic", tox.SAMPLE)
-        field = tox.train(rows, share)
+        field = tox.fit(docs, labels)
         got = tox.score_documents(docs, field).collect()
         assert len(got) == docs.count() and all(0 <= r["score"] <= 1 for r in got)
     with_both = tox.train(made(40, 1), 0.25)
