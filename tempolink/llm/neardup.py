@@ -196,10 +196,15 @@ def _compared(groups: DataFrame) -> DataFrame:
 SEND = 1_000_000
 
 
-def _texts(wanted: DataFrame, docs: DataFrame) -> DataFrame:
-    """(doc_id, text) of the kept ids; only a list of bounded size is sent to all tasks."""
+def _only(rows: DataFrame, wanted: DataFrame, key: str) -> DataFrame:
+    """The rows whose key is among the kept wanted ones; only a list of bounded size is sent to all tasks."""
     few = wanted.count() <= SEND
-    return pick(docs, doc_id="long", text="string").join(F.broadcast(wanted) if few else wanted, "doc_id", "left_semi")
+    return rows.join(F.broadcast(wanted) if few else wanted, key, "left_semi")
+
+
+def _texts(wanted: DataFrame, docs: DataFrame) -> DataFrame:
+    """(doc_id, text) of the kept ids."""
+    return _only(pick(docs, doc_id="long", text="string"), wanted, "doc_id")
 
 
 def _similar(x: np.ndarray, y: np.ndarray) -> bool:
@@ -260,8 +265,10 @@ def link(sets: DataFrame, docs: DataFrame, scratch: Scratch) -> list[DataFrame]:
         rows = nodes.join(sized, "node")
         rows = rows.withColumn("label", F.col("id")) if labels is None else _mixed(scratch.keep(_labelled(rows, labels)))
         rows = scratch.keep(rows.select("node", "id", "size", "label"))
+        # few sets get this far down; the others' tokens needn't be shuffled
+        briefs = brief if depth == 0 else _only(brief, scratch.keep(rows.select("id").distinct()), "id")
         blocks = F.when(F.col("size") <= LEAF, F.lit(1)).otherwise(F.ceil(F.col("size") / BLOCK)).cast("int")
-        full = rows.withColumn("blocks", blocks).withColumn("block", F.pmod(F.xxhash64("id", "node"), F.col("blocks")).cast("int")).join(brief, "id")
+        full = rows.withColumn("blocks", blocks).withColumn("block", F.pmod(F.xxhash64("id", "node"), F.col("blocks")).cast("int")).join(briefs, "id")
         own = full.groupBy("node", "block", "blocks", (F.col("size") > LEAF).alias("large")).agg(F.collect_list(item).alias("own"))
         if last:
             groups = own.where(~F.col("large")).select("own", none.alias("others"))
@@ -283,8 +290,9 @@ def link(sets: DataFrame, docs: DataFrame, scratch: Scratch) -> list[DataFrame]:
         if last:
             return [*links, _rest(large, brief, docs, scratch)]
         labels = components(_edges(links), scratch)
-        going = _mixed(scratch.keep(_labelled(large, labels)))
-        nodes = _children(going.join(sets.select("id", "tokens"), "id"))
+        going = scratch.keep(_mixed(scratch.keep(_labelled(large, labels))).select("node", "id"))
+        tokens = _only(sets.select("id", "tokens"), scratch.keep(going.select("id").distinct()), "id")
+        nodes = _children(going.join(tokens, "id"))
     return links
 
 
