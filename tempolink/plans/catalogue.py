@@ -52,6 +52,10 @@ def _components(spark, d):
     return graph.component_labels(graph.pair_edges(exposed))
 
 
+def _components_all(spark, d):
+    return graph.component_labels(_edges(spark, d))
+
+
 def _scored(spark, d):
     edges = _edges(spark, d)
     pairs = learn.held_out_pairs(edges, learn.negative_samples(edges, _nodes(spark, d)), CUT)
@@ -98,6 +102,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "triangles": lambda s, d: graph.triangles(_edges(s, d)),
     "common_neighbors": lambda s, d: graph.common_neighbors(_edges(s, d)),
     "components": _components,
+    "components_all": _components_all,
     "dangling_edges": lambda s, d: validate.dangling_edges(_edges(s, d), _vectors(s, d)),
     "duplicate_exposures": lambda s, d: validate.duplicate_exposures(table(s, d, "lineitem"), "l_orderkey", "l_partkey"),
     "missing_features": lambda s, d: validate.missing_features(_nodes(s, d), _vectors(s, d)),

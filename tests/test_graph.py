@@ -6,7 +6,8 @@ from hypothesis import HealthCheck, given, settings
 from hypothesis import strategies as st
 
 from tempolink.operators import graph
-from tempolink.sources.tables import EDGES, EXPOSURES
+from tempolink.plans.catalogue import QUERIES
+from tempolink.sources.tables import EDGES, EXPOSURES, SCHEMAS
 
 T = lambda day, hour=0: datetime(2024, 1, day, hour)
 
@@ -105,3 +106,25 @@ def test_sliding_windows(spark):
     events = spark.createDataFrame([(T(10, 5), "a", 1), (T(10, 6), "a", 1), (T(10, 6), "a", 2)], "ts timestamp_ntz, event_type string, user_id bigint")
     got = graph.sliding(events).collect()
     assert len(got) == 7 and {(r["n"], r["n_users"]) for r in got} == {(3, 2)} and min(r["window_start"] for r in got) == T(4)
+
+
+def test_components_of_all_months(spark, tmp_path):
+    """Links of orders in every month, against union-find."""
+    orders = [(o, [10 * (o % 4) + (o * k) % 7 for k in (1, 2)] if o < 24 else [90, 30], datetime(1995 + o % 7, 1 + o % 12, 3)) for o in range(25)]
+    lines = [(o, n, 1, i, *[1.0] * 4, "A", "F", t) for o, nodes, t in orders for i, n in enumerate(nodes)]
+    spark.createDataFrame(lines, SCHEMAS["lineitem"]).write.parquet(str(tmp_path / "lineitem.parquet"))
+    spark.createDataFrame([(o, 1, "F", 1.0, t, "1") for o, _, t in orders], SCHEMAS["orders"]).write.parquet(str(tmp_path / "orders.parquet"))
+    up = {}
+
+    def root(n):
+        while up.setdefault(n, n) != n:
+            n = up[n]
+        return n
+
+    for _, (a, b), _ in orders:
+        if a != b:
+            a, b = sorted((root(a), root(b)))
+            up[b] = a
+    want = sorted((n, root(n)) for n in up)
+    assert len({c for _, c in want}) >= 4
+    assert rows(QUERIES["components_all"](spark, str(tmp_path))) == want
