@@ -86,6 +86,10 @@ def _stream(of):
     return lambda spark, d: windows.drain(spark, of(windows.event_stream(spark, d)))
 
 
+def _whole_stream(of):
+    return lambda spark, d: windows.drain_whole(spark, of(windows.event_stream(spark, d), delay=None))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "exposures": _exposures,
     "temporal_edges": _edges,
@@ -122,8 +126,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "hits_at_k": lambda s, d: learn.hits_at_k(_scored(s, d)),
     "linear_attribution": _attribution,
     "occlusion": lambda s, d: learn.occlusion(_adj(s, d), _part_features(s, d)),
-    "stream_tumbling": _stream(windows.tumbling),
-    "stream_session": _stream(windows.sessions),
+    "stream_tumbling": _whole_stream(windows.tumbling),
+    "stream_session": _whole_stream(windows.sessions),
     "stream_dedup": _stream(windows.deduplicated),
 }
 

@@ -17,16 +17,20 @@ def event_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.withColumn("ts", F.col("ts").cast("timestamp"))
 
 
-def tumbling(stream: DataFrame, delay: str = "1 day", length: str = "1 day") -> DataFrame:
-    """Events of each window and type; late ones count until the watermark passes."""
-    counted = stream.withWatermark("ts", delay).groupBy(F.window("ts", length), "event_type").agg(F.count("*").alias("n"))
+def _marked(stream: DataFrame, delay: str | None) -> DataFrame:
+    return stream if delay is None else stream.withWatermark("ts", delay)
+
+
+def tumbling(stream: DataFrame, delay: str | None = "1 day", length: str = "1 day") -> DataFrame:
+    """Events of each window and type; late ones count until the watermark passes, or always without a delay."""
+    counted = _marked(stream, delay).groupBy(F.window("ts", length), "event_type").agg(F.count("*").alias("n"))
     return counted.select(F.col("window.start").alias("window_start"), "event_type", "n")
 
 
-def sessions(stream: DataFrame, delay: str = "1 day", gap: str = "30 minutes") -> DataFrame:
+def sessions(stream: DataFrame, delay: str | None = "1 day", gap: str = "30 minutes") -> DataFrame:
     """Each user's sessions, parted by gaps."""
     w = F.session_window("ts", gap)
-    found = stream.withWatermark("ts", delay).groupBy(w, "user_id").agg(F.count("*").alias("n"))
+    found = _marked(stream, delay).groupBy(w, "user_id").agg(F.count("*").alias("n"))
     return found.select("user_id", F.col("session_window.start").alias("session_start"), F.col("session_window.end").alias("session_end"), "n")
 
 
@@ -36,7 +40,7 @@ def deduplicated(stream: DataFrame, delay: str = "1 day") -> DataFrame:
 
 
 def drain(spark: SparkSession, stream: DataFrame) -> DataFrame:
-    """Runs a stream over what is there now, and reads what it wrote.
+    """Runs a stream over what is there now, and reads what it wrote: of an aggregate, only what the watermark closed.
 
     Output and progress are in the shared folder, so a restarted run goes on
     where it was, each row written once.
@@ -45,3 +49,24 @@ def drain(spark: SparkSession, stream: DataFrame) -> DataFrame:
     query = stream.writeStream.format("parquet").outputMode("append").option("path", f"{root}/rows").option("checkpointLocation", f"{root}/progress").trigger(availableNow=True).start()
     query.awaitTermination()
     return spark.read.schema(stream.schema).parquet(f"{root}/rows")
+
+
+def drain_whole(spark: SparkSession, stream: DataFrame) -> DataFrame:
+    """Runs an aggregate over what is there now, and reads its whole result, open windows and sessions included.
+
+    Each batch writes the whole result anew beside the last one's, so a
+    restarted run repeats a batch without harm.  State is as large as the result.
+    """
+    root = f"{shared_dir(spark)}/stream-{uuid.uuid4().hex}"
+    last = f"{root}/none"
+    spark.createDataFrame([], stream.schema).write.parquet(last)
+
+    def write(rows: DataFrame, batch: int) -> None:
+        nonlocal last
+        path = f"{root}/rows-{batch}"
+        rows.write.mode("overwrite").parquet(path)
+        last = path
+
+    query = stream.writeStream.outputMode("complete").option("checkpointLocation", f"{root}/progress").trigger(availableNow=True).foreachBatch(write).start()
+    query.awaitTermination()
+    return spark.read.schema(stream.schema).parquet(last)

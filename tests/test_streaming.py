@@ -1,6 +1,10 @@
 from datetime import datetime, timezone
 
-from tempolink.sources.tables import SCHEMAS
+import pytest
+from pyspark.sql import functions as F
+
+from tempolink.plans.catalogue import QUERIES
+from tempolink.sources.tables import SCHEMAS, table
 from tempolink.streaming import windows
 
 
@@ -32,3 +36,32 @@ def test_repeats_are_dropped(spark, tmp_path):
     rows = [(1, at(1), 7), (2, at(1, 5), 7)]
     got = windows.drain(spark, windows.deduplicated(stream(spark, tmp_path, [rows, rows])))
     assert sorted(r["event_id"] for r in got.collect()) == [1, 2]
+
+
+def counted(df):
+    return sorted(tuple(map(str, r)) for r in df.collect())
+
+
+def in_batch(spark, folder, name):
+    """The query as a batch over all rows."""
+    events = table(spark, folder, "events").withColumn("ts", F.col("ts").cast("timestamp"))
+    if name == "stream_tumbling":
+        return events.groupBy(F.window("ts", "1 day"), "event_type").count().select("window.start", "event_type", "count")
+    return events.groupBy(F.session_window("ts", "30 minutes"), "user_id").count().select("user_id", "session_window.start", "session_window.end", "count")
+
+
+@pytest.mark.parametrize("name", ["stream_tumbling", "stream_session"])
+def test_whole_streams_equal_the_batch(spark, small, name):
+    got = counted(QUERIES[name](spark, small))
+    assert got == counted(in_batch(spark, small, name))
+    assert sum(int(r[-1]) for r in got) == table(spark, small, "events").count()
+
+
+@pytest.mark.parametrize("name", ["stream_tumbling", "stream_session"])
+def test_late_rows_and_open_windows_count_over_many_files(spark, tmp_path, name):
+    batches = [[(1, at(20), 7), (2, at(20, 10), 7)], [(3, at(1), 7), (4, at(20, 35), 7)], [(5, at(1, 20), 8)]]
+    stream(spark, tmp_path, batches)
+    got = counted(QUERIES[name](spark, str(tmp_path)))
+    assert got == counted(in_batch(spark, str(tmp_path), name)) and sum(int(r[-1]) for r in got) == 5
+    stream(spark, tmp_path / "none", [[]])
+    assert QUERIES[name](spark, str(tmp_path / "none")).count() == 0
