@@ -56,6 +56,12 @@ def _components_all(spark, d):
     return graph.component_labels(_edges(spark, d))
 
 
+def _node_features_all(spark, d):
+    part = table(spark, d, "part")
+    types = [r[0] for r in part.where("p_type IS NOT NULL").select("p_type").distinct().orderBy("p_type").collect()]
+    return features.node_features(part, types)
+
+
 def _scored(spark, d):
     edges = _edges(spark, d)
     pairs = learn.held_out_pairs(edges, learn.negative_samples(edges, _nodes(spark, d)), CUT)
@@ -114,7 +120,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "profile_rollup": lambda s, d: validate.profile_rollup(table(s, d, "lineitem")),
     "edge_invariants": lambda s, d: validate.edge_invariants(_edges(s, d), "1995-01-01", "2001-12-31"),
     "node_features": lambda s, d: features.node_features(table(s, d, "part"), TYPES),
+    "node_features_all": _node_features_all,
     "class_centroid": lambda s, d: features.class_centroid(table(s, d, "embeddings")),
+    "class_centroid_all": lambda s, d: features.class_centroids(table(s, d, "embeddings")),
     "event_attributes": lambda s, d: features.event_attributes(table(s, d, "events")),
     "mean_message": lambda s, d: features.mean_message(_adj(s, d), _part_features(s, d)),
     "decayed_message": lambda s, d: features.decayed_message(_adj(s, d), _part_features(s, d), NOW),

@@ -3,6 +3,7 @@ from datetime import datetime
 import pytest
 
 from tempolink.operators import features, graph, validate
+from tempolink.plans.catalogue import QUERIES
 from tempolink.sources import tables
 
 T = lambda day: datetime(2024, 1, day)
@@ -59,3 +60,23 @@ def test_edges_round_trip_by_period(spark, tmp_path):
     later = tables.read_edges(spark, str(tmp_path / "e"), since="2024-02-01")
     assert rows(later) == [(2, 1, 3, datetime(2024, 2, 3))]
     assert "PartitionFilters: [isnotnull(period" in later._jdf.queryExecution().toString()
+
+
+def test_centroids_of_all_components(spark, small):
+    vectors = spark.createDataFrame([(1, [1.0, 2.0, None]), (1, [3.0, 5.0, 4.0]), (2, [7.0, 8.0]), (2, None), (None, [1.5])], "label int, embedding array<float>")
+    got = {(r["label"], r["component"]): (r["n"], r["mean"]) for r in features.class_centroids(vectors).collect()}
+    assert got == {(1, 1): (2, 2.0), (1, 2): (2, 3.5), (1, 3): (1, 4.0), (2, 1): (1, 7.0), (2, 2): (1, 8.0), (None, 1): (1, 1.5)}
+    rows_ = tables.table(spark, small, "embeddings").collect()
+    whole = QUERIES["class_centroid_all"](spark, small).collect()
+    assert {r["component"] for r in whole} == set(range(1, 65))
+    for r in whole:
+        values = [x["embedding"][r["component"] - 1] for x in rows_ if x["label"] == r["label"]]
+        assert r["n"] == len(values) and r["mean"] == pytest.approx(sum(values) / len(values), abs=1e-6)
+
+
+def test_every_type_has_its_column(spark, small):
+    type_of = {r["p_partkey"]: r["p_type"] for r in tables.table(spark, small, "part").collect()}
+    assert len(set(type_of.values())) == 6
+    for r in QUERIES["node_features_all"](spark, small).collect():
+        hot = {c for c in r.asDict() if c.startswith("is_") and r[c] == 1}
+        assert hot == {"is_" + type_of[r["node_id"]].lower()}
