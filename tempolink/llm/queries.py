@@ -12,7 +12,7 @@ from .packing import op4_packing
 from .quality import op10_quality
 from .secrets import op6_secrets
 from .toxicity import op7_toxicity
-from .warc import op5_warc
+from .warc import op5_warc, op5_warc_all
 
 QUERIES = {
     "op1_neardup": op1_neardup,
@@ -20,6 +20,7 @@ QUERIES = {
     "op3_fingerprints": op3_fingerprints,
     "op4_packing": op4_packing,
     "op5_warc": op5_warc,
+    "op5_warc_all": op5_warc_all,
     "op6_secrets": op6_secrets,
     "op7_toxicity": op7_toxicity,
     "op8_licenses": op8_licenses,

@@ -13,6 +13,10 @@ an empty table gives none; a page of any length is read whole.
 
 from __future__ import annotations
 
+import zlib
+from collections.abc import Callable
+from html.entities import html5
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -22,7 +26,7 @@ DATE = "2024-01-01T00:00:00Z"
 CRLF = "\r\n"
 #: Tags that end a line of text.
 BLOCKS = "p|div|br|h[1-6]|li|ul|ol|nav|article|section|header|footer|main|aside|table|tr|td|th|title|head|body|html|blockquote|pre|form"
-#: Named characters; the ampersand comes last.
+#: The named characters that the SQL twin knows; the ampersand comes last.
 NAMED = [("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "'"), ("&apos;", "'"), ("&nbsp;", " "), ("&amp;", "&")]
 
 
@@ -32,13 +36,77 @@ def _named(c: Column) -> Column:
     return c
 
 
-def plain_text(html: Column) -> Column:
-    """A page's text: no scripts, styles or comments, a line for each block."""
+#: HTML's whole table of named characters in buckets by a hash of the name, and
+#: the older names, longest first, that hold without a semicolon.
+BUCKETS = 2048
+LEGACY = sorted((n for n in html5 if not n.endswith(";")), key=lambda n: (-len(n), n))
+#: What the numbers 128 to 159 stand for.
+C1 = "".join(bytes([i]).decode("cp1252", "ignore") or chr(i) for i in range(128, 160))
+
+
+def _buckets() -> Column:
+    held = [""] * BUCKETS
+    for name, char in sorted(html5.items()):
+        if name.endswith(";"):
+            held[zlib.crc32(name.encode()) % BUCKETS] += f"\1{name}{char}"
+    return F.split(F.lit("\2".join(held)), "\2")
+
+
+def _numbered(ref: Column) -> Column:
+    """The character of ``#8217;`` or ``#x2019;``; a number that is none gives U+FFFD."""
+    hexed, plain = F.regexp_extract(ref, "^#[xX]0*([0-9a-fA-F]*)", 1), F.regexp_extract(ref, "^#0*([0-9]*)", 1)
+    digits, base = F.when(ref.rlike("^#[xX]"), hexed).otherwise(plain), F.when(ref.rlike("^#[xX]"), F.lit(16)).otherwise(F.lit(10))
+    at = F.when(F.length(digits).between(1, 7), F.call_function("conv", digits, base, F.lit(10)).cast("long")).otherwise(F.lit(0))
+    char = F.decode(F.unhex(F.lpad(F.hex(at), 8, "0")), "UTF-32")
+    none = (at <= 0) | (at > 0x10FFFF) | at.between(0xD800, 0xDFFF)
+    return F.when(none, F.lit("\ufffd")).when(at == 0xFEFF, F.lit("\ufeff")).when(at.between(128, 159), F.substring(F.lit(C1), (at - 127).cast("int"), F.lit(1))).otherwise(char)
+
+
+def decoded(c: Column, in_value: bool = False) -> Column:
+    """Text with all character references read once, from left to right.
+
+    In an attribute's value a name without semicolon counts only if no letter,
+    digit or equals sign follows it.
+    """
+    legacy = f"^(?:{'|'.join(LEGACY)})" + ("(?![=A-Za-z0-9])" if in_value else "")
+    held = _buckets()
+
+    def named(ref: Column) -> Column:
+        bucket, key = F.get(held, F.pmod(F.crc32(ref.cast("binary")), F.lit(BUCKETS)).cast("int")), F.concat(F.lit("\1"), ref)
+        return F.when(F.instr(bucket, key) > 0, F.substring_index(F.call_function("substring_index", bucket, key, F.lit(-1)), "\1", 1))
+
+    def with_ref(p: Column) -> Column:
+        return F.struct(p.alias("p"), F.regexp_extract(p, "^(?:#(?:[0-9]+|[xX][0-9a-fA-F]+);?|[A-Za-z][A-Za-z0-9]*;)", 0).alias("ref"))
+
+    def with_char(x: Column) -> Column:
+        ref = x["ref"]
+        char = F.when(ref == "lt;", F.lit("<")).when(ref == "gt;", F.lit(">")).when(ref == "quot;", F.lit('"')).when(ref.startswith("#"), _numbered(ref)).when(ref != "", named(ref))
+        return F.struct(x["p"].alias("p"), ref.alias("ref"), char.alias("char"))
+
+    def read(x: Column) -> Column:
+        old = F.regexp_extract(x["p"], legacy, 0)
+        rest = lambda n: F.substring(x["p"], n + 1, F.length(x["p"]))
+        return F.when(x["char"].isNotNull(), F.concat(x["char"], rest(F.length(x["ref"])))).when(old != "", F.concat(named(F.concat(old, F.lit(";"))), rest(F.length(old)))).otherwise(F.concat(F.lit("&"), x["p"]))
+
+    def part(p: Column, i: Column) -> Column:
+        other = F.get(F.transform(F.transform(F.transform(F.array(p), with_ref), with_char), read), F.lit(0))
+        return F.when(i == 0, p).when(F.startswith(p, F.lit("amp;")), F.concat(F.lit("&"), F.substring(p, 5, 1 << 30))).otherwise(other)
+
+    return F.array_join(F.transform(F.split(c, "&"), part), "")
+
+
+def _read(c: Column) -> Column:
+    """References read; a no-break space is a space."""
+    return F.translate(decoded(c), "\u00a0", " ")
+
+
+def plain_text(html: Column, read: Callable[[Column], Column] = _read) -> Column:
+    """A page's text: no scripts, styles or comments, a line for each block; ``read`` decodes references."""
     c = F.regexp_replace(html, r"(?s)<!--.*?-->", "")
     c = F.regexp_replace(c, r"(?is)<script\b.*?</script\s*>", "")
     c = F.regexp_replace(c, r"(?is)<style\b.*?</style\s*>", "")
     c = F.regexp_replace(c, rf"(?i)</?(?:{BLOCKS})\b[^>]*>", "\n")
-    c = _named(F.regexp_replace(c, r"<[^>]*>", ""))
+    c = read(F.regexp_replace(c, r"<[^>]*>", ""))
     c = F.regexp_replace(c, r"[ \t\r\f]+", " ")
     c = F.regexp_replace(c, r" ?\n[ \n]*", "\n")
     return F.regexp_replace(c, r"^[ \n]+|[ \n]+$", "")
@@ -70,14 +138,19 @@ def responses(pages: DataFrame) -> DataFrame:
     )
 
 
-def derivatives(records: DataFrame) -> DataFrame:
-    """Two records for each response: its metadata and its plain text."""
-    html = F.col("payload")
+def derivatives(records: DataFrame, whole: bool = True) -> DataFrame:
+    """Two records for each response: its metadata and its plain text.
+
+    Unless ``whole``, only the few references in ``NAMED`` are read, none in
+    links, as the SQL twin does.
+    """
+    html, read = F.col("payload"), _read if whole else _named
+    links = F.regexp_extract_all(html, F.lit(r'(?i)href="([^"]*)"'), 1)
     page = records.select(
         "*",
-        _named(F.trim(F.regexp_extract(html, r"(?is)<title[^>]*>(.*?)</title\s*>", 1))).alias("title"),
-        F.regexp_extract_all(html, F.lit(r'(?i)href="([^"]*)"'), 1).alias("links"),
-        plain_text(html).alias("plain"),
+        read(F.trim(F.regexp_extract(html, r"(?is)<title[^>]*>(.*?)</title\s*>", 1))).alias("title"),
+        (F.transform(links, lambda v: decoded(v, in_value=True)) if whole else links).alias("links"),
+        plain_text(html, read).alias("plain"),
     )
     about = F.to_json(F.struct(
         F.col("target_uri").alias("uri"), F.col("http_headers").alias("source_headers"), F.col("payload_digest").alias("payload_digest"),
@@ -130,6 +203,11 @@ def read_warc(spark: SparkSession, path: str) -> DataFrame:
 
 
 def op5_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return derivatives(responses(spark.read.parquet(f"{sf_dir}/pages.parquet")), whole=False)
+
+
+def op5_warc_all(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """As ``op5_warc``, with every character reference read, which its SQL doesn't do."""
     return derivatives(responses(spark.read.parquet(f"{sf_dir}/pages.parquet")))
 
 

@@ -1,10 +1,11 @@
+import json
 import random
 import re
 
 import pytest
 from pyspark.sql import functions as F
 
-from tempolink.llm import mixing, warc
+from tempolink.llm import mixing, queries, warc
 
 
 def pour(budget, children):
@@ -86,3 +87,29 @@ def test_page_text_and_odd_pages(spark):
     assert '"links":["/l"]' in about and '"title":"A &lt; B"' in about
     assert [r["block"] for r in got if r["page_id"] == 2 and r["warc_type"] == "conversion"] == [""]
     assert warc.derivatives(warc.responses(pages.where("1 = 0"))).count() == 0
+
+
+def test_all_character_references_are_read(spark):
+    cases = {
+        "&copy; 2024 &middot; x": "© 2024 · x", "it&#8217;s &#x2019; &#X1F600;": "it’s ’ 😀", "&copy2024 &AMP &notit; &notin;": "©2024 & ¬it; ∉", "&amp;copy; &amp;#65;": "&copy; &#65;",
+        "a & b &nosuch; &; &# &#x; &": "a & b &nosuch; &; &# &#x; &", "&#128; &#150; &#129;.": "€ – \x81.", "&#0; &#xD800; &#x110000; &#99999999999999999999;": "\ufffd \ufffd \ufffd \ufffd",
+        "&#0065;&#65 &#x0000000041;": "AA A", "&NotEqualTilde;|&CounterClockwiseContourIntegral;": "≂̸|∳", "a&nbsp;b&#160;c": "a b c", "&lt;b&gt; &quot;&apos;&#39;": "<b> \"''", "&#xFEFF;x": "\ufeffx",
+    }
+    pages = spark.createDataFrame(list(enumerate(cases)), "page_id long, h string").selectExpr("page_id", "'u' AS url", "concat('<title>', h, '</title><p>', h, '</p>') AS html")
+    got = {(r["page_id"], r["warc_type"]): r["block"] for r in warc.derivatives(warc.responses(pages)).collect()}
+    for i, want in enumerate(cases.values()):
+        assert got[i, "conversion"] == f"{want}\n{want}" and json.loads(got[i, "metadata"])["title"] == want
+    link = '<a href="/s?a=1&amp;b=2&copy=3&copyx&#x2F;&eacute;&copy">x</a><a href="/&Aacute">y</a>'
+    one = spark.createDataFrame([(1, "u", link)], "page_id long, url string, html string")
+    about = [json.loads(r["block"]) for r in warc.derivatives(warc.responses(one)).collect() if r["warc_type"] == "metadata"]
+    assert about[0]["links"] == ["/s?a=1&b=2&copy=3&copyx/é©", "/Á"]
+
+
+def test_the_whole_query_leaves_no_reference(spark, small):
+    made = queries.QUERIES["op5_warc_all"](spark, small)
+    assert not re.search("Python|Pandas|ArrowEval", made._jdf.queryExecution().toString())
+    raw = {r["page_id"]: r["html"] for r in spark.read.parquet(f"{small}/pages.parquet").collect()}
+    texts = {r["page_id"]: r["block"] for r in made.where("warc_type = 'conversion'").collect()}
+    assert texts.keys() == raw.keys()
+    for i, text in texts.items():
+        assert text.count("©") == raw[i].count("&copy;") > 0 and "&copy;" not in text and "&middot;" not in text
