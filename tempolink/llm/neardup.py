@@ -6,17 +6,20 @@ branches the sets by selected tokens: sets that agree on a node's tokens meet in
 that node.  Nodes of up to ``LEAF`` sets are compared exhaustively.  In a larger
 node every set first meets the closest of a few pivots; the node branches on
 unless all its sets are joined by then.  What is still large at ``DEPTH`` is
-compared whole in blocks, so nothing is dropped.  Sets that confirmed links already
+compared in blocks, every pair that passes the size and byte tests.  Sets that confirmed links already
 join aren't compared again, so a large family of copies costs few pairs.
 Candidates that the tokens let pass are confirmed on the full sets, and the
 links' connected components give the classes.
 
 A pair at the threshold is missed by a tree's first level with probability 1/16,
 by all twelve with 4e-15; through three levels of large nodes by less than 1e-7.
-The byte test passes over 1 in 10,000 pairs right at the threshold.
+The byte test passes over 1.4 in 10,000 pairs right at the threshold, in nodes
+and in blocks alike; such a pair is found only through links of others.
 
 Defined cases: a null or empty text, or one without words, has no shingles and
-links with nothing; rows of one doc_id are one vertex, and each row is returned;
+links with nothing; rows of one doc_id are one vertex, and each row is returned
+(if their texts differ, confirming may read any of them, so links of the others
+can be lost, and ``drop_copies`` keeps one of them);
 a row without doc_id is returned with a null component and kept; ties go to the
 smallest doc_id; an empty table gives no rows; texts of any length are whole.
 """
@@ -329,7 +332,7 @@ def _partnered(groups: DataFrame) -> DataFrame:
 
 
 def _rest(rows: DataFrame, brief: DataFrame, docs: DataFrame, scratch: Scratch) -> DataFrame:
-    """Links (a, b) among sets that still share large nodes: all pairs of different labels.
+    """Links (a, b) among sets that still share large nodes: all pairs of different labels that pass the size and byte tests.
 
     Sets that nodes hold together are a family. A family's tokens are compared
     in blocks first; sets with a possible partner are dealt into blocks of
