@@ -5,7 +5,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -31,23 +31,44 @@ class Scratch:
     """Written tables that cut lineage and survive the loss of executors.
 
     ``keep`` writes a DataFrame and reads it back; ``drop`` frees tables that no
-    later step reads.
+    later step reads, and ``release`` all but those that one does.  What is left
+    goes with the application.
     """
 
     def __init__(self, spark: SparkSession, name: str):
         self.spark = spark
         self.root = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
-        self.n = 0
+        self.paths: list[str] = []
+        fs, root = self._at(self.root)
+        fs.deleteOnExit(root)
 
-    def keep(self, df: DataFrame) -> DataFrame:
-        self.n += 1
-        path = f"{self.root}/{self.n:04d}"
+    def _at(self, path: str):
+        path = self.spark._jvm.org.apache.hadoop.fs.Path(path)
+        return path.getFileSystem(self.spark._jsc.hadoopConfiguration()), path
+
+    def keep(self, df: DataFrame, **counts: Column) -> DataFrame:
+        """The written table; ``counts`` are aggregates taken while it is written, then its attribute of that name."""
+        path = f"{self.root}/{len(self.paths):04d}"
+        self.paths.append(path)
+        seen = Observation()
+        schema = df.schema
+        if counts:
+            df = df.observe(seen, *[c.alias(k) for k, c in counts.items()])
         df.write.option("compression", "zstd").parquet(path)
-        kept = self.spark.read.schema(df.schema).parquet(path)
+        kept = self.spark.read.schema(schema).parquet(path)
         kept._scratch_path = path
+        kept.counts = seen.get if counts else {}
         return kept
 
     def drop(self, *frames: DataFrame) -> None:
         for df in frames:
-            path = self.spark._jvm.org.apache.hadoop.fs.Path(df._scratch_path)
-            path.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(path, True)
+            fs, path = self._at(df._scratch_path)
+            fs.delete(path, True)
+            self.paths = [p if p != df._scratch_path else "" for p in self.paths]
+
+    def release(self, *still_read: DataFrame) -> None:
+        """Frees all tables but the given ones."""
+        for path in {p for p in self.paths if p} - {df._scratch_path for df in still_read}:
+            fs, at = self._at(path)
+            fs.delete(at, True)
+        self.paths = [p if p in {df._scratch_path for df in still_read} else "" for p in self.paths]

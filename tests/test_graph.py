@@ -2,9 +2,12 @@ from datetime import datetime
 from itertools import combinations
 from math import comb
 
+import numpy as np
 from hypothesis import HealthCheck, given, settings
 from hypothesis import strategies as st
 
+from pyspark.sql import functions as F
+
 from tempolink.operators import graph
 from tempolink.plans.catalogue import QUERIES
 from tempolink.sources.tables import EDGES, EXPOSURES, SCHEMAS
@@ -108,6 +111,24 @@ def test_sliding_windows(spark):
     assert len(got) == 7 and {(r["n"], r["n_users"]) for r in got} == {(3, 2)} and min(r["window_start"] for r in got) == T(4)
 
 
+def test_components_of_a_long_chain_take_few_rounds(spark, tmp_path, monkeypatch):
+    """Edges dealt one by one, so that no task joins them up by itself."""
+    from tempolink.operators import components as module
+    from tempolink.sources.scratch import Scratch
+
+    monkeypatch.setattr(module, "_shrunk", lambda e: e.select("u", "v", F.monotonically_increasing_id().alias("batch")).dropDuplicates(["u", "v"]))
+    links = spark.range(400).select(F.col("id").alias("u"), (F.col("id") + 1).alias("v")).unionByName(spark.createDataFrame([(900, 901), (901, 900)], "u long, v long"))
+    got = dict(map(tuple, module.components(links, Scratch(spark, "chain"), most_rounds=12).collect()))
+    assert got == {**dict.fromkeys(range(401), 0), 900: 900, 901: 900}
+
+
+def test_a_batch_shrinks_to_its_forest():
+    from tempolink.operators.components import forest
+
+    u, v = forest(np.array([5, 9, 7, 30, 12]), np.array([9, 7, 5, 12, 40]))
+    assert sorted(zip(u.tolist(), v.tolist())) == [(5, 7), (5, 9), (12, 30), (12, 40)]
+
+
 def test_components_of_all_months(spark, tmp_path):
     """Links of orders in every month, against union-find."""
     orders = [(o, [10 * (o % 4) + (o * k) % 7 for k in (1, 2)] if o < 24 else [90, 30], datetime(1995 + o % 7, 1 + o % 12, 3)) for o in range(25)]
