@@ -3,25 +3,27 @@
 Every text becomes its set of five-word shingles and ``WIDTH`` minwise tokens.
 Equal sets are one from here on.  A forest of ``TREES`` independent trees
 branches the sets by selected tokens: sets that agree on a node's tokens meet in
-that node.  Nodes of up to ``LEAF`` sets are compared exhaustively.  In a larger
-node every set first meets the closest of a few pivots; the node branches on
-unless all its sets are joined by then.  What is still large at ``DEPTH`` is
-compared in blocks, every pair that passes the size and byte tests.  Sets that confirmed links already
-join aren't compared again, so a large family of copies costs few pairs.
-Candidates that the tokens let pass are confirmed on the full sets, and the
-links' connected components give the classes.
-
-A pair at the threshold is missed by a tree's first level with probability 1/16,
-by all twelve with 4e-15; through three levels of large nodes by less than 1e-7.
-The byte test passes over 1.4 in 10,000 pairs right at the threshold, in nodes
-and in blocks alike; such a pair is found only through links of others.
+that node.  First-level nodes of up to ``LEAF`` sets are compared exhaustively;
+in a larger one every set meets the closest of a few pivots, which joins up a
+large family of copies by few pairs.  From here on only nodes that hold sets of
+several components count.  Those of more than ``NODE`` sets branch on, level by
+level, and all others are compared exhaustively: sizes and token bytes first,
+then full sets, two sets of one component never.  A node with many more candidate
+pairs than sets is compared in blocks that hold the full sets and give a
+spanning forest, so no group's pairs are ever listed.  The links'
+connected components give the classes.
+
+A pair at the threshold is missed by the first level with probability
+(1 - 0.75)^24 = 4e-15.  Deeper levels keep a pair at the threshold alive with
+3/2 children of 0.75 each, so that of the 24 nodes each holds a chance of 0.33 at
+any depth: 6e-5 of such pairs are missed.  The byte test passes over 1.4 in 10,000
+pairs right at the threshold; such a pair is found only through links of others.
 
 Defined cases: a null or empty text, or one without words, has no shingles and
 links with nothing; rows of one doc_id are one vertex, and each row is returned
-(if their texts differ, confirming may read any of them, so links of the others
-can be lost, and ``drop_copies`` keeps one of them);
-a row without doc_id is returned with a null component and kept; ties go to the
-smallest doc_id; an empty table gives no rows; texts of any length are whole.
+with its own set's size; a row without doc_id is returned with a null component
+and kept; ties go to the smallest doc_id; an empty table gives no rows; texts of
+any length are whole.
 """
 
 from __future__ import annotations
@@ -30,7 +32,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..operators.components import components
@@ -41,10 +43,13 @@ WIDTH = 128
 TREES = 12
 BRANCHES = 2
 LEAF = 16
-DEPTH = 3
 PIVOTS = 8
 BLOCK = 64
-BLOCK_SETS = 1024
+#: Sets that one node may compare exhaustively; a larger one branches on, at most so deep.
+NODE = 2048
+DEEPEST = 12
+#: Candidate pairs a set beyond which a node is compared in blocks of so many bytes of full sets.
+DENSE = 16
 BLOCK_BYTES = 2_000_000
 #: Of 128 token bytes that must agree: 3.7 standard errors below 0.75.
 AGREE = 78
@@ -68,6 +73,17 @@ def _matrix(column: pa.Array, dtype) -> np.ndarray:
     return np.frombuffer(data, dtype=np.uint8)[offs[0] : offs[-1]].view(dtype).reshape(n, -1)
 
 
+def _hashes(values: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Two hashes of each set, whose sorted values lie between the ends; 0 for an empty one."""
+    full = np.diff(ends) > 0
+    hi, lo = np.zeros(len(full), np.uint64), np.zeros(len(full), np.uint64)
+    if full.any():
+        at = ends[:-1][full]
+        hi[full] = np.add.reduceat(mix(values), at)
+        lo[full] = np.add.reduceat(mix(values ^ np.uint64(0xA5A5A5A5A5A5A5A5)), at)
+    return hi, lo
+
+
 def sketch(docs: DataFrame) -> DataFrame:
     """(doc_id, n_shingles, hi, lo, tokens): set size, set hash, minwise tokens.
 
@@ -82,12 +98,11 @@ def sketch(docs: DataFrame) -> DataFrame:
                 n = np.diff(ends)
                 sizes.append(n)
                 full = n > 0
-                hi, lo = np.zeros(len(n), np.uint64), np.zeros(len(n), np.uint64)
+                hi = lo = np.zeros(len(n), np.uint64)
                 found = np.zeros((len(n), WIDTH), np.uint32)
                 if full.any():
                     at = ends[:-1][full]
-                    hi[full] = np.add.reduceat(mix(values), at)
-                    lo[full] = np.add.reduceat(mix(values ^ np.uint64(0xA5A5A5A5A5A5A5A5)), at)
+                    hi, lo = _hashes(values, ends)
                     room = np.empty_like(values)
                     least = np.empty((WIDTH, len(at)), np.uint64)
                     for j in range(WIDTH):
@@ -122,10 +137,10 @@ def _roots(sets: DataFrame) -> DataFrame:
 
 
 def _children(rows: DataFrame) -> DataFrame:
-    """(node, id) one level down, from (node, id, tokens).
+    """(node, id, label) one level down, from (node, id, label, tokens).
 
-    A node's hash selects one token place, or two with probability 1/3: 4/3 =
-    1 / 0.75 children for each set, at which pairs at the threshold survive.
+    A node's hash selects one token place or two, 3/2 children for each set: of a
+    pair at the threshold more than one survives on average.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -133,15 +148,15 @@ def _children(rows: DataFrame) -> DataFrame:
             if not batch.num_rows:
                 continue
             nodes = batch.column(0).to_numpy(zero_copy_only=False).view(np.uint64)
-            ids, tokens = batch.column(1).to_numpy(zero_copy_only=False), _matrix(batch.column(2), np.uint32)
+            ids, labels, tokens = batch.column(1).to_numpy(zero_copy_only=False), batch.column(2).to_numpy(zero_copy_only=False), _matrix(batch.column(3), np.uint32)
             h = mix(nodes ^ np.uint64(0x5851F42D4C957F2D))
             each = np.arange(len(ids))
-            for places, rows_ in ((h % np.uint64(WIDTH), each), ((h >> np.uint64(20)) % np.uint64(WIDTH), np.flatnonzero((h >> np.uint64(40)) % np.uint64(3) == 0))):
+            for places, rows_ in ((h % np.uint64(WIDTH), each), ((h >> np.uint64(20)) % np.uint64(WIDTH), np.flatnonzero((h >> np.uint64(40)) % np.uint64(2) == 0))):
                 p = places[rows_].astype(np.int64)
                 child = mix(nodes[rows_] * np.uint64(0x2545F4914F6CDD1D) + (p.astype(np.uint64) << np.uint64(32)) + tokens[rows_, p])
-                yield pa.RecordBatch.from_arrays([pa.array(child.view(np.int64)), pa.array(ids[rows_])], names=["node", "id"])
+                yield pa.RecordBatch.from_arrays([pa.array(child.view(np.int64)), pa.array(ids[rows_]), pa.array(labels[rows_])], names=["node", "id", "label"])
 
-    return rows.select("node", "id", "tokens").mapInArrow(run, "node long, id long")
+    return rows.select("node", "id", "label", "tokens").mapInArrow(run, "node long, id long, label long")
 
 
 _SET = "struct<id: long, n: long, label: long, brief: binary>"
@@ -195,112 +210,111 @@ def _compared(groups: DataFrame) -> DataFrame:
     return groups.select("own", "others").mapInArrow(run, "a long, b long").distinct()
 
 
-#: Ids up to which the list of wanted documents is sent to every task (16 MB of ids).
-SEND = 1_000_000
+#: Pairs up to which the list of wanted documents is sent to every task (16 MB of ids).
+SEND = 500_000
 
 
-def _only(rows: DataFrame, wanted: DataFrame, key: str) -> DataFrame:
-    """The rows whose key is among the kept wanted ones; only a list of bounded size is sent to all tasks."""
-    few = wanted.count() <= SEND
-    return rows.join(F.broadcast(wanted) if few else wanted, key, "left_semi")
+def _similar(x: bytes, y: bytes) -> bool:
+    x, y = np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64)
+    shared = len(np.intersect1d(x, y, assume_unique=True))
+    return shared > 0 and 100 * shared >= 75 * (len(x) + len(y) - shared)
 
 
-def _texts(wanted: DataFrame, docs: DataFrame) -> DataFrame:
-    """(doc_id, text) of the kept ids."""
-    return _only(pick(docs, doc_id="long", text="string"), wanted, "doc_id")
+def _full(wanted: DataFrame, few: bool, sets: DataFrame, docs: DataFrame) -> DataFrame:
+    """(id, full): whole shingle sets of the wanted ids, read from the texts.
 
+    Only a list of bounded size is sent to all tasks.  Of rows that share a
+    doc_id, those count whose set it is.
+    """
+    named = sets.select("id", "first", "hi", "lo").join(wanted, "id")
+    texts = pick(docs, doc_id="long", text="string")
+    texts = texts.join(F.broadcast(named) if few else named, F.col("doc_id") == F.col("first")).select("id", "hi", "lo", "text")
 
-def _similar(x: np.ndarray, y: np.ndarray) -> bool:
-    shared = len(np.intersect1d(x, y, assume_unique=True))
-    return shared > 0 and 100 * shared >= 75 * (len(x) + len(y) - shared)
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            his, los = (batch.column(i).to_numpy(zero_copy_only=False) for i in (1, 2))
+            for row, data, offs in text_slices(batch.column(3)):
+                values, ends = shingle_sets(data, offs)
+                n = len(ends) - 1
+                hi, lo = _hashes(values, ends)
+                own = (hi.view(np.int64) == his[row : row + n]) & (lo.view(np.int64) == los[row : row + n])
+                full = [values[a:b].tobytes() if ok else None for a, b, ok in zip(ends[:-1], ends[1:], own)]
+                out = pa.RecordBatch.from_arrays([batch.column(0).slice(row, n), pa.array(full, pa.binary())], names=["id", "full"])
+                yield out.filter(pa.array(own))
 
+    return texts.mapInArrow(run, "id long, full binary")
 
-def confirm(pairs: DataFrame, docs: DataFrame, scratch: Scratch) -> DataFrame:
+
+def confirm(pairs: DataFrame, sets: DataFrame, docs: DataFrame, scratch: Scratch) -> DataFrame:
     """Those of the kept pairs (a, b) whose full shingle sets have a similarity of 0.75 or more."""
-    wanted = scratch.keep(pairs.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct())
-    texts = _texts(wanted, docs)
-    both = pairs.join(texts.select(F.col("doc_id").alias("b"), F.col("text").alias("tb")), "b").join(texts.select(F.col("doc_id").alias("a"), F.col("text").alias("ta")), "a")
+    wanted = pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct()
+    full = scratch.keep(_full(wanted, pairs.counts["n"] <= SEND, sets, docs))
+    both = pairs.join(full.select(F.col("id").alias("b"), F.col("full").alias("fb")), "b").join(full.select(F.col("id").alias("a"), F.col("full").alias("fa")), "a")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for at in range(0, batch.num_rows, 128):
-                part = batch.slice(at, 128)
-                keep = [_similar(x, y) for x, y in zip(*(_sets(part.column(i)) for i in (2, 3)))]
-                yield part.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
-
-    return scratch.keep(both.select("a", "b", "ta", "tb").mapInArrow(run, "a long, b long").distinct())
+            keep = [_similar(x.as_buffer(), y.as_buffer()) for x, y in zip(batch.column(2), batch.column(3))]
+            yield batch.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
-
-def _sets(column: pa.Array) -> Iterator[np.ndarray]:
-    for _, data, offs in text_slices(column):
-        values, ends = shingle_sets(data, offs)
-        for a, b in zip(ends[:-1], ends[1:]):
-            yield values[a:b]
+    links = scratch.keep(both.select("a", "b", "fa", "fb").mapInArrow(run, "a long, b long").distinct())
+    scratch.drop(full)
+    return links
 
 
 def _mixed(rows: DataFrame) -> DataFrame:
-    """The rows (node, id, size, label) of nodes that hold more than one label."""
-    mixed = rows.groupBy("node").agg(F.min("label").alias("x"), F.max("label").alias("y")).where("x <> y").select("node")
-    return rows.join(mixed, "node")
+    """(node, id, size, label) of the nodes among rows (node, id, label) that hold more than one label."""
+    nodes = rows.groupBy("node").agg(F.count(F.lit(1)).alias("size"), F.min("label").alias("x"), F.max("label").alias("y"))
+    return rows.join(nodes.where("x <> y").select("node", "size"), "node").select("node", "id", "size", "label")
+
 
+def _candidates(n: np.ndarray, label: np.ndarray, brief: np.ndarray, split: int | None = None) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """(x, y): places of sets of different labels that sizes and token bytes let pass, by x.
 
-def _labelled(rows: DataFrame, labels: DataFrame) -> DataFrame:
-    return rows.join(labels, F.col("id") == F.col("vertex"), "left").select("node", "id", "size", F.coalesce("component", "id").alias("label"))
+    All x < y, or with ``split`` those before it against those from it on.
+    """
+    place, low = np.arange(len(n)), 0 if split is None else split
+    for i in range(0, len(n) if split is None else split, 32):
+        s = slice(i, i + 32 if split is None else min(i + 32, split))
+        p, q = np.nonzero((label[s, None] != label[low:]) & (place[s, None] < place[low:]) & (100 * np.minimum(n[s, None], n[low:]) >= 75 * np.maximum(n[s, None], n[low:])))
+        for k in range(0, len(p), 1 << 14):
+            x, y = p[k : k + (1 << 14)] + i, q[k : k + (1 << 14)] + low
+            ok = (brief[x] == brief[y]).sum(axis=1) >= AGREE
+            yield x[ok], y[ok]
 
 
-def link(sets: DataFrame, docs: DataFrame, scratch: Scratch) -> list[DataFrame]:
-    """Tables of confirmed links (a, b) between the ids of different sets.
+def _screened(groups: DataFrame) -> DataFrame:
+    """(node, a, b): candidate pairs a < b of a node's ``own`` sets, of different labels.
 
-    ``sets``: kept rows (id, n, tokens).  The links join up all sets that any
-    chain of similar sets joins; sets that are joined already aren't compared.
+    A node with more than ``DENSE`` pairs a set gives the sets concerned
+    instead, b being null.
     """
-    brief = sets.select("id", "n", _brief(F.col("tokens")).alias("brief"))
-    item = F.struct("id", "n", "label", "brief")
-    none = F.array().cast(f"array<{_SET}>")
-    nodes = _roots(sets)
-    links: list[DataFrame] = []
-    tested: DataFrame | None = None
-    labels: DataFrame | None = None
-    for depth in range(DEPTH + 1):
-        last = depth == DEPTH
-        nodes = scratch.keep(nodes)
-        sized = scratch.keep(nodes.groupBy("node").agg(F.count("*").alias("size")).where("size > 1"))
-        rows = nodes.join(sized, "node")
-        rows = rows.withColumn("label", F.col("id")) if labels is None else _mixed(scratch.keep(_labelled(rows, labels)))
-        rows = scratch.keep(rows.select("node", "id", "size", "label"))
-        # few sets get this far down; the others' tokens needn't be shuffled
-        briefs = brief if depth == 0 else _only(brief, scratch.keep(rows.select("id").distinct()), "id")
-        blocks = F.when(F.col("size") <= LEAF, F.lit(1)).otherwise(F.ceil(F.col("size") / BLOCK)).cast("int")
-        full = rows.withColumn("blocks", blocks).withColumn("block", F.pmod(F.xxhash64("id", "node"), F.col("blocks")).cast("int")).join(briefs, "id")
-        own = full.groupBy("node", "block", "blocks", (F.col("size") > LEAF).alias("large")).agg(F.collect_list(item).alias("own"))
-        if last:
-            groups = own.where(~F.col("large")).select("own", none.alias("others"))
-        else:
-            # pivots are chosen alike in all nodes, so that pairs of nodes that share sets coincide
-            pivots = [F.min(F.struct(F.xxhash64("id", F.lit(depth), F.lit(i)).alias("h"), "id"))["id"] for i in range(PIVOTS)]
-            large = rows.where(F.col("size") > LEAF).groupBy("node").agg(F.array(*pivots).alias("p")).select("node", F.explode(F.array_distinct("p")).alias("id"))
-            chosen = full.select("node", "id", "n", "label", "brief").join(large, ["node", "id"]).groupBy("node").agg(F.collect_list(item).alias("others"))
-            groups = own.join(chosen, "node", "left").select("own", F.coalesce("others", none).alias("others"))
-        pairs = _compared(groups)
-        if tested is not None:
-            pairs = pairs.join(tested, ["a", "b"], "left_anti")
-        pairs = scratch.keep(pairs)
-        links.append(confirm(pairs, docs, scratch))
-        tested = pairs if tested is None else scratch.keep(tested.unionByName(pairs))
-        large = rows.where(F.col("size") > LEAF)
-        if large.isEmpty():
-            return links
-        if last:
-            return [*links, _rest(large, brief, docs, scratch)]
-        labels = components(_edges(links), scratch)
-        going = scratch.keep(_mixed(scratch.keep(_labelled(large, labels))).select("node", "id"))
-        tokens = _only(sets.select("id", "tokens"), scratch.keep(going.select("id").distinct()), "id")
-        nodes = _children(going.join(tokens, "id"))
-    return links
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for at in range(batch.num_rows):
+                flat = batch.column(1)[at].values
+                ids, n, label = (flat.field(k).to_numpy(zero_copy_only=False) for k in ("id", "n", "label"))
+                pairs, n_found, seen = [], 0, np.zeros(len(ids), bool)
+                for x, y in _candidates(n, label, _matrix(flat.field("brief"), np.uint8)):
+                    n_found += len(x)
+                    seen[x] = seen[y] = True
+                    if n_found <= DENSE * len(ids):
+                        pairs.append((x, y))
+                if not n_found:
+                    continue
+                if n_found <= DENSE * seen.sum():
+                    x, y = (ids[np.concatenate(c)] for c in zip(*pairs))
+                    a, b = pa.array(np.minimum(x, y)), pa.array(np.maximum(x, y))
+                else:
+                    a = pa.array(ids[seen])
+                    b = pa.nulls(len(a), pa.int64())
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(a), batch.column(0)[at].as_py())), a, b], names=["node", "a", "b"])
+
+    return groups.select("node", "own").mapInArrow(run, "node long, a long, b long")
 
 
 def _blocks(of: DataFrame, size: Column, item: Column) -> DataFrame:
-    """(own, others): every block of each family (node) alone, and every two blocks of it."""
+    """(own, others): every block of each node alone, and every two blocks of it."""
     blocks = of.groupBy("node").agg(F.ceil(size).cast("int").alias("blocks"))
     dealt = of.join(blocks, "node").withColumn("block", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int"))
     own = dealt.groupBy("node", "block").agg(F.collect_list(item).alias("own"))
@@ -309,85 +323,104 @@ def _blocks(of: DataFrame, size: Column, item: Column) -> DataFrame:
     return own.select("own", none.alias("others")).unionByName(own.join(sent, ["node", "block"]).select("own", "others"))
 
 
-def _partnered(groups: DataFrame) -> DataFrame:
-    """(id): sets that sizes and token bytes let pass with any set of another label in their group."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            found = [np.zeros(0, np.int64)]
-            for at in range(batch.num_rows):
-                sides = []
-                for column in batch.columns:
-                    flat = column[at].values
-                    sides.append([flat.field(k).to_numpy(zero_copy_only=False) for k in ("id", "n", "label")] + [_matrix(flat.field("brief"), np.uint8) if len(flat) else None])
-                (i, n, y, b), (j, m, z, c) = sides[0], sides[1] if len(sides[1][0]) else sides[0]
-                for k in range(0, len(i), 32):
-                    s = slice(k, k + 32)
-                    p, q = np.nonzero((y[s, None] != z) & (100 * np.minimum(n[s, None], m) >= 75 * np.maximum(n[s, None], m)))
-                    ok = (b[s][p] == c[q]).sum(axis=1) >= AGREE
-                    found += [np.unique(i[s][p[ok]]), np.unique(j[q[ok]])]
-            yield pa.RecordBatch.from_arrays([pa.array(np.unique(np.concatenate(found)))], names=["id"])
-
-    return groups.select("own", "others").mapInArrow(run, "id long").distinct()
-
-
-def _rest(rows: DataFrame, brief: DataFrame, docs: DataFrame, scratch: Scratch) -> DataFrame:
-    """Links (a, b) among sets that still share large nodes: all pairs of different labels that pass the size and byte tests.
-
-    Sets that nodes hold together are a family. A family's tokens are compared
-    in blocks first; sets with a possible partner are dealt into blocks of
-    ``BLOCK_BYTES`` with their full sets, and every two blocks meet in a task of
-    bounded size. A group gives a spanning forest of its links.
-    """
-    seen = scratch.keep(rows.select("node", "id", "label"))
-    first = seen.groupBy("node").agg(F.min("id").alias("first"))
-    families = components(seen.join(first, "node").select(F.col("id").alias("u"), F.col("first").alias("v")), scratch)
-    of = seen.select("id", "label").distinct().join(families, F.col("id") == F.col("vertex")).select(F.col("component").alias("node"), "id", "label")
-    of = scratch.keep(_mixed(scratch.keep(of)).join(brief, "id"))
-    near = scratch.keep(_partnered(_blocks(of, F.count("*") / BLOCK_SETS, F.struct("id", "n", "label", "brief"))))
-    of = scratch.keep(of.join(near, "id"))
-    texts = _texts(of.select(F.col("id").alias("doc_id")), docs)
-
-    def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            sets = pa.array([s.tobytes() for s in _sets(batch.column(1))], pa.binary())
-            yield pa.RecordBatch.from_arrays([batch.column(0), sets], names=["id", "full"])
-
-    full = texts.select("doc_id", "text").mapInArrow(encode, "id long, full binary").dropDuplicates(["id"])
-    groups = _blocks(of.join(full, "id"), F.sum("n") * 8 / BLOCK_BYTES, F.struct("id", "label", "brief", "full"))
+def _joined(groups: DataFrame) -> DataFrame:
+    """(a, b): a spanning forest of each group's links between sets of different labels, found on the full sets."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for at in range(batch.num_rows):
                 own, others = (c[at].as_py() for c in batch.columns)
                 everyone = own + others
-                matrix = np.frombuffer(b"".join(r["brief"] for r in everyone), np.uint8).reshape(len(everyone), -1)
-                full = [np.frombuffer(r["full"], np.uint64) for r in everyone]
-                root: dict[int, int] = {}
-
-                def top(v):
-                    while root.setdefault(v, v) != v:
-                        root[v] = v = root[root[v]]
-                    return v
-
-                label = np.array([r["label"] for r in everyone])
-                size = np.array([len(f) for f in full])
-                a, b = [], []
-                for i in range(len(own)):
-                    # all later sets of a block, or all of the other block
-                    j = np.arange(i + 1 if not others else len(own), len(everyone))
-                    j = j[(label[j] != label[i]) & (100 * np.minimum(size[j], size[i]) >= 75 * np.maximum(size[j], size[i]))]
-                    j = j[(matrix[j] == matrix[i]).sum(axis=1) >= AGREE]
-                    for k in j.tolist():
-                        x, y = top(int(label[i])), top(int(label[k]))
-                        if x != y and _similar(full[i], full[k]):
-                            root[max(x, y)] = min(x, y)
-                            a.append(min(everyone[i]["id"], everyone[k]["id"]))
-                            b.append(max(everyone[i]["id"], everyone[k]["id"]))
+                brief = np.frombuffer(b"".join(r["brief"] for r in everyone), np.uint8).reshape(len(everyone), -1)
+                ids, label, size = (np.array([r[k] for r in everyone], dtype=np.int64) for k in ("id", "label", "n"))
+                values, flat = np.unique(np.frombuffer(b"".join(r["full"] for r in everyone), np.uint64), return_inverse=True)
+                sets = np.split(flat, np.cumsum(size)[:-1])
+                marked = np.zeros(len(values), np.int32)
+                root, a, b = label.copy(), [], []
+                for p, q in _candidates(size, label, brief, len(own) if others else None):
+                    for i, k in zip(*np.unique(p, return_index=True)):
+                        j = q[k : np.searchsorted(p, i, "right")]
+                        j = j[root[j] != root[i]]
+                        if not len(j):
+                            continue
+                        marked[sets[i]] = 1
+                        shared = np.add.reduceat(marked[np.concatenate([sets[m] for m in j])], np.cumsum(size[j]) - size[j])
+                        marked[sets[i]] = 0
+                        for m in j[100 * shared >= 75 * (size[i] + size[j] - shared)]:
+                            if root[m] != root[i]:
+                                root[root == root[m]] = root[i]
+                                a.append(min(ids[i], ids[m]))
+                                b.append(max(ids[i], ids[m]))
                 if a:
                     yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["a", "b"])
 
-    return scratch.keep(groups.mapInArrow(run, "a long, b long").distinct())
+    return groups.select("own", "others").mapInArrow(run, "a long, b long").distinct()
+
+
+def link(sets: DataFrame, docs: DataFrame, scratch: Scratch) -> list[DataFrame]:
+    """Tables of confirmed links (a, b) between the ids of different sets.
+
+    ``sets``: kept rows (id, first, hi, lo, n, tokens).  The links join up all
+    sets that any chain of similar sets joins; sets that are joined already
+    aren't compared.
+    """
+    n = F.count(F.lit(1))
+    brief = sets.select("id", "n", _brief(F.col("tokens")).alias("brief"))
+    item = F.struct("id", "n", "label", "brief")
+    none = F.array().cast(f"array<{_SET}>")
+
+    # the first level: small nodes whole, large ones against pivots
+    nodes = _roots(sets)
+    rows = scratch.keep(nodes.join(nodes.groupBy("node").agg(n.alias("size")).where("size > 1"), "node").select("node", "id", "size"), n=n)
+    if not rows.counts["n"]:
+        return []
+    blocks = F.when(F.col("size") <= LEAF, F.lit(1)).otherwise(F.ceil(F.col("size") / BLOCK)).cast("int")
+    full = rows.withColumn("label", F.col("id")).withColumn("blocks", blocks).withColumn("block", F.pmod(F.xxhash64("id", "node"), F.col("blocks")).cast("int")).join(brief, "id")
+    own = full.groupBy("node", "block").agg(F.collect_list(item).alias("own"))
+    # pivots are chosen alike in all nodes, so that pairs of nodes that share sets coincide
+    pivots = [F.min(F.struct(F.xxhash64("id", F.lit(i)).alias("h"), "id"))["id"] for i in range(PIVOTS)]
+    chosen = rows.where(F.col("size") > LEAF).groupBy("node").agg(F.array(*pivots).alias("p")).select("node", F.explode(F.array_distinct("p")).alias("id"))
+    chosen = chosen.withColumn("label", F.col("id")).join(brief, "id").groupBy("node").agg(F.collect_list(item).alias("others"))
+    met = scratch.keep(_compared(own.join(chosen, "node", "left").select("own", F.coalesce("others", none).alias("others"))), n=n)
+    links = [confirm(met, sets, docs, scratch)]
+
+    # what large nodes still hold apart branches until nodes are small
+    labels = components(_edges(links), scratch)
+    held = rows.where(F.col("size") > LEAF).join(labels, F.col("id") == F.col("vertex"), "left").select("node", "id", F.coalesce("component", "id").alias("label"))
+    held = _mixed(held)
+    small, depth = [], 0
+    counts = {"n": n, "large": F.count_if(F.col("size") > NODE)}
+    while True:
+        held = scratch.keep(held, **counts)
+        if held.counts["n"]:
+            small.append(held.where(F.col("size") <= NODE))
+        if not held.counts["large"] or depth == DEEPEST:
+            break
+        depth += 1
+        large = held.where(F.col("size") > NODE).select("node", "id", "label")
+        held = _mixed(_children(large.join(sets.select("id", "tokens"), "id")))
+    whole = [held.where(F.col("size") > NODE).select("node", "id")] if held.counts["large"] else []
+    if small:
+        groups = _united(small).join(brief, "id").groupBy("node").agg(F.collect_list(item).alias("own"))
+        found = scratch.keep(_screened(groups), n=n, dense=F.count_if(F.col("b").isNull()))
+        if found.counts["n"] > found.counts["dense"]:
+            pairs = found.where("b is not null").select("a", "b").distinct().join(met.select("a", "b"), ["a", "b"], "left_anti")
+            links.append(confirm(scratch.keep(pairs, n=n), sets, docs, scratch))
+        if found.counts["dense"]:
+            whole.append(found.where("b is null").select("node", F.col("a").alias("id")))
+    if whole:
+        of = _united(whole).join(labels, F.col("id") == F.col("vertex"), "left").select("node", "id", F.coalesce("component", "id").alias("label"))
+        of = scratch.keep(of, n=n)
+        full = scratch.keep(_full(of.select("id").distinct(), of.counts["n"] <= SEND, sets, docs).dropDuplicates(["id"]))
+        links.append(scratch.keep(_joined(_blocks(of.join(brief, "id").join(full, "id"), F.sum("n") * 8 / BLOCK_BYTES, F.struct("id", "n", "label", "brief", "full")))))
+    return links
+
+
+def _united(frames: list[DataFrame]) -> DataFrame:
+    out = frames[0]
+    for more in frames[1:]:
+        out = out.unionByName(more)
+    return out
 
 
 def _brief(tokens: Column) -> Column:
@@ -396,25 +429,30 @@ def _brief(tokens: Column) -> Column:
 
 
 def _edges(links: list[DataFrame]) -> DataFrame:
-    out = links[0]
-    for more in links[1:]:
-        out = out.unionByName(more)
-    return out.select(F.col("a").alias("u"), F.col("b").alias("v"))
+    return _united(links).select(F.col("a").alias("u"), F.col("b").alias("v"))
 
 
-def near_duplicates(docs: DataFrame) -> DataFrame:
-    """(doc_id, n_shingles, component_id, kept) of each row of (doc_id, text)."""
-    scratch = Scratch(docs.sparkSession, "neardup")
+def _classes(docs: DataFrame, scratch: Scratch) -> tuple[DataFrame, DataFrame]:
+    """The kept sketches, and the labels (vertex, component) of doc_ids that link with others."""
     sketches = scratch.keep(sketch(docs))
     full = sketches.where("n_shingles > 0 and doc_id is not null")
-    sets = full.groupBy("hi", "lo", F.col("n_shingles").alias("n")).agg(F.min("doc_id").alias("id"), F.first("tokens").alias("tokens"))
-    sets = scratch.keep(sets)
-    # an id may stand for several sets if rows share it; any of its rows will do then
-    links = link(sets.select("id", "n", "tokens"), docs, scratch)
-    named = sets.select("hi", "lo", F.col("n").alias("n_shingles"), "id")
-    copies = full.select("doc_id", "hi", "lo", "n_shingles").join(named, ["hi", "lo", "n_shingles"]).where("doc_id <> id")
-    edges = _edges(links).unionByName(copies.select(F.col("doc_id").alias("u"), F.col("id").alias("v")))
+    sets = full.groupBy("hi", "lo", F.col("n_shingles").alias("n")).agg(F.min("doc_id").alias("first"), F.first("tokens").alias("tokens"))
+    sets = scratch.keep(sets.withColumn("id", F.monotonically_increasing_id()))
+    links = link(sets, docs, scratch)
+    copies = full.select("doc_id", "hi", "lo", "n_shingles").join(sets.select("hi", "lo", F.col("n").alias("n_shingles"), "first"), ["hi", "lo", "n_shingles"])
+    edges = copies.where("doc_id <> first").select(F.col("doc_id").alias("u"), F.col("first").alias("v"))
+    if links:
+        name = lambda c: sets.select(F.col("id").alias(c), F.col("first").alias(f"doc_{c}"))
+        named = _united(links).join(name("a"), "a").join(name("b"), "b")
+        edges = edges.unionByName(named.select(F.col("doc_a").alias("u"), F.col("doc_b").alias("v")))
     labels = components(edges, scratch)
+    scratch.release(sketches, labels)
+    return sketches, labels
+
+
+def near_duplicates(docs: DataFrame) -> DataFrame:
+    """(doc_id, n_shingles, component_id, kept) of each row of (doc_id, text)."""
+    sketches, labels = _classes(docs, Scratch(docs.sparkSession, "neardup"))
     out = sketches.select("doc_id", "n_shingles").join(labels, F.col("doc_id") == F.col("vertex"), "left")
     out = out.select("doc_id", "n_shingles", F.coalesce("component", "doc_id").alias("component_id"))
     return out.withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)))
@@ -423,19 +461,21 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
 def drop_copies(docs: DataFrame) -> DataFrame:
     """The rows, all columns, that stay: one of each group of near duplicates.
 
-    Of rows that share a doc_id one stays; rows without doc_id all stay.
+    Rows without doc_id all stay, as do documents without words.  Rows that share
+    a doc_id are one document: the one of the smallest text hash stays, if any.
     """
     scratch = Scratch(docs.sparkSession, "dropcopies")
     found = scratch.keep(near_duplicates(docs).select("doc_id", "kept"))
-    gone = scratch.keep(found.where("not kept").select(F.col("doc_id").alias("_gone")).distinct())
-    few = gone.count() <= SEND
-    ids = F.col("doc_id").cast("long")
-    rest = docs.join(F.broadcast(gone) if few else gone, ids == F.col("_gone"), "left_anti")
-    repeated = scratch.keep(found.where("kept and doc_id is not null").groupBy("doc_id").count().where("count > 1").select(F.col("doc_id").alias("_again")))
-    if repeated.isEmpty():
-        return rest
-    once = rest.join(repeated, ids == F.col("_again"), "left_anti")
-    return once.unionByName(rest.join(repeated, ids == F.col("_again"), "left_semi").dropDuplicates(["doc_id"]))
+    ids = found.where("doc_id is not null").groupBy("doc_id").agg(F.count_if("kept").alias("rows"))
+    ids = scratch.keep(ids.where("rows <> 1").select(F.col("doc_id").alias("id"), "rows"), n=F.count(F.lit(1)), again=F.count_if(F.col("rows") > 1))
+    out = docs.join(F.broadcast(ids) if ids.counts["n"] <= 2 * SEND else ids, docs["doc_id"].cast("long") == ids["id"], "left_anti")
+    if not ids.counts["again"]:
+        return out
+    again = ids.where("rows > 1")
+    rows = docs.join(again, docs["doc_id"].cast("long") == again["id"], "left_semi")
+    order = Window.partitionBy(F.col("_row.doc_id").cast("long")).orderBy(F.xxhash64("_row.text"), F.to_json("_row"))
+    first = rows.select(F.struct(*docs.columns).alias("_row")).withColumn("_at", F.row_number().over(order)).where("_at = 1")
+    return out.unionByName(first.select("_row.*"))
 
 
 def op1_neardup(spark: SparkSession, sf_dir: str) -> DataFrame:

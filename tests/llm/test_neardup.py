@@ -1,6 +1,7 @@
 import random
 
 import pytest
+from pyspark.sql import functions as F
 
 from tempolink.llm import neardup
 
@@ -42,19 +43,36 @@ def families(seed, n, words=60):
 
 @pytest.mark.parametrize("seed", [1, 2])
 def test_components_are_those_of_all_pairs(spark, seed):
-    rows = families(seed, 90)  # larger than LEAF: pivots, branching and the exact rest
+    rows = families(seed, 90)  # larger than LEAF: pivots, then nodes of several components
     got = {r["doc_id"]: r["component_id"] for r in neardup.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
     assert got == brute(rows)
 
 
-def test_the_exact_rest_misses_nothing(spark, monkeypatch):
-    monkeypatch.setattr(neardup, "DEPTH", 0)
-    monkeypatch.setattr(neardup, "BLOCK_BYTES", 4000)
+@pytest.mark.parametrize(("node", "deepest", "dense"), [(2048, 12, 0), (20, 12, 16), (20, 12, 0), (8, 0, 16)])
+def test_large_nodes_branch_and_dense_ones_meet_in_blocks(spark, monkeypatch, node, deepest, dense):
+    """Nodes above the limit branch on, at the deepest they are compared whole, dense ones on full sets in blocks."""
+    for name, value in (("NODE", node), ("DEEPEST", deepest), ("DENSE", dense), ("BLOCK_BYTES", 4000), ("PIVOTS", 1)):
+        monkeypatch.setattr(neardup, name, value)
     rows = families(3, 50)
     got = {r["doc_id"]: r["component_id"] for r in neardup.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
     assert got == brute(rows)
 
 
+def test_rows_of_one_id_keep_the_links_of_all_their_texts(spark):
+    base, other = " ".join(f"a{i}" for i in range(40)), " ".join(f"b{i}" for i in range(40))
+    rows = [(1, base), (1, other), (2, base + " x"), (3, other + " y"), (4, " ".join(f"c{i}" for i in range(40)))]
+    got = sorted((r["doc_id"], r["component_id"], r["n_shingles"]) for r in neardup.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect())
+    assert got == [(1, 1, 36), (1, 1, 36), (2, 1, 37), (3, 1, 37), (4, 4, 36)]
+
+
+def test_the_same_rows_stay_however_they_are_dealt(spark):
+    rows = [(1, "one text", "x"), (1, "another text", "y"), (1, "another text", "z"), (2, None, "x"), (2, None, "w"), (None, "one text", "x"), (3, "one text", "v")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, id string").withColumns({"_row": F.lit(1), "_gone": F.lit(2), "vertex": F.lit(3)})
+    kept = [sorted(map(tuple, neardup.drop_copies(d).collect()), key=str) for d in (docs, docs.repartition(5), docs.orderBy(F.desc("id")))]
+    assert kept[0] == kept[1] == kept[2]
+    assert sorted(str(r[0]) for r in kept[0]) == ["1", "2", "None"]
+
+
 def test_on_the_small_tables(spark, small):
     docs = spark.read.parquet(f"{small}/documents.parquet")
     rows = [tuple(r) for r in docs.select("doc_id", "text").collect()]
