@@ -2,11 +2,18 @@
 
 from __future__ import annotations
 
+import pickle
+from collections.abc import Callable, Iterator
+from typing import TypeVar
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .shared import pick
 
+T = TypeVar("T")
+
 #: Longest text, in characters, that a sample takes.
 LONGEST = 20_000
 
@@ -32,10 +39,18 @@ def sample_rows(docs: DataFrame, labels: DataFrame, column: str, most: dict[int,
         chosen = part if chosen is None else chosen.unionByName(part)
     texts = pick(docs, doc_id="long", text="string").join(F.broadcast(chosen), "doc_id").where(F.length("text") <= longest)
     total = sum(counts.values())
-    return texts.dropDuplicates(["doc_id"]), counts.get(1, 0) / total if total else 0.0
+    # of rows that share an id the first text counts
+    return texts.groupBy("doc_id").agg(F.min("text").alias("text"), F.first("label").alias("label")), counts.get(1, 0) / total if total else 0.0
+
+
+def fit_in_task(docs: DataFrame, labels: DataFrame, column: str, most: dict[int, int], train: Callable[[list[tuple[str, int]], float], T]) -> T:
+    """``train`` of the bounded sample, by id, and label 1's share; run in one task, so that the driver holds the model only."""
+    rows, share = sample_rows(docs, labels, column, most)
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known = sorted(r for b in batches for r in zip(*(c.to_pylist() for c in b.columns)))
+        model = train([(text, label) for _, text, label in known], share)
+        yield pa.RecordBatch.from_arrays([pa.array([pickle.dumps(model)], pa.binary())], names=["model"])
 
-def sample(docs: DataFrame, labels: DataFrame, column: str, most: dict[int, int], longest: int = LONGEST) -> tuple[list[tuple[str, int]], float]:
-    """``sample_rows`` brought to the driver, in the order of the ids."""
-    rows, share = sample_rows(docs, labels, column, most, longest)
-    return [(t, y) for _, t, y in sorted((r["doc_id"], r["text"], r["label"]) for r in rows.collect())], share
+    found = rows.select("doc_id", "text", "label").coalesce(1).mapInArrow(run, "model binary").collect()
+    return pickle.loads(found[0]["model"]) if found else train([], share)

@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .labelled import held_out, sample
+from .labelled import fit_in_task, held_out
 from .shared import NOT_BLANK, pick, prefix_hash, small_batches, span_hash, text_slices, word_spans
 
 #: Labelled documents that are learned from: good and others.
@@ -204,7 +204,8 @@ def keep_good(docs: DataFrame, model: Network | float) -> DataFrame:
 
 
 def fit(docs: DataFrame, labels: DataFrame) -> Network | float:
-    return train(*sample(docs, labels, "quality", SAMPLE))
+    """The network trained on the bounded sample, in one task."""
+    return fit_in_task(docs, labels, "quality", SAMPLE, train)
 
 
 def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -11,12 +11,12 @@ offending spans.
 Defined cases: a null or empty text, or one without words, has the score of no
 evidence and no spans; a null doc_id stays null; repeated rows are each scored; an
 empty table gives no rows; without labels of both kinds the score is the
-labels' share; a text of any length is read whole.
+labels' share; a text of any length is read whole, a sentence of more than
+``LONGEST_CHAIN`` tokens as several chains that don't see each other.
 """
 
 from __future__ import annotations
 
-import pickle
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .labelled import held_out, sample_rows
+from .labelled import fit_in_task, held_out
 from .shared import WORDLIKE, mix, pick, prefix_hash, span_hash, text_slices, word_spans
 
 #: Labelled documents that are learned from: toxic and others.
@@ -329,17 +329,15 @@ def score_documents(docs: DataFrame, field: Field) -> DataFrame:
 
 
 def fit(docs: DataFrame, labels: DataFrame) -> Field:
-    """The field trained on the bounded sample, in one task, so that the driver holds the model only."""
-    rows, share = sample_rows(docs, labels, "toxic", SAMPLE)
+    """The field trained on the bounded sample, in one task."""
+    return fit_in_task(docs, labels, "toxic", SAMPLE, _light)
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known = sorted(r for b in batches for r in zip(*(c.to_pylist() for c in b.columns)))
-        field = train([(text, label) for _, text, label in known], share)
-        field.weights = field.weights.astype(np.float32)
-        yield pa.RecordBatch.from_arrays([pa.array([pickle.dumps(field)], pa.binary())], names=["field"])
 
-    found = rows.select("doc_id", "text", "label").coalesce(1).mapInArrow(run, "field binary").collect()
-    return pickle.loads(found[0]["field"]) if found else train([], share)
+def _light(rows: list[tuple[str, int]], share: float) -> Field:
+    """The trained field, its weights in single precision."""
+    field = train(rows, share)
+    field.weights = field.weights.astype(np.float32)
+    return field
 
 
 def op7_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
