@@ -5,7 +5,9 @@ what remains is routed to the smallest tier (512, 1024 or 2048 tokens) that
 holds it.  Each tier packs its own pieces, largest first.  A gap in a long
 window is filled from the shorter tiers, and at last by cutting one piece, so a
 sequence is exactly full.  Sequences whose length is a power of two need no
-padding.  Sequences of one tier form step groups of equal token counts.
+padding.  A partition's sequences, in the order they are packed, form step groups
+of 131,072 tokens; the last two share evenly what is left, so that none is less
+than half full but for a partition that holds less.
 
 Each Spark partition packs on its own while it streams through its rows, so
 there is no shuffle, memory is bounded by one pool of pieces, and a lost task is
@@ -39,7 +41,7 @@ END_ID = 1
 #: Pieces that wait in one tier before it packs a round.
 POOL = 2048
 #: Distinct chunks of text whose ids a worker remembers.
-REMEMBERED = 700_000
+REMEMBERED = 400_000
 STEP_TOKENS = 131_072
 
 PIECES = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long, tier int, step_group long"
@@ -66,7 +68,7 @@ class ChunkTokenizer:
         from tokenizers import Tokenizer
 
         self.model = Tokenizer.from_file(path)
-        self.model.encode_special_tokens = True
+        self.added = [t.content for t in self.model.get_added_tokens_decoder().values()]
         with open(ranks, "rb") as lines:
             table = {base64.b64decode(a): int(b) for a, b in map(bytes.split, lines)}
         self.latin = tiktoken.Encoding("ranks", pat_str=pattern, mergeable_ranks=table, special_tokens={})
@@ -98,7 +100,7 @@ class ChunkTokenizer:
             heads.clear()
         out = []
         for text in texts:
-            if "  " in text or "\n\n" in text or " \n" in text or "\n " in text or text[:1].isspace() or text[-1:].isspace() or _OTHER_BLANK.search(text):
+            if any(map(text.__contains__, self.added)) or "  " in text or "\n\n" in text or " \n" in text or "\n " in text or text[:1].isspace() or text[-1:].isspace() or _OTHER_BLANK.search(text):
                 out.append(self._encode(text))
                 continue
             lines = []
@@ -217,25 +219,38 @@ def pack_documents(
         tokens, packer = worker_tokenizer(*files), Packer(tiers)
         base = TaskContext.get().partitionId() << 36
         texts: dict[int, list] = {}  # key -> [doc_id, ids, tokens still unpacked]
-        n_sequences, filled = 0, dict.fromkeys([1 << i for i in range(32)], 0)
+        n_sequences, n_groups = 0, 0
+        waiting: list[tuple[int, list[tuple]]] = []  # sequences without a group, less than two groups' tokens
         rows: list[tuple] = []
 
+        def close(most: int):
+            """The first waiting sequences of so many tokens become a step group."""
+            nonlocal n_groups
+            size, n = 0, 0
+            while n < len(waiting) and size + waiting[n][0] <= most:
+                size += waiting[n][0]
+                n += 1
+            rows.extend(row[:8] + (base + n_groups,) + row[8:] for _, sequence in waiting[:n] for row in sequence)
+            del waiting[:n]
+            n_groups += 1
+
         def emit(sequences):
             nonlocal n_sequences
             for size, pieces in sequences:
-                offset = 0
-                group = base + (size << 22) + filled[size] // STEP_TOKENS
-                filled[size] += size
+                offset, sequence = 0, []
                 for length, key, start in pieces:
                     doc = texts[key]
                     ids = doc[1][4 * start : 4 * (start + length)]
-                    row = (doc[0], start, length, zlib.crc32(ids), len(doc[1]) // 4, base + n_sequences, offset, size, group)
-                    rows.append(row + (np.frombuffer(ids, dtype="<i4"),) if with_ids else row)
+                    row = (doc[0], start, length, zlib.crc32(ids), len(doc[1]) // 4, base + n_sequences, offset, size)
+                    sequence.append(row + (np.frombuffer(ids, dtype="<i4"),) if with_ids else row)
                     offset += length
                     doc[2] -= length
                     if not doc[2]:
                         del texts[key]
+                waiting.append((size, sequence))
                 n_sequences += 1
+                if len(waiting) % 64 == 0 and sum(s for s, _ in waiting) >= 2 * STEP_TOKENS:
+                    close(STEP_TOKENS)
 
         def flushed() -> pa.RecordBatch:
             columns = list(zip(*rows))
@@ -257,6 +272,12 @@ def pack_documents(
                     if len(rows) >= 4096:
                         yield flushed()
         emit(packer.flush(final=True))
+        left = sum(s for s, _ in waiting)
+        while left > STEP_TOKENS:
+            close(STEP_TOKENS if left > 2 * STEP_TOKENS else left // 2 + tiers[-1])
+            left = sum(s for s, _ in waiting)
+        if waiting:
+            close(left)
         if rows:
             yield flushed()
 

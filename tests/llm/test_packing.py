@@ -3,6 +3,7 @@ import zlib
 import numpy as np
 import public_tokenizers as public
 import pytest
+from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 from tempolink.llm import packing
@@ -10,9 +11,7 @@ from tempolink.llm import packing
 
 @pytest.fixture(scope="module")
 def model():
-    t = Tokenizer.from_file(public.path("byte_bpe_50k.json"))
-    t.encode_special_tokens = True
-    return t
+    return Tokenizer.from_file(public.path("byte_bpe_50k.json"))
 
 
 def ids_of(model, text):
@@ -63,6 +62,22 @@ def test_chunks_give_the_ids_of_whole_texts(model):
         assert tokens.ids(texts) == [ids_of(model, t)[:-1].tobytes() for t in texts]
 
 
-def test_step_groups_are_balanced(spark, small):
-    rows = packing.op4_packing(spark, small).groupBy("step_group", "tier").sum("length").collect()
-    assert all(r["sum(length)"] <= packing.STEP_TOKENS for r in rows)
+def test_added_tokens_are_read_as_the_tokenizer_reads_them(model):
+    tokens = packing.worker_tokenizer(public.path("byte_bpe_50k.json"), public.path("byte_bpe_50k.tiktoken"), public.PATTERN)
+    literals = [t.content for t in model.get_added_tokens_decoder().values()]
+    assert literals
+    texts = [f.replace("{}", t) for t in literals for f in ("say {} now", "{}", "a{}b", "{} {}\n{}", " {} ")] + ["<|endoftext", "<| endoftext |>"]
+    assert tokens.ids(texts) == [model_ids.tobytes() for model_ids in (ids_of(model, t)[:-1] for t in texts)]
+
+
+def test_step_groups_are_balanced(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").repartition(3)
+    rows = packing.pack_documents(docs, with_ids=False).groupBy(F.shiftright("step_group", 36).alias("part"), "step_group").sum("length").collect()
+    sizes = {}
+    for r in rows:
+        sizes.setdefault(r["part"], []).append(r["sum(length)"])
+    assert len(sizes) == 3 and all(len(s) > 1 for s in sizes.values())
+    for s in sizes.values():
+        assert max(s) <= packing.STEP_TOKENS and min(s) >= packing.STEP_TOKENS // 2 - 2048
+    few = packing.pack_documents(docs.limit(3), with_ids=False)
+    assert few.select("step_group").distinct().count() == few.selectExpr("shiftright(step_group, 36)").distinct().count()
