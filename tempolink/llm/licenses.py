@@ -3,10 +3,11 @@
 Every text's rolling three-word shingles are joined to the positions of the same
 shingles in license templates (hash first, then the words themselves).  A match
 votes for the diagonal of its template: text position less template position.
-Neighbouring diagonals, parted by a few inserted or missing words, are merged,
-and a merged span counts when enough distinct template positions vote for it
-and it isn't much longer than the template.  Base phrases must match in full on
-one diagonal.
+Neighbouring diagonals, parted by a few inserted or missing words, are merged.
+Within a merged span the stretch, not much longer than the template, that most
+distinct template positions vote for is verified: it counts when enough do.
+Whatever else runs on beside a true span, it isn't lost.  Base phrases must match
+in full on one diagonal.
 
 The templates are a fixed list of this module or the caller's, a few thousand
 rows, so they are broadcast; the texts are read once and only matches and one
@@ -105,13 +106,17 @@ def license_spans(docs: DataFrame, templates=TEMPLATES, base=BASE, k: int = K) -
     hits = grams.withColumn("h", F.xxhash64("gram")).join(known, "h").where("gram = tgram")
     key = ["row", "doc_id", "n_words", "template", "label", "base", "n_grams", "slack", "need"]
     hits = hits.select(*key, "pos", "tpos", (F.col("pos") - F.col("tpos")).alias("diagonal")).repartition("row")
-    votes = hits.groupBy(*key, "diagonal").agg(F.min("pos").alias("first"), F.max("pos").alias("last"), F.collect_set("tpos").alias("at"))
-    along = Window.partitionBy("row", "template").orderBy("diagonal")
-    votes = votes.withColumn("parted", (F.col("diagonal") - F.lag("diagonal").over(along) > F.col("slack")).cast("int"))
-    votes = votes.withColumn("span", F.sum(F.coalesce("parted", F.lit(0))).over(along))
-    spans = votes.groupBy(*key, "span").agg(F.min("first").alias("start"), (F.max("last") + k).alias("end"), F.size(F.array_distinct(F.flatten(F.collect_list("at")))).alias("votes"))
-    whole = (F.col("votes") >= F.col("need")) & (F.col("end") - F.col("start") <= LONGER * (F.col("n_grams") + k - 1))
-    return spans.where(whole).select("row", "doc_id", "n_words", "template", "label", "base", "start", "end", (F.col("votes") / F.col("n_grams")).alias("coverage"))
+    along = Window.partitionBy("row", "template").orderBy("diagonal", "pos", "tpos")
+    parted = (F.col("diagonal") - F.lag("diagonal").over(along) > F.col("slack")).cast("int")
+    hits = hits.withColumn("parted", F.coalesce(parted, F.lit(0))).withColumn("span", F.sum("parted").over(along.rowsBetween(Window.unboundedPreceding, 0)))
+    # from each place of a span as far as a stretch may reach, counted in millionths of that reach (rounding down keeps the order)
+    reach = F.greatest(F.lit(1), F.floor(LONGER * (F.col("n_grams") + k - 1)) - k)
+    stretch = Window.partitionBy("row", "template", "span").orderBy("at").rangeBetween(0, 1 << 20)
+    hits = hits.withColumn("at", F.floor(F.col("pos").cast("long") * (1 << 20) / reach))
+    hits = hits.withColumn("votes", F.size(F.collect_set("tpos").over(stretch)).cast("long")).withColumn("end", F.max("pos").over(stretch) + k)
+    best = F.max_by(F.struct(F.col("pos").alias("start"), "end", "votes"), F.struct("votes", -F.col("pos")))
+    spans = hits.groupBy(*key, "span").agg(best.alias("best")).select(*key, "best.*").where("votes >= need")
+    return spans.select("row", "doc_id", "n_words", "template", "label", "base", "start", "end", (F.col("votes") / F.col("n_grams")).alias("coverage"))
 
 
 def scan_licenses(docs: DataFrame, templates=TEMPLATES, base=BASE) -> DataFrame:

@@ -48,18 +48,20 @@ WITH tw AS (SELECT template, label, base, {_WORDS} AS w FROM (VALUES {_VALUES})
 tg AS (SELECT template, label, base, len(w) - {K - 1} AS n, unnest({_GRAMS}) AS gram, generate_subscripts({_GRAMS}, 1) - 1 AS tpos FROM tw),
 dw AS MATERIALIZED (SELECT doc_id, {_WORDS} AS w FROM documents),
 dg AS (SELECT doc_id, unnest({_GRAMS}) AS gram, generate_subscripts({_GRAMS}, 1) - 1 AS pos FROM dw WHERE len(w) >= {K}),
-votes AS (
-  SELECT doc_id, template, label, base, n, pos - tpos AS diagonal, min(pos) AS p, max(pos) AS q, list(DISTINCT tpos) AS places
-  FROM dg JOIN tg USING (gram) GROUP BY ALL),
+hits AS (SELECT doc_id, template, label, base, n, pos - tpos AS diagonal, pos, tpos FROM dg JOIN tg USING (gram)),
 parted AS (
   SELECT *, CASE WHEN diagonal - lag(diagonal) OVER o > CASE WHEN base THEN 0 ELSE {SLACK} END THEN 1 ELSE 0 END AS new
-  FROM votes WINDOW o AS (PARTITION BY doc_id, template ORDER BY diagonal)),
-numbered AS (SELECT *, sum(new) OVER (PARTITION BY doc_id, template ORDER BY diagonal) AS span FROM parted),
-spans AS (
-  SELECT doc_id, template, label, base, n, span, min(p) AS a, max(q) + {K} AS z, len(list_distinct(flatten(list(places)))) AS votes
-  FROM numbered GROUP BY doc_id, template, label, base, n, span),
+  FROM (SELECT DISTINCT doc_id, template, base, diagonal FROM hits) WINDOW o AS (PARTITION BY doc_id, template ORDER BY diagonal)),
+numbered AS (SELECT doc_id, template, diagonal, sum(new) OVER (PARTITION BY doc_id, template ORDER BY diagonal) AS span FROM parted),
+placed AS (SELECT * FROM hits JOIN numbered USING (doc_id, template, diagonal)),
+stretches AS (
+  SELECT a.doc_id, a.template, a.label, a.base, a.n, a.span, a.pos AS a, max(b.pos) + {K} AS z, count(DISTINCT b.tpos) AS votes
+  FROM (SELECT DISTINCT doc_id, template, label, base, n, span, pos FROM placed) a
+  JOIN placed b ON a.doc_id = b.doc_id AND a.template = b.template AND a.span = b.span AND b.pos >= a.pos AND b.pos + {K} - a.pos <= {LONGER}::DOUBLE * (a.n + {K - 1})
+  GROUP BY ALL),
 good AS (
-  SELECT * FROM spans WHERE votes >= CASE WHEN base THEN n ELSE ceil({COVERAGE}::DOUBLE * n) END AND z - a <= {LONGER}::DOUBLE * (n + {K - 1})),
+  SELECT * FROM stretches WHERE votes >= CASE WHEN base THEN n ELSE ceil({COVERAGE}::DOUBLE * n) END
+  QUALIFY row_number() OVER (PARTITION BY doc_id, template, span ORDER BY votes DESC, a) = 1),
 d AS (
   SELECT doc_id, count(*) FILTER (base) AS n_base, min(a) FILTER (base) AS f, max(a) FILTER (base) AS l,
     coalesce(array_to_string(list_sort(list(DISTINCT label) FILTER (base)), ','), '') AS bl, array_to_string(list_sort(list(DISTINCT label)), ',') AS al,

@@ -1,8 +1,10 @@
 import re
 
+import duckdb
 import pytest
 
 from tempolink.llm import licenses
+from tempolink.llm.sql import LICENSES
 
 WORD = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 BASE = [(label, text.split()) for label, text in licenses.BASE]
@@ -43,6 +45,20 @@ def test_spans_bear_inserted_and_missing_words(spark, change, found):
     assert (label in r["labels"].split(",")) == found and r["n_base"] == 0 and (r["score"] > 0) == found
 
 
+@pytest.mark.parametrize("change", [lambda t: f"{t} {'of the software ' * 40}", lambda t: f"{'of the software ' * 40} {t}", lambda t: f"{'of the software ' * 40} {t} {'of the software ' * 40}", lambda t: f"{t} {t} x {t}"])
+def test_a_span_isnt_lost_beside_repeats(spark, change):
+    label, text = licenses.TEMPLATES[0]
+    docs = spark.createDataFrame([(1, f"before {change(text)} after"), (2, "of the software " * 60)], "doc_id long, text string")
+    got = {r["doc_id"]: r for r in licenses.scan_licenses(docs).collect()}
+    assert label in got[1]["labels"].split(",") and got[1]["score"] == 1.0
+    assert got[2]["labels"] == "" and got[2]["score"] == 0
+    con = duckdb.connect()
+    rows = docs.toPandas()
+    con.register("documents", rows)
+    sql = {r[0]: r[1:] for r in con.execute(f"SELECT doc_id, n_words, labels, score FROM ({LICENSES})").fetchall()}
+    assert sql == {i: (r["n_words"], r["labels"], r["score"]) for i, r in got.items()}
+
+
 def test_spans_have_places(spark):
     label, text = licenses.TEMPLATES[5]
     spans = licenses.license_spans(spark.createDataFrame([(1, "a b c " + text + ". x")], "doc_id long, text string")).where("template >= 0").collect()
