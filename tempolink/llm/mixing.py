@@ -119,6 +119,14 @@ def _streamed(rows: DataFrame, epochs: int, seed: str) -> DataFrame:
     return rows.withColumn("_place", place)
 
 
+#: Leaves up to which their ends are sent to all tasks; beyond it the same join shuffles.
+SEND = 200_000
+
+
+def _sent(ends: DataFrame) -> DataFrame:
+    return F.broadcast(ends) if ends.counts["n"] <= SEND else ends
+
+
 def _ends(rows: DataFrame, budget: DataFrame, scratch: Scratch) -> DataFrame:
     """(leaf, _last, _before, _budget): the place of each leaf's last taken row and the tokens before it.
 
@@ -132,18 +140,18 @@ def _ends(rows: DataFrame, budget: DataFrame, scratch: Scratch) -> DataFrame:
         along = Window.partitionBy(*_LEAF).orderBy("_bucket")
         until = sums.withColumn("until", F.sum("n").over(along)).join(ends, _LEAF).withColumn("until", F.col("until") + F.col("_before")).where("until >= _budget")
         first = until.groupBy(*_LEAF).agg(F.min(F.struct("_bucket", (F.col("until") - F.col("n")).alias("before"))).alias("end"), F.first("_budget").alias("_budget"))
-        ends = scratch.keep(first.select(*_LEAF, F.col("end._bucket").alias("_in"), F.col("end.before").alias("_before"), "_budget"))
-        cut = cut.join(ends.select(*_LEAF, "_in"), _LEAF).where(bucket == F.col("_in")).drop("_in")
+        ends = scratch.keep(first.select(*_LEAF, F.col("end._bucket").alias("_in"), F.col("end.before").alias("_before"), "_budget"), n=F.count(F.lit(1)))
+        cut = cut.join(_sent(ends).select(*_LEAF, "_in"), _LEAF).where(bucket == F.col("_in")).drop("_in")
         ends = ends.drop("_in")
     alike = cut.groupBy(*_LEAF, "_place").agg(F.sum("_n").alias("n")).join(ends, _LEAF)
     start = F.col("_before") + F.sum("n").over(Window.partitionBy(*_LEAF).orderBy("_place")) - F.col("n")
     last = alike.withColumn("start", start).where("start < _budget").groupBy(*_LEAF).agg(F.max(F.struct("_place", "start")).alias("last"), F.first("_budget").alias("_budget"))
-    return scratch.keep(last.select(*_LEAF, F.col("last._place").alias("_last"), F.col("last.start").alias("_before"), "_budget"))
+    return scratch.keep(last.select(*_LEAF, F.col("last._place").alias("_last"), F.col("last.start").alias("_before"), "_budget"), n=F.count(F.lit(1)))
 
 
 def _taken(rows: DataFrame, ends: DataFrame) -> DataFrame:
     """The streamed rows up to the last place, with ``_taken``; of equal rows at it, as many as the budget covers."""
-    placed = rows.join(ends, _LEAF)
+    placed = rows.join(_sent(ends), _LEAF)
     whole = placed.where(F.col("_place") < F.col("_last")).withColumn("_taken", F.col("_n"))
     nth = F.row_number().over(Window.partitionBy(*_LEAF).orderBy("_place"))
     last = placed.where(F.col("_place") == F.col("_last")).withColumn("_start", F.col("_before") + (nth - 1) * F.col("_n")).where("_start < _budget")
