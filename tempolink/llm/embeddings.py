@@ -3,8 +3,10 @@
 Equal vectors of one label are one from here on.  Each table hashes a vector to
 the signs of its products with ``bits`` random directions; vectors that share a
 bucket of a table are compared by exact cosine in double precision.  ``bits``
-grows with the logarithm of the number of vectors, so buckets stay small, and
-the number of tables follows from the recall that pairs at the threshold need.
+grows with the logarithm of the number of vectors, so buckets keep to about
+``BUCKET`` unrelated ones, and the number of tables follows from the recall that
+pairs at the threshold need.  A table's rows carry the vector's own components,
+in single precision where that is exact.
 A bucket's vectors are dealt into blocks and each two blocks meet once, so one
 bucket never has to fit one task, and no pair is left out.  A pair that meets in
 several tables counts in the first.  Links become counts and components where
@@ -34,12 +36,14 @@ from .shared import pick
 THRESHOLD = 0.93
 RECALL = 0.999
 BLOCK = 256
+#: Unrelated vectors that share a bucket: more of them need fewer tables.
+BUCKET = 128
 SEED = 4242
 
 
 def plan(n: int, threshold: float = THRESHOLD, recall: float = RECALL) -> tuple[int, int]:
     """Bits and tables for n vectors."""
-    bits = max(4, min(48, math.ceil(math.log2(max(2, n))) - 2))
+    bits = max(4, min(48, math.ceil(math.log2(max(2, n) / BUCKET))))
     together = (1 - math.acos(threshold) / math.pi) ** bits
     return bits, math.ceil(math.log(1 - recall) / math.log(1 - together))
 
@@ -48,36 +52,41 @@ def directions(dim: int, bits: int, tables: int) -> np.ndarray:
     return np.random.default_rng([SEED, dim]).standard_normal((tables * bits, dim))
 
 
-def _vectors(column: pa.Array) -> list[np.ndarray | None]:
-    """Each row's vector in double precision, or None if it can't link."""
-    out: list[np.ndarray | None] = []
-    flat = column.values.cast(pa.float64())
-    values = flat.fill_null(np.nan).to_numpy(zero_copy_only=False)
-    ends = column.offsets.to_numpy()
-    for a, b, ok in zip(ends[:-1], ends[1:], column.is_valid().to_pylist()):
-        v = values[a:b]
-        with np.errstate(over="ignore"):
-            norm = float(np.linalg.norm(v)) if ok and b > a else 0.0
-            if 0.0 < norm < 1e-150 or norm > 1e150:
-                v = v / np.abs(v).max()
-                norm = float(np.linalg.norm(v))
-        out.append(v / norm if norm and math.isfinite(norm) else None)
-    return out
+def _units(packed: list[bytes], dim: int) -> np.ndarray:
+    """Packed vectors of one length as unit vectors in double precision."""
+    m = np.stack([np.frombuffer(v, np.float32 if len(v) == 4 * dim else np.float64) for v in packed]).astype(np.float64)
+    with np.errstate(over="ignore"):
+        norm = np.linalg.norm(m, axis=1)
+    odd = (norm < 1e-150) | (norm > 1e150)
+    if odd.any():
+        m[odd] /= np.abs(m[odd]).max(axis=1, keepdims=True)
+        norm[odd] = np.linalg.norm(m[odd], axis=1)
+    return m / norm[:, None]
 
 
-def _units(rows: DataFrame) -> DataFrame:
-    """(vec_id, label, unit binary): unit vectors as doubles, null where none."""
+def _packed(rows: DataFrame) -> DataFrame:
+    """(vec_id, label, dim, packed): a vector's components, null where it can't link."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            units = [None if v is None else v.tobytes() for v in _vectors(batch.column(2))]
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(units, pa.binary())], names=["vec_id", "label", "unit"])
+            column = batch.column(2)
+            values = column.values.cast(pa.float64()).fill_null(np.nan).to_numpy(zero_copy_only=False)
+            ends, out = column.offsets.to_numpy(), []
+            for a, b, ok in zip(ends[:-1], ends[1:], column.is_valid().to_pylist()):
+                v = values[a:b] + 0.0  # of the two zeros one
+                if not ok or b == a or not np.isfinite(v).all() or not v.any():
+                    out.append(None)
+                    continue
+                with np.errstate(over="ignore", under="ignore"):
+                    single = v.astype(np.float32)
+                out.append((single if (single == v).all() else v).tobytes())
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(np.diff(ends).astype(np.int32)), pa.array(out, pa.binary())], names=["vec_id", "label", "dim", "packed"])
 
-    return rows.mapInArrow(run, "vec_id long, label string, unit binary")
+    return rows.mapInArrow(run, "vec_id long, label string, dim int, packed binary")
 
 
 def _codes(classes: DataFrame, bits: int, tables: int) -> DataFrame:
-    """(id, label, t, code): a row for each vector and table."""
+    """(id, label, dim, t, code): a row for each vector and table."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         planes: dict[int, np.ndarray] = {}
@@ -85,24 +94,23 @@ def _codes(classes: DataFrame, bits: int, tables: int) -> DataFrame:
             for at in range(0, batch.num_rows, 1024):
                 part = batch.slice(at, 1024)
                 by_dim: dict[int, list[int]] = {}
-                units = part.column(2).to_pylist()
-                for i, u in enumerate(units):
-                    by_dim.setdefault(len(u) // 8, []).append(i)
+                packed = part.column(3).to_pylist()
+                for i, dim in enumerate(part.column(2).to_pylist()):
+                    by_dim.setdefault(dim, []).append(i)
                 for dim, rows in by_dim.items():
                     if dim not in planes:
                         planes[dim] = directions(dim, bits, tables)
-                    m = np.frombuffer(b"".join(units[i] for i in rows)).reshape(len(rows), dim)
+                    m = _units([packed[i] for i in rows], dim)
                     signs = (m @ planes[dim].T > 0).reshape(len(rows), tables, bits)
                     codes = signs @ (np.int64(1) << np.arange(bits, dtype=np.int64))
-                    codes = codes * 4096 + dim % 4096
                     n = len(rows)
                     pick_ = pa.array(np.repeat(rows, tables))
                     yield pa.RecordBatch.from_arrays(
-                        [part.column(0).take(pick_), part.column(1).take(pick_), pa.array(np.tile(np.arange(tables, dtype=np.int32), n)), pa.array(codes.ravel())],
-                        names=["id", "label", "t", "code"],
+                        [*(part.column(i).take(pick_) for i in range(3)), pa.array(np.tile(np.arange(tables, dtype=np.int32), n)), pa.array(codes.ravel())],
+                        names=["id", "label", "dim", "t", "code"],
                     )
 
-    return classes.select("id", "label", "unit").mapInArrow(run, "id long, label string, t int, code long")
+    return classes.select("id", "label", "dim", "packed").mapInArrow(run, "id long, label string, dim int, t int, code long")
 
 
 def _met(groups: DataFrame, threshold: float, bits: int, tables: int) -> DataFrame:
@@ -120,10 +128,10 @@ def _met(groups: DataFrame, threshold: float, bits: int, tables: int) -> DataFra
             for row in batch.to_pylist():
                 a, b = row["a"], row["b"] if row["b"] is not None else row["a"]
                 same = row["b"] is None
-                dim = len(a[0]["unit"]) // 8
+                dim = row["dim"]
                 if dim not in planes:
                     planes[dim] = directions(dim, bits, tables)
-                x, y = (np.frombuffer(b"".join(r["unit"] for r in s)).reshape(len(s), -1) for s in (a, b))
+                x, y = (_units([r["packed"] for r in s], dim) for s in (a, b))
                 i, j = np.array([r["id"] for r in a]), np.array([r["id"] for r in b])
                 close = np.triu(x @ y.T >= threshold, 1) if same else x @ y.T >= threshold
                 p, q = np.nonzero(close)
@@ -163,43 +171,46 @@ def _met(groups: DataFrame, threshold: float, bits: int, tables: int) -> DataFra
             if out:
                 yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*out)], names=["id", "links", "other"])
 
-    return groups.select("t", "a", "b").mapInArrow(run, "id long, links long, other long")
+    return groups.select("dim", "t", "a", "b").mapInArrow(run, "id long, links long, other long")
 
 
 def near_vectors(vectors: DataFrame, threshold: float = THRESHOLD, recall: float = RECALL) -> DataFrame:
     """(vec_id, n_links, component_id, kept) of each row of (vec_id, embedding, label)."""
     scratch = Scratch(vectors.sparkSession, "nearvec")
     rows = pick(vectors, vec_id="long", label="string", embedding="array<double>")
-    units = scratch.keep(_units(rows))
-    usable = units.where("unit is not null and label is not null and vec_id is not null")
-    per_id = usable.select("vec_id", "label", "unit").distinct()
+    vecs = scratch.keep(_packed(rows))
+    usable = vecs.where("packed is not null and label is not null and vec_id is not null")
+    per_id = usable.select("vec_id", "label", "dim", "packed").distinct()
     # a class is one vector of one label; its copies are the ids that hold it
-    classes = scratch.keep(per_id.groupBy("label", "unit").agg(F.min("vec_id").alias("id"), F.count("*").alias("copies")).withColumn("class", F.xxhash64("label", "unit")))
-    n = classes.count()
-    bits, tables = plan(n, threshold, recall)
-    keyed = classes.select(F.col("class").alias("id"), "label", "unit", "copies")
-    codes = scratch.keep(_codes(keyed, bits, tables))
-    sizes = codes.groupBy("label", "t", "code").agg(F.count("*").alias("size")).where("size > 1")
-    shared = codes.join(sizes, ["label", "t", "code"]).withColumn("blocks", F.ceil(F.col("size") / BLOCK).cast("int"))
+    vector = ["label", "dim", "packed"]
+    classes = per_id.groupBy(*vector).agg(F.min("vec_id").alias("first"), F.count("*").alias("copies"))
+    classes = scratch.keep(classes.withColumn("id", F.monotonically_increasing_id()), n=F.count(F.lit(1)))
+    bits, tables = plan(classes.counts["n"], threshold, recall)
+    codes = scratch.keep(_codes(classes, bits, tables))
+    bucket = ["label", "dim", "t", "code"]
+    sizes = codes.groupBy(*bucket).agg(F.count("*").alias("size")).where("size > 1")
+    shared = codes.join(sizes, bucket).withColumn("blocks", F.ceil(F.col("size") / BLOCK).cast("int"))
     shared = shared.withColumn("block", F.pmod(F.xxhash64("id", "t"), F.col("blocks")).cast("int"))
-    item = F.struct("id", "copies", "unit")
-    dealt = shared.join(keyed.select("id", "unit", "copies"), "id").groupBy("label", "t", "code", "block", "blocks").agg(F.collect_list(item).alias("a"))
+    item = F.struct("id", "copies", "packed")
+    dealt = shared.join(classes.select("id", "packed", "copies"), "id").groupBy(*bucket, "block", "blocks").agg(F.collect_list(item).alias("a"))
     dealt = scratch.keep(dealt)
     kind = dealt.schema["a"].dataType
-    within = dealt.select("t", "a", F.lit(None).cast(kind).alias("b"))
-    sent = dealt.where("blocks > 1 and block > 0").select("label", "t", "code", F.explode(F.sequence(F.lit(0), F.col("block") - 1)).alias("block"), F.col("a").alias("b"))
-    across = dealt.where("blocks > 1").select("label", "t", "code", "block", "a").join(sent, ["label", "t", "code", "block"]).select("t", "a", "b")
+    within = dealt.select("dim", "t", "a", F.lit(None).cast(kind).alias("b"))
+    sent = dealt.where("blocks > 1 and block > 0").select(*bucket, F.explode(F.sequence(F.lit(0), F.col("block") - 1)).alias("block"), F.col("a").alias("b"))
+    across = dealt.where("blocks > 1").select(*bucket, "block", "a").join(sent, [*bucket, "block"]).select("dim", "t", "a", "b")
     met = scratch.keep(_met(within.unionByName(across), threshold, bits, tables))
     linked = met.groupBy("id").agg(F.sum("links").alias("links"))
-    names = classes.select(F.col("class").alias("id"), F.col("id").alias("first"))
+    names = classes.select("id", "first")
     edges = met.select("id", "other").where("id <> other").distinct()
     edges = edges.join(names, "id").withColumnRenamed("first", "u").join(names.select(F.col("id").alias("other"), F.col("first").alias("v")), "other").select("u", "v")
-    members = per_id.join(classes.select("label", "unit", F.col("class"), F.col("id").alias("first"), "copies"), ["label", "unit"]).select("vec_id", "class", "first", "copies")
+    members = per_id.join(classes.select(*vector, F.col("id").alias("class"), "first", "copies"), vector).select("vec_id", "class", "first", "copies")
     members = scratch.keep(members)
     edges = edges.unionByName(members.where("vec_id <> first").select(F.col("vec_id").alias("u"), F.col("first").alias("v")))
     labels = components(edges, scratch)
     counts = members.join(linked, F.col("class") == F.col("id"), "left").groupBy("vec_id").agg(F.sum(F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("n_links"))
-    out = units.select("vec_id").join(counts, "vec_id", "left").join(labels, F.col("vec_id") == F.col("vertex"), "left")
+    counts = scratch.keep(counts)
+    scratch.release(vecs, counts, labels)
+    out = vecs.select("vec_id").join(counts, "vec_id", "left").join(labels, F.col("vec_id") == F.col("vertex"), "left")
     out = out.select("vec_id", F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), F.coalesce("component", "vec_id").alias("component_id"))
     return out.withColumn("kept", F.coalesce(F.col("vec_id") == F.col("component_id"), F.lit(True)))
 

@@ -64,3 +64,31 @@ def test_more_vectors_get_more_bits():
     assert embeddings.plan(100)[0] < embeddings.plan(10**9)[0] <= 48
     bits, tables = embeddings.plan(50_000)
     assert 1 - (1 - (1 - math.acos(0.93) / math.pi) ** bits) ** tables >= embeddings.RECALL
+
+
+def test_unlike_lengths_of_one_label_link_with_nothing(spark):
+    r = np.random.default_rng(3)
+    short, long = r.standard_normal(8), r.standard_normal(4104)
+    rows = [(i, [float(x) for x in v], 1) for i, v in enumerate([short, long] * 40)]
+    rows += [(100, [float(x) for x in np.append(short, np.zeros(8))], 1), (101, [1e200, 0.0], 2), (102, [1.0, 0.0], 2), (103, [1e-200, 0.0], 2), (104, [0.1, 0.0], 2)]
+    got = {x["vec_id"]: (x["n_links"], x["component_id"]) for x in embeddings.near_vectors(spark.createDataFrame(rows, "vec_id long, embedding array<double>, label int")).collect()}
+    assert got == {i: (39, i % 2) for i in range(80)} | {100: (0, 100)} | {i: (3, 101) for i in range(101, 105)}
+
+
+def test_recall_at_the_default_setting(spark):
+    """Against all pairs of a larger table, many of them right at the threshold."""
+    r = np.random.default_rng(5)
+    base = r.standard_normal((400, 64))
+    base /= np.linalg.norm(base, axis=1, keepdims=True)
+    side = r.standard_normal((400, 8, 64))
+    side -= (side * base[:, None]).sum(axis=2, keepdims=True) * base[:, None]
+    side /= np.linalg.norm(side, axis=2, keepdims=True)
+    cos = r.uniform(0.925, 0.95, (400, 8, 1))
+    m = np.concatenate([base, (cos * base[:, None] + np.sqrt(1 - cos**2) * side).reshape(-1, 64)]).astype(np.float32)
+    label = np.concatenate([np.arange(400), np.repeat(np.arange(400), 8)]) % 7
+    rows = [(i, [float(x) for x in v], int(y)) for i, (v, y) in enumerate(zip(m, label))]
+    d = m.astype(float)
+    d /= np.linalg.norm(d, axis=1, keepdims=True)
+    want = ((d @ d.T >= 0.93) & (label[:, None] == label)).sum(axis=1) - 1
+    got = {x["vec_id"]: x["n_links"] for x in embeddings.near_vectors(spark.createDataFrame(rows, "vec_id long, embedding array<float>, label int")).collect()}
+    assert all(got[i] <= want[i] for i in got) and sum(got.values()) >= 0.99 * want.sum() > 4000
