@@ -3,8 +3,11 @@
 Each response record gives two: ``metadata`` (JSON of title, links and the
 response's headers) and ``conversion`` (the page's text), both pointing back by
 WARC-Refers-To, with digests of their own blocks and the response's payload
-digest and source headers preserved.  All of it is column functions on one row,
-so nothing is shuffled.
+digest and source headers preserved, in written files too.  All of it is column
+functions on one row, so nothing is shuffled.  Every expression that looks for an
+end, as of a tag or a comment, is applied to the text up to the last such end
+only, so that it never runs on in vain and a page's time is in proportion to its
+length.
 
 Defined cases: a null html is an empty page; a null url is an empty target; a
 null page_id has no number in its record id; repeated rows give equal records;
@@ -24,6 +27,7 @@ from .shared import pick
 
 DATE = "2024-01-01T00:00:00Z"
 CRLF = "\r\n"
+SOURCE_HEADERS = "X-Source-HTTP-Headers"
 #: Tags that end a line of text.
 BLOCKS = "p|div|br|h[1-6]|li|ul|ol|nav|article|section|header|footer|main|aside|table|tr|td|th|title|head|body|html|blockquote|pre|form"
 #: The named characters that the SQL twin knows; the ampersand comes last.
@@ -36,6 +40,10 @@ def _named(c: Column) -> Column:
     return c
 
 
+#: An href attribute with its value, and what of it comes before the value.
+HREF = r"""(?i)[\s"'/]href\s*=\s*(?:"[^"]*"|'[^']*'|[^\s"'<>=]+)"""
+HREF_NAME = r"""(?i)^.href\s*=\s*"""
+
 #: HTML's whole table of named characters in buckets by a hash of the name, and
 #: the older names, longest first, that hold without a semicolon.
 BUCKETS = 2048
@@ -100,16 +108,52 @@ def _read(c: Column) -> Column:
     return F.translate(decoded(c), "\u00a0", " ")
 
 
+def _up_to(c: Column, last: Column, cut: Callable[[Column], Column]) -> Column:
+    """``cut`` of the text but for what follows its last end, which is ``last`` long."""
+    n = F.length(c) - F.length(last)
+    return F.concat(cut(F.substring(c, F.lit(1), n)), last)
+
+
+def _removed(c: Column, start: str, end: str, to: str = "") -> Column:
+    """Every stretch from a start to the next end replaced; ``end`` is plain text."""
+    return _up_to(c, F.substring_index(c, end, -1), lambda head: F.regexp_replace(head, start, to))
+
+
+def _element_removed(c: Column, name: str) -> Column:
+    """Every element of a name removed, from its start tag to the next end tag."""
+    head = F.regexp_extract(c, rf"(?is)^.*</{name}\s*>", 0)
+    return F.concat(F.regexp_replace(head, rf"(?is)<{name}\b.*?</{name}\s*>", ""), F.substring(c, F.length(head) + 1, F.length(c)))
+
+
 def plain_text(html: Column, read: Callable[[Column], Column] = _read) -> Column:
     """A page's text: no scripts, styles or comments, a line for each block; ``read`` decodes references."""
-    c = F.regexp_replace(html, r"(?s)<!--.*?-->", "")
-    c = F.regexp_replace(c, r"(?is)<script\b.*?</script\s*>", "")
-    c = F.regexp_replace(c, r"(?is)<style\b.*?</style\s*>", "")
-    c = F.regexp_replace(c, rf"(?i)</?(?:{BLOCKS})\b[^>]*>", "\n")
-    c = read(F.regexp_replace(c, r"<[^>]*>", ""))
-    c = F.regexp_replace(c, r"[ \t\r\f]+", " ")
-    c = F.regexp_replace(c, r" ?\n[ \n]*", "\n")
-    return F.regexp_replace(c, r"^[ \n]+|[ \n]+$", "")
+    steps = [
+        lambda c: _removed(c, r"(?s)<!--.*?-->", "-->"),
+        lambda c: _element_removed(c, "script"),
+        lambda c: _element_removed(c, "style"),
+        lambda c: _removed(c, rf"(?i)</?(?:{BLOCKS})\b[^>]*>", ">", "\n"),
+        lambda c: _removed(c, r"<[^>]*>", ">"),
+        lambda c: F.regexp_replace(read(c), r"[ \t\r\f]+", " "),
+        lambda c: F.regexp_replace(c, r" ?\n[ \n]*", "\n"),
+        lambda c: F.regexp_replace(c, r"^[ \n]+|[ \n]+$", ""),
+    ]
+    # one step at a time on a value of its own, so that no step is computed twice
+    held = F.array(html)
+    for step in steps:
+        held = F.transform(held, step)
+    return F.element_at(held, 1)
+
+
+def page_title(html: Column) -> Column:
+    head = F.regexp_extract(html, r"(?is)^.*</title\s*>", 0)
+    return F.trim(F.regexp_extract(head, r"(?is)<title[^<>]*>(.*?)</title\s*>", 1))
+
+
+def page_links(html: Column) -> Column:
+    """The values of all href attributes, in double, single or no quotes."""
+    found = F.regexp_extract_all(html, F.lit(HREF), 0)
+    value = lambda m: F.regexp_replace(m, HREF_NAME, "")
+    return F.transform(found, lambda m: F.regexp_replace(value(m), "^[\"']|[\"']$", ""))
 
 
 def record_id(kind: str, *parts: Column) -> Column:
@@ -145,10 +189,10 @@ def derivatives(records: DataFrame, whole: bool = True) -> DataFrame:
     links, as the SQL twin does.
     """
     html, read = F.col("payload"), _read if whole else _named
-    links = F.regexp_extract_all(html, F.lit(r'(?i)href="([^"]*)"'), 1)
+    links = page_links(html)
     page = records.select(
         "*",
-        read(F.trim(F.regexp_extract(html, r"(?is)<title[^>]*>(.*?)</title\s*>", 1))).alias("title"),
+        read(page_title(html)).alias("title"),
         (F.transform(links, lambda v: decoded(v, in_value=True)) if whole else links).alias("links"),
         plain_text(html, read).alias("plain"),
     )
@@ -184,6 +228,8 @@ def warc_text(records: DataFrame) -> DataFrame:
         ("WARC-Block-Digest", "block_digest"), ("WARC-Refers-To-Payload-Digest", "refers_to_payload_digest"), ("Content-Type", "content_type"), ("Content-Length", "content_length"),
     ]
     lines = [F.lit("WARC/1.0")] + [F.concat(F.lit(f"{name}: "), F.col(c).cast("string")) for name, c in head]
+    # the response's own headers as one JSON list, since a field is one line
+    lines += [F.concat(F.lit(f"{SOURCE_HEADERS}: "), F.to_json(F.split("source_headers", CRLF)))]
     return records.select(F.concat(F.concat_ws(CRLF, *lines), F.lit(CRLF * 2), F.col("block")).alias("value"))
 
 
@@ -202,6 +248,22 @@ def read_warc(spark: SparkSession, path: str) -> DataFrame:
     )
 
 
+def read_responses(spark: SparkSession, path: str) -> DataFrame:
+    """Response records of WARC files, plain or gzipped record by record, as ``responses`` gives them; page_id is null.
+
+    Blocks are read as UTF-8 text; a block whose text holds a record's first line
+    of its own is cut there.
+    """
+    raw = read_warc(spark, path).select(F.transform_keys("headers", lambda k, _: F.lower(k)).alias("h"), "block").where(F.lower(F.col("h")["warc-type"]) == "response")
+    at = F.expr("instr(block, '\r\n\r\n')")
+    payload = F.when(at > 0, F.substring("block", at + 4, F.length("block"))).otherwise(F.lit(""))
+    return raw.select(
+        F.lit(None).cast("long").alias("page_id"), F.col("h")["warc-record-id"].alias("record_id"), F.coalesce(F.col("h")["warc-target-uri"], F.lit("")).alias("target_uri"),
+        F.col("h")["warc-date"].alias("date"), F.when(at > 0, F.substring("block", F.lit(1), at - 1)).otherwise(F.col("block")).alias("http_headers"), payload.alias("payload"),
+        F.coalesce(F.col("h")["warc-payload-digest"], digest(payload)).alias("payload_digest"),
+    )
+
+
 def op5_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return derivatives(responses(spark.read.parquet(f"{sf_dir}/pages.parquet")), whole=False)
 
@@ -228,8 +290,8 @@ WITH r AS (
 p AS (
   SELECT page_id, uri, {_sql_id("response", "page_id || '|' || uri || '|' || h")} AS refers_to, 'sha256:' || sha256(h) AS pd,
     'HTTP/1.1 200 OK' || chr(13) || chr(10) || 'Content-Type: text/html; charset=utf-8' || chr(13) || chr(10) || 'Content-Length: ' || strlen(h) AS http,
-    {_sql_named("trim(regexp_extract(h, '(?is)<title[^>]*>(.*?)</title\\s*>', 1))")} AS title,
-    regexp_extract_all(h, '(?i)href="([^"]*)"', 1) AS links,
+    {_sql_named("trim(regexp_extract(h, '(?is)<title[^<>]*>(.*?)</title\\s*>', 1))")} AS title,
+    list_transform(regexp_extract_all(h, '{HREF.replace("'", "''")}'), lambda m: regexp_replace(regexp_replace(m, '{HREF_NAME}', ''), '^["'']|["'']$', '', 'g')) AS links,
     regexp_replace(regexp_replace(regexp_replace({_sql_named(f"regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(h, '(?s)<!--.*?-->', '', 'g'), '(?is)<script" + chr(92) + "b.*?</script" + chr(92) + "s*>', '', 'g'), '(?is)<style" + chr(92) + "b.*?</style" + chr(92) + "s*>', '', 'g'), '(?i)</?(?:" + BLOCKS + ")" + chr(92) + "b[^>]*>', chr(10), 'g'), '<[^>]*>', '', 'g')")},
       '[ \t\r\f]+', ' ', 'g'), ' ?\n[ \n]*', chr(10), 'g'), '^[ \n]+|[ \n]+$', '', 'g') AS plain
   FROM r),

@@ -1,7 +1,9 @@
+import gzip
 import hashlib
 import json
 import random
 import re
+import time
 
 import pytest
 from pyspark.sql import functions as F
@@ -147,3 +149,52 @@ def test_the_whole_query_leaves_no_reference(spark, small):
     assert texts.keys() == raw.keys()
     for i, text in texts.items():
         assert text.count("©") == raw[i].count("&copy;") > 0 and "&copy;" not in text and "&middot;" not in text
+
+
+def _page(spark, *htmls):
+    pages = spark.createDataFrame([(i, "http://e/", h) for i, h in enumerate(htmls)], "page_id long, url string, html string")
+    return {r["page_id"]: r["block"] for r in warc.derivatives(warc.responses(pages)).where("warc_type = 'metadata'").collect()}
+
+
+@pytest.mark.parametrize("part", ["<!--", "<script>", "<style>", "<p ", "<", "<title", "<title>", "</title", "href='", "&", "--"])
+def test_time_is_in_proportion_to_a_pages_length(spark, part):
+    long = part * (1_000_000 // len(part))
+    began = time.perf_counter()
+    blocks = _page(spark, long, f"<p>a</p>{long}", f"{long}-->b")
+    assert len(blocks) == 3 and time.perf_counter() - began < 20
+
+
+def test_text_is_what_the_plain_expressions_give(spark):
+    r = random.Random(6)
+    bits = ["<!--", "-->", "<script>", "</script>", "</SCRIPT >", "<style a>", "</style>", "<p>", "</p >", "<b", ">", "<", " x ", "\n", "<title>", "</title>", "ab", "é"]
+    pages = ["".join(r.choice(bits) for _ in range(r.randrange(30))) for _ in range(300)]
+
+    def plainly(c):
+        for pattern, to in ((r"(?s)<!--.*?-->", ""), (r"(?is)<script\b.*?</script\s*>", ""), (r"(?is)<style\b.*?</style\s*>", ""), (rf"(?i)</?(?:{warc.BLOCKS})\b[^>]*>", "\n"), (r"<[^>]*>", ""), (r"[ \t\r\f]+", " "), (r" ?\n[ \n]*", "\n")):
+            c = re.sub(pattern, to, c)
+        return c.strip(" \n")
+
+    rows = spark.createDataFrame(list(enumerate(pages)), "i int, h string").select("i", warc.plain_text(F.col("h"), lambda c: c).alias("t")).collect()
+    assert {x["i"]: x["t"] for x in rows} == {i: plainly(h) for i, h in enumerate(pages)}
+
+
+def test_links_in_any_quotes(spark):
+    html = """<a href="/a?x=1&amp;y=2">1</a><a class=x href='/b c'>2</a><a href=/c>3</a><a HREF = "/d" >4</a><a data-href="/no" href="">5</a><link/href=/e>"""
+    assert json.loads(_page(spark, html)[0])["links"] == ["/a?x=1&y=2", "/b c", "/c", "/d", "", "/e"]
+
+
+def test_files_keep_source_headers_and_response_files_are_read(spark, tmp_path):
+    record = lambda kind, i, block: f"WARC/1.0\r\nWARC-Type: {kind}\r\nWARC-Record-ID: <urn:x:{i}>\r\nWARC-Target-URI: http://e/{i}\r\nWARC-Date: 2020-02-0{i}T00:00:00Z\r\nContent-Length: {len(block.encode())}\r\n\r\n{block}\r\n\r\n"
+    http = "HTTP/1.1 200 OK\r\nContent-Type: text/html\r\nX-A: b: c"
+    parts = [record("warcinfo", 1, "software: x"), record("response", 2, f"{http}\r\n\r\n<title>é</title>\r\n\r\n<p>two"), record("response", 3, http)]
+    (tmp_path / "in").mkdir()
+    (tmp_path / "in" / "x.warc.gz").write_bytes(b"".join(gzip.compress(p.encode()) for p in parts))
+    got = {r["record_id"]: r for r in warc.read_responses(spark, str(tmp_path / "in")).collect()}
+    assert set(got) == {"<urn:x:2>", "<urn:x:3>"} and got["<urn:x:2>"]["payload"] == "<title>é</title>\r\n\r\n<p>two"
+    assert got["<urn:x:2>"]["http_headers"] == http and got["<urn:x:2>"]["date"] == "2020-02-02T00:00:00Z" and got["<urn:x:3>"]["payload"] == ""
+    warc.write_warc(warc.derivatives(warc.read_responses(spark, str(tmp_path / "in"))), str(tmp_path / "out"))
+    back = warc.read_warc(spark, str(tmp_path / "out")).collect()
+    assert len(back) == 4
+    for r in back:
+        assert json.loads(r["headers"][warc.SOURCE_HEADERS]) == http.split("\r\n")
+        assert r["headers"]["WARC-Refers-To"] in got and int(r["headers"]["Content-Length"]) == len(r["block"].encode())
