@@ -46,7 +46,7 @@ def adjacency(edges: DataFrame) -> DataFrame:
 
 
 def snapshots(adj: DataFrame, unit: str = "month") -> DataFrame:
-    """Each node's degree in each period."""
+    """Each node's degree in each period; edges without time count in the null period."""
     return adj.groupBy("u", period(unit, "ts").alias("period")).agg(F.count("*").alias("degree"))
 
 
@@ -63,7 +63,10 @@ def degree(adj: DataFrame) -> DataFrame:
 
 
 def gaps(adj: DataFrame) -> DataFrame:
-    """Each edge end with the days since the node's previous edge; null for the first."""
+    """Each edge end with the days since the node's previous edge; null for the first.
+
+    Edges without time come first and have no days, nor has the next one.
+    """
     order = Window.partitionBy("u").orderBy("ts", "group_id", "v")
     return adj.withColumn("gap_days", F.datediff("ts", F.lag("ts").over(order)))
 
@@ -80,10 +83,11 @@ def asof(left: DataFrame, right: DataFrame, by: str, ts: str, row_id: str) -> Da
 
     One sort of both sides replaces a join: the greatest (time, id) among right
     rows in a range that ends a microsecond before.  Of rows tied in time, the
-    greatest id is the last.
+    greatest id is the last.  A row without key or time finds nothing and isn't
+    found.
     """
     side = lambda df, is_right: df.select(F.col(by), F.col(ts), F.col(row_id), micros(ts).alias("_t"), F.lit(is_right).alias("_right"))
-    both = side(left, False).unionByName(side(right, True))
+    both = side(left, False).unionByName(side(right.where(F.col(by).isNotNull() & F.col(ts).isNotNull()), True))
     earlier = Window.partitionBy(by).orderBy("_t").rangeBetween(Window.unboundedPreceding, -1)
     last = F.max(F.when(F.col("_right"), F.struct(F.col("_t"), F.col(row_id).alias("id"), F.col(ts).alias("at")))).over(earlier)
     out = both.withColumn("_last", last).where(~F.col("_right"))
@@ -91,7 +95,7 @@ def asof(left: DataFrame, right: DataFrame, by: str, ts: str, row_id: str) -> Da
 
 
 def recent_k(adj: DataFrame, k: int = 3) -> DataFrame:
-    """Each node's k most recent edges, ranked from 1."""
+    """Each node's k most recent edges, ranked from 1; ties in time go by episode and neighbour, no time is the oldest."""
     order = Window.partitionBy("u").orderBy(F.desc("ts"), F.desc("group_id"), F.desc("v"))
     return adj.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
 
@@ -100,7 +104,8 @@ def paths2(adj: DataFrame, horizon_days: int = 30) -> DataFrame:
     """Each node's paths u-v-w, w another node, whose second edge follows the first within the horizon.
 
     The time range is bucketed by the horizon, so an edge meets those of its
-    own and the next bucket only, whatever the middle node's degree.
+    own and the next bucket only, whatever the middle node's degree.  Edges
+    without time or end are on no path; equal times don't follow each other.
     """
     step = horizon_days * 86_400_000_000
     timed = adj.withColumn("_t", micros("ts"))

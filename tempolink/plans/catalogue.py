@@ -12,7 +12,6 @@ from ..sources.tables import table
 from ..streaming import windows
 
 CUT = "2000-01-01"
-SLICE = ("1995-01-01", "1995-02-01")
 NOW = "2002-01-01"
 TYPES = ["STANDARD", "ECONOMY"]
 
@@ -47,11 +46,6 @@ def _asof(spark, d):
     return graph.asof(kind("purchase"), kind("view"), "user_id", "ts", "event_id")
 
 
-def _components(spark, d):
-    exposed = _exposures(spark, d).where((F.col("ts") >= F.lit(SLICE[0]).cast("timestamp_ntz")) & (F.col("ts") < F.lit(SLICE[1]).cast("timestamp_ntz")))
-    return graph.component_labels(graph.pair_edges(exposed))
-
-
 def _components_all(spark, d):
     return graph.component_labels(_edges(spark, d))
 
@@ -111,7 +105,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "two_hop_paths": lambda s, d: graph.paths2(_adj(s, d)),
     "triangles": lambda s, d: graph.triangles(_edges(s, d)),
     "common_neighbors": lambda s, d: graph.common_neighbors(_edges(s, d)),
-    "components": _components,
+    "components": _components_all,
     "components_all": _components_all,
     "dangling_edges": lambda s, d: validate.dangling_edges(_edges(s, d), _vectors(s, d)),
     "duplicate_exposures": lambda s, d: validate.duplicate_exposures(table(s, d, "lineitem"), "l_orderkey", "l_partkey"),
@@ -121,7 +115,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "edge_invariants": lambda s, d: validate.edge_invariants(_edges(s, d), "1995-01-01", "2001-12-31"),
     "node_features": lambda s, d: features.node_features(table(s, d, "part"), TYPES),
     "node_features_all": _node_features_all,
-    "class_centroid": lambda s, d: features.class_centroid(table(s, d, "embeddings")),
+    "class_centroid": lambda s, d: features.class_centroids(table(s, d, "embeddings")),
     "class_centroid_all": lambda s, d: features.class_centroids(table(s, d, "embeddings")),
     "event_attributes": lambda s, d: features.event_attributes(table(s, d, "events")),
     "mean_message": lambda s, d: features.mean_message(_adj(s, d), _part_features(s, d)),

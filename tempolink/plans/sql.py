@@ -18,6 +18,16 @@ deg AS (SELECT node, count(*) AS d FROM (SELECT src AS node FROM old UNION ALL S
 sc AS (SELECT p.src, p.dst, p.label, coalesce(a.d, 0)::BIGINT AS d_src, coalesce(b.d, 0)::BIGINT AS d_dst, (coalesce(a.d, 0) * coalesce(b.d, 0))::BIGINT AS score
   FROM (SELECT *, 1 AS label FROM pos UNION ALL SELECT *, 0 FROM neg) p LEFT JOIN deg a ON a.node = p.src LEFT JOIN deg b ON b.node = p.dst)"""
 
+# each node's component falls to the smallest of its neighbours' until none does
+_COMPONENTS = f"""WITH RECURSIVE {_ADJ}, s AS MATERIALIZED (SELECT DISTINCT u, v FROM adj),
+cc(node, component) USING KEY (node) AS (
+  SELECT DISTINCT u, u FROM s
+  UNION
+  SELECT s.v, min(cc.component) FROM cc JOIN s ON s.u = cc.node JOIN recurring.cc o ON o.node = s.v WHERE cc.component < o.component GROUP BY s.v)
+SELECT node, component FROM cc"""
+_CENTROIDS = """SELECT label, component::INTEGER AS component, count(*) AS n, sum(round(x::DOUBLE * 1e6)::BIGINT)::DOUBLE / count(*) / 1e6 AS mean
+FROM (SELECT label, unnest(embedding) AS x, generate_subscripts(embedding, 1) AS component FROM embeddings) WHERE x IS NOT NULL GROUP BY ALL"""
+
 ORACLE_SQL = {
     "exposures": f"WITH {_EXPOSURES} SELECT * FROM x",
     "temporal_edges": f"WITH {_EDGES} SELECT * FROM e",
@@ -36,9 +46,8 @@ ORACLE_SQL = {
     "common_neighbors": f"""WITH {_ADJ}, p AS (SELECT DISTINCT u, v FROM adj), d AS (SELECT u AS z, count(*) AS d FROM p GROUP BY u)
         SELECT a.u AS src, a.v AS dst, count(*) AS n_common, sum(round(1e6 / ln(d.d::DOUBLE))::BIGINT)::DOUBLE / 1e6 AS adamic_adar
         FROM p a JOIN p b ON b.u = a.u JOIN p c ON c.u = a.v AND c.v = b.v JOIN d ON d.z = b.v WHERE a.u < a.v GROUP BY a.u, a.v""",
-    "components": f"""WITH RECURSIVE {_ADJ}, s AS (SELECT DISTINCT u, v FROM adj WHERE ts >= TIMESTAMP '1995-01-01' AND ts < TIMESTAMP '1995-02-01'),
-        r AS (SELECT u AS node, u AS reach FROM s UNION SELECT r.node, s.v FROM r JOIN s ON s.u = r.reach)
-        SELECT node, min(reach) AS component FROM r GROUP BY node""",
+    "components": _COMPONENTS,
+    "components_all": _COMPONENTS,
     "dangling_edges": f"WITH {_EDGES} SELECT e.*, m.missing FROM e, LATERAL (SELECT unnest([src, dst]) AS missing) m WHERE NOT EXISTS (SELECT 1 FROM embeddings WHERE vec_id = m.missing)",
     "duplicate_exposures": "SELECT l_orderkey, l_partkey, count(*) AS n FROM lineitem GROUP BY ALL HAVING count(*) > 1",
     "missing_features": "SELECT p_partkey AS node_id FROM part WHERE p_partkey NOT IN (SELECT vec_id FROM embeddings WHERE len(embedding) > 0)",
@@ -47,7 +56,10 @@ ORACLE_SQL = {
     "edge_invariants": f"""WITH {_EDGES} SELECT count(*) AS n_edges, count(*) FILTER (src = dst) AS self_loops, count(*) FILTER (src >= dst) AS wrong_order, count(*) FILTER (ts IS NULL) AS null_time,
         count(*) FILTER (ts < TIMESTAMP '1995-01-01' OR ts > TIMESTAMP '2001-12-31') AS outside FROM e""",
     "node_features": "SELECT p_partkey AS node_id, p_size AS size, round(p_retailprice * 100)::BIGINT AS price_cents, (p_type = 'STANDARD')::INTEGER AS is_standard, (p_type = 'ECONOMY')::INTEGER AS is_economy FROM part",
-    "class_centroid": "SELECT label, count(*) AS n, sum(round(embedding[1]::DOUBLE * 1e6)::BIGINT)::DOUBLE / count(*) / 1e6 AS mean FROM embeddings GROUP BY label",
+    "node_features_all": "SELECT p_partkey AS node_id, p_size AS size, round(p_retailprice * 100)::BIGINT AS price_cents, "
+    + ", ".join(f"(p_type = '{t}')::INTEGER AS is_{t.lower()}" for t in ("ECONOMY", "LARGE", "MEDIUM", "PROMO", "SMALL", "STANDARD")) + " FROM part",
+    "class_centroid": _CENTROIDS,
+    "class_centroid_all": _CENTROIDS,
     "event_attributes": "SELECT event_id, (props->>'$.k')::BIGINT AS k, hour(ts)::INTEGER AS hour, round(sin(hour(ts) * (2 * pi() / 24)), 9) + 0.0 AS hour_sin, round(cos(hour(ts) * (2 * pi() / 24)), 9) + 0.0 AS hour_cos FROM events",
     "mean_message": f"WITH {_ADJ}{_PRICE} SELECT u, count(*) AS n, sum(c)::DOUBLE / count(*) AS mean_price_cents FROM adj JOIN price USING (v) GROUP BY u",
     "decayed_message": f"""WITH {_ADJ}{_PRICE}, m AS (SELECT u, c, round(exp(-((epoch_us(TIMESTAMP '2002-01-01') - epoch_us(ts)) / 86400000000.0::DOUBLE) / 365.0::DOUBLE) * 1e9)::BIGINT AS w FROM adj JOIN price USING (v))
@@ -63,4 +75,9 @@ ORACLE_SQL = {
         SELECT count(*) AS n_sources, sum(hit)::BIGINT AS n_hits, sum(hit)::DOUBLE / count(*) AS hit_rate FROM s""",
     "occlusion": f"""WITH {_ADJ}{_PRICE}, p AS (SELECT u, v, count(*) AS n, sum(c) AS s FROM adj JOIN price USING (v) GROUP BY u, v), t AS (SELECT u, sum(n)::BIGINT AS n, sum(s)::BIGINT AS s FROM p GROUP BY u)
         SELECT p.u, p.v, t.s::DOUBLE / t.n - CASE WHEN t.n > p.n THEN (t.s - p.s)::DOUBLE / (t.n - p.n) END AS change FROM p JOIN t USING (u)""",
+    "stream_tumbling": "SELECT date_trunc('day', ts)::TIMESTAMP AS window_start, event_type, count(*) AS n FROM events GROUP BY ALL",
+    "stream_session": """WITH g AS (SELECT user_id, ts, CASE WHEN ts - lag(ts) OVER w <= INTERVAL 30 MINUTE THEN 0 ELSE 1 END AS new FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts)),
+        s AS (SELECT user_id, ts, sum(new) OVER (PARTITION BY user_id ORDER BY ts ROWS UNBOUNDED PRECEDING) AS k FROM g)
+        SELECT user_id, min(ts) AS session_start, max(ts) + INTERVAL 30 MINUTE AS session_end, count(*) AS n FROM s GROUP BY user_id, k""",
+    "stream_dedup": "SELECT DISTINCT event_id, ts, user_id, event_type FROM events",
 }

@@ -46,10 +46,17 @@ def write_edges(edges: DataFrame, path: str, unit: str = "month") -> None:
 
 
 def read_edges(spark: SparkSession, path: str, since: str | None = None, until: str | None = None) -> DataFrame:
-    """Edges of the periods in [since, until), which prunes partitions."""
+    """Edges with a time in [since, until); whole periods outside are never read.
+
+    Periods are named by their first day, so the one that holds ``since`` begins
+    up to a year before it.
+    """
     df = spark.read.parquet(path)
+    time = lambda t: F.lit(t).cast("timestamp_ntz")
     if since:
-        df = df.where(F.col("period") >= F.lit(since))
+        first = df.where(F.col("period").cast("date") <= time(since).cast("date")).agg(F.max(F.col("period").cast("string"))).head()[0]
+        df = df.where(F.col("ts") >= time(since))
+        df = df.where(F.col("period").cast("string") >= F.lit(first)) if first else df
     if until:
-        df = df.where(F.col("period") < F.lit(until))
+        df = df.where((F.col("ts") < time(until)) & (F.col("period").cast("date") <= time(until).cast("date")))
     return check(df.drop("period"), EDGES, "edges")

@@ -24,19 +24,19 @@ def _marked(stream: DataFrame, delay: str | None) -> DataFrame:
 def tumbling(stream: DataFrame, delay: str | None = "1 day", length: str = "1 day") -> DataFrame:
     """Events of each window and type; late ones count until the watermark passes, or always without a delay."""
     counted = _marked(stream, delay).groupBy(F.window("ts", length), "event_type").agg(F.count("*").alias("n"))
-    return counted.select(F.col("window.start").alias("window_start"), "event_type", "n")
+    return counted.select(F.col("window.start").cast("timestamp_ntz").alias("window_start"), "event_type", "n")
 
 
 def sessions(stream: DataFrame, delay: str | None = "1 day", gap: str = "30 minutes") -> DataFrame:
     """Each user's sessions, parted by gaps."""
     w = F.session_window("ts", gap)
     found = _marked(stream, delay).groupBy(w, "user_id").agg(F.count("*").alias("n"))
-    return found.select("user_id", F.col("session_window.start").alias("session_start"), F.col("session_window.end").alias("session_end"), "n")
+    return found.select("user_id", F.col("session_window.start").cast("timestamp_ntz").alias("session_start"), F.col("session_window.end").cast("timestamp_ntz").alias("session_end"), "n")
 
 
 def deduplicated(stream: DataFrame, delay: str = "1 day") -> DataFrame:
     """Events without repeats of an id within the watermark."""
-    return stream.withWatermark("ts", delay).dropDuplicatesWithinWatermark(["event_id"]).select("event_id", "ts", "user_id", "event_type")
+    return stream.withWatermark("ts", delay).dropDuplicatesWithinWatermark(["event_id"]).select("event_id", F.col("ts").cast("timestamp_ntz").alias("ts"), "user_id", "event_type")
 
 
 def drain(spark: SparkSession, stream: DataFrame) -> DataFrame:

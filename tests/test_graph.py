@@ -1,16 +1,18 @@
-from datetime import datetime
+from datetime import datetime, timedelta
 from itertools import combinations
 from math import comb
 
 import numpy as np
+import pytest
 from hypothesis import HealthCheck, given, settings
 from hypothesis import strategies as st
 
 from pyspark.sql import functions as F
 
+from tempolink.functions.time import micros, period
 from tempolink.operators import graph
 from tempolink.plans.catalogue import QUERIES
-from tempolink.sources.tables import EDGES, EXPOSURES, SCHEMAS
+from tempolink.sources.tables import EDGES, EXPOSURES, SCHEMAS, read_edges, write_edges
 
 T = lambda day, hour=0: datetime(2024, 1, day, hour)
 
@@ -149,3 +151,37 @@ def test_components_of_all_months(spark, tmp_path):
     want = sorted((n, root(n)) for n in up)
     assert len({c for _, c in want}) >= 4
     assert rows(QUERIES["components_all"](spark, str(tmp_path))) == want
+
+
+@pytest.fixture(params=["UTC", "America/New_York", "Australia/Lord_Howe"])
+def zone(spark, request):
+    spark.conf.set("spark.sql.session.timeZone", request.param)
+    yield request.param
+    spark.conf.set("spark.sql.session.timeZone", "UTC")
+
+
+#: Times around a change to summer time, some of which don't exist there.
+TIMES = [datetime(2024, 3, 10, 1, 59, 59, 999_999), datetime(2024, 3, 10, 2, 30), datetime(2024, 3, 10, 3, 10), datetime(2024, 11, 3, 1, 30), datetime(1969, 12, 31, 23, 59, 59, 1), datetime(2024, 10, 6, 2, 15)]
+
+
+def test_times_without_zone_are_the_same_in_every_session_zone(spark, zone):
+    df = spark.createDataFrame([(t,) for t in TIMES], "ts timestamp_ntz")
+    for r in df.select("ts", micros("ts").alias("m"), *[period(u, "ts").alias(u) for u in ("hour", "day", "month")]).collect():
+        t = r["ts"]
+        assert r["m"] == (t - datetime(1970, 1, 1)) // timedelta(microseconds=1)
+        assert r["hour"] == t.replace(minute=0, second=0, microsecond=0) and r["day"] == datetime(t.year, t.month, t.day) and r["month"] == datetime(t.year, t.month, 1)
+
+
+def test_the_last_earlier_row_in_every_zone_and_without_key(spark, zone):
+    schema = "id bigint, by bigint, ts timestamp_ntz"
+    left = spark.createDataFrame([(1, 7, TIMES[2]), (2, None, TIMES[2]), (3, 7, TIMES[1]), (4, 7, None)], schema)
+    right = spark.createDataFrame([(11, 7, TIMES[1]), (12, None, TIMES[1]), (13, 7, None), (14, 7, TIMES[0])], schema)
+    got = {r["id"]: r["right_id"] for r in graph.asof(left, right, "by", "ts", "id").collect()}
+    assert got == {1: 11, 2: None, 3: 14, 4: None}
+
+
+def test_edges_are_read_from_the_very_time(spark, tmp_path):
+    write_edges(edges(spark, [(k, 1, 2, datetime(2024, m, d)) for k, (m, d) in enumerate([(1, 5), (1, 20), (2, 3), (3, 9)])]), str(tmp_path / "e"))
+    read = lambda **w: sorted(r["ts"].strftime("%m-%d") for r in read_edges(spark, str(tmp_path / "e"), **w).collect())
+    assert read(since="2024-01-10") == ["01-20", "02-03", "03-09"] and read(since="2024-01-20", until="2024-03-09") == ["01-20", "02-03"]
+    assert read(since="2025-01-01") == [] and read(until="2024-01-05") == [] and len(read()) == 4
