@@ -109,26 +109,30 @@ def _read(c: Column) -> Column:
 
 
 def _removed(c: Column, start: str, rest: str, end: str, flags: str = "(?s)") -> Column:
-    """Every stretch from a start to the next end removed.
+    """Every stretch from ``<`` and a start to the next end removed.
 
     At a start that no end follows, the text is kept from there on as it is, so
     that no later start is tried in vain.
     """
-    return F.regexp_replace(c, f"{flags}{start}{rest}{end}|({start}.*)$", "$1")
+    return F.regexp_replace(c, f"{flags}<(?:{start}{rest}{end}|(?={start})(?<=(<))({start}.*)$)", "$1$2")
 
 
 def plain_text(html: Column, read: Callable[[Column], Column] = _read) -> Column:
     """A page's text: no scripts, styles or comments, a line for each block; ``read`` decodes references."""
-    after = lambda c: F.substring_index(c, ">", -1)  # noqa: E731 - behind the last end of a tag
+    after = lambda c: F.substring_index(c, ">", -1)  # noqa: E731 - behind the last end of a tag, where no tag can be
+
+    def tags(c: Column) -> Column:
+        head = F.substring(c, F.lit(1), F.length(c) - F.length(after(c)))
+        return F.concat(F.regexp_replace(F.regexp_replace(head, rf"(?i)</?(?:{BLOCKS})\b[^>]*>", "\n"), r"<[^>]*>", ""), after(c))
+
     steps = [
-        lambda c: _removed(c, "<!--", ".*?", "-->"),
-        lambda c: _removed(c, r"<script\b", ".*?", r"</script\s*>", "(?is)"),
-        lambda c: _removed(c, r"<style\b", ".*?", r"</style\s*>", "(?is)"),
-        lambda c: F.concat(F.regexp_replace(F.substring(c, F.lit(1), F.length(c) - F.length(after(c))), rf"(?i)</?(?:{BLOCKS})\b[^>]*>", "\n"), after(c)),
-        lambda c: _removed(c, "<", "[^>]*", ">"),
-        lambda c: F.regexp_replace(read(c), r"[ \t\r\f]+", " "),
+        lambda c: F.when(F.contains(c, F.lit("<!--")), _removed(c, "!--", ".*?", "-->")).otherwise(c),
+        lambda c: _removed(c, r"script\b", ".*?", r"</script\s*>", "(?is)"),
+        lambda c: _removed(c, r"style\b", ".*?", r"</style\s*>", "(?is)"),
+        tags,
+        lambda c: F.regexp_replace(read(c), r"[ \t\r\f]{2,}|[\t\r\f]", " "),
         lambda c: F.regexp_replace(c, r" ?\n[ \n]*", "\n"),
-        lambda c: F.regexp_replace(c, r"^[ \n]+|[ \n]+$", ""),
+        lambda c: F.btrim(c, F.lit(" \n")),
     ]
     # one step at a time on a value of its own, so that no step is computed twice
     held = F.array(html)
