@@ -1,7 +1,8 @@
 """License scans by diagonal voting, in DataFrame functions only.
 
 Every text's rolling three-word shingles are joined to the positions of the same
-shingles in license templates (hash first, then the words themselves).  A match
+shingles in license templates (hash first, then the words themselves; texts'
+shingles with no template's hash are left before they are written out).  A match
 votes for the diagonal of its template: text position less template position.
 Neighbouring diagonals, parted by a few inserted or missing words, are merged.
 Within a merged span the stretch, not much longer than the template, that most
@@ -9,8 +10,8 @@ distinct template positions vote for is verified: it counts when enough do.
 Whatever else runs on beside a true span, it isn't lost.  Base phrases must match
 in full on one diagonal.
 
-The templates are a fixed list of this module or the caller's, a few thousand
-rows, so they are broadcast; the texts are read once and only matches and one
+The templates are a fixed list of this module or the caller's; up to ``MOST_SENT``
+words they are broadcast, beyond it the join shuffles; the texts are read once and only matches and one
 row a document are shuffled, by row, whatever its id.
 
 Defined cases: null and empty texts have no words; a null doc_id stays null;
@@ -57,6 +58,10 @@ TEMPLATES = [
     ("unlicense", "This is free and unencumbered software released into the public domain"),
 ]
 
+#: Template shingles up to which they are sent to all tasks and looked up by hash
+#: before the join; beyond it all rolling shingles are joined by a shuffle.
+MOST_SENT = 5000
+
 #: A shingle that no text can hold; each row's last, so that every row has a match.
 _END = "\x01"
 
@@ -70,11 +75,19 @@ def words(text: Column) -> Column:
     return F.filter(F.split(lowered, r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"), lambda w: w != "")
 
 
-def shingles(of: Column, k: int = K) -> Column:
-    """All rolling runs of k words."""
+def _run(of: Column, i: Column, k: int) -> list[Column]:
+    """The k words from place i, counted from 1."""
+    return [F.element_at(of, (i + j).cast("int")) for j in range(k)]
+
+
+def shingles(of: Column, k: int = K, hashes: list[int] | None = None) -> Column:
+    """(pos, gram) of all rolling runs of k words; of those with a listed hash only, if hashes are listed."""
     last = F.size(of) - (k - 1)
-    rolled = F.transform(F.sequence(F.lit(1), last), lambda i: F.concat_ws(" ", *[F.element_at(of, (i + j).cast("int")) for j in range(k)]))
-    return F.when(last >= 1, rolled).otherwise(F.array().cast("array<string>"))
+    places = F.sequence(F.lit(1), last)
+    if hashes is not None:
+        places = F.filter(places, lambda i: F.xxhash64(*_run(of, i, k)).isin(hashes))
+    grams = F.transform(places, lambda i: F.struct((i - 1).cast("int").alias("pos"), F.concat_ws(" ", *_run(of, i, k)).alias("gram")))
+    return F.when(last >= 1, grams).otherwise(F.array().cast("array<struct<pos:int,gram:string>>"))
 
 
 def template_positions(spark: SparkSession, templates=TEMPLATES, base=BASE, k: int = K) -> DataFrame:
@@ -82,7 +95,7 @@ def template_positions(spark: SparkSession, templates=TEMPLATES, base=BASE, k: i
     listed = [(i, label, text, True) for i, (label, text) in enumerate(base)]
     listed += [(len(base) + i, label, text, False) for i, (label, text) in enumerate(templates)]
     rows = spark.createDataFrame(listed, "template int, label string, text string, base boolean")
-    grams = rows.select("template", "label", "base", F.posexplode(shingles(words(F.col("text")), k)).alias("tpos", "gram"))
+    grams = rows.select("template", "label", "base", F.inline(shingles(words(F.col("text")), k)).alias("tpos", "gram"))
     n = Window.partitionBy("template")
     grams = grams.withColumn("n_grams", F.count("*").over(n))
     end = spark.createDataFrame([(-1, "", False, 0, _END, 1)], "template int, label string, base boolean, tpos int, gram string, n_grams long")
@@ -101,8 +114,12 @@ def license_spans(docs: DataFrame, templates=TEMPLATES, base=BASE, k: int = K) -
     one span of template -1, which stands for the row itself.
     """
     rows = pick(docs, doc_id="long", text="string").select(F.monotonically_increasing_id().alias("row"), "doc_id", words(F.coalesce("text", F.lit(""))).alias("w"))
-    grams = rows.select("row", "doc_id", F.size("w").cast("long").alias("n_words"), F.posexplode(F.concat(shingles(F.col("w"), k), F.array(F.lit(_END)))).alias("pos", "gram"))
-    known = F.broadcast(template_positions(docs.sparkSession, templates, base, k).withColumnRenamed("gram", "tgram"))
+    known = template_positions(docs.sparkSession, templates, base, k).withColumnRenamed("gram", "tgram")
+    sent = sum(len(text.split()) for _, text in [*base, *templates]) <= MOST_SENT
+    hashes = [r[0] for r in known.where(F.col("tgram") != _END).select(F.xxhash64(*_run(F.split("tgram", " "), F.lit(1), k))).distinct().collect()] if sent else None
+    end = F.array(F.struct(F.lit(0).alias("pos"), F.lit(_END).alias("gram")))
+    grams = rows.select("row", "doc_id", F.size("w").cast("long").alias("n_words"), F.inline(F.concat(shingles(F.col("w"), k, hashes), end)).alias("pos", "gram"))
+    known = F.broadcast(known) if sent else known
     hits = grams.withColumn("h", F.xxhash64("gram")).join(known, "h").where("gram = tgram")
     key = ["row", "doc_id", "n_words", "template", "label", "base", "n_grams", "slack", "need"]
     hits = hits.select(*key, "pos", "tpos", (F.col("pos") - F.col("tpos")).alias("diagonal")).repartition("row")

@@ -74,3 +74,10 @@ def test_odd_cases(odd, nothing):
 def test_the_main_path_has_no_python(spark, small):
     plan = licenses.op8_licenses(spark, small)._jdf.queryExecution().toString()
     assert not re.search("Python|Pandas|Arrow", plan)
+
+
+def test_many_templates_give_the_same_spans_by_a_shuffled_join(spark, small, monkeypatch):
+    docs = spark.read.parquet(f"{small}/documents.parquet").unionByName(spark.createDataFrame([(-i, t) for i, t in enumerate(TEXTS)], "doc_id long, text string"), allowMissingColumns=True)
+    sent = sorted(map(str, licenses.scan_licenses(docs).collect()))
+    monkeypatch.setattr(licenses, "MOST_SENT", 0)
+    assert sorted(map(str, licenses.scan_licenses(docs).collect())) == sent
