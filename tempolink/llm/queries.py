@@ -4,12 +4,13 @@ from __future__ import annotations
 
 from .embeddings import op2_embeddings
 from .fingerprints import op3_fingerprints
-from . import mixing, sql, warc
+from . import mixing, rules, sql, warc
 from .licenses import op8_licenses
 from .mixing import op9_mixing
 from .neardup import op1_neardup
 from .packing import op4_packing
 from .quality import op10_quality
+from .rules import op13_rules
 from .secrets import op6_secrets
 from .toxicity import op7_toxicity
 from .warc import op5_warc, op5_warc_all
@@ -26,6 +27,7 @@ QUERIES = {
     "op8_licenses": op8_licenses,
     "op9_mixing": op9_mixing,
     "op10_quality": op10_quality,
+    "op13_rules": op13_rules,
 }
 
 ORACLE_SQL: dict[str, str] = {
@@ -34,4 +36,5 @@ ORACLE_SQL: dict[str, str] = {
     "op5_warc": warc.SQL,
     "op8_licenses": sql.LICENSES,
     "op9_mixing": mixing.SQL,
+    "op13_rules": rules.SQL,
 }
