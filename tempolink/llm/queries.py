@@ -14,6 +14,7 @@ from .rules import op13_rules
 from .secrets import op6_secrets
 from .toxicity import op7_toxicity
 from .warc import op5_warc, op5_warc_all
+from .whitening import op12_whitening
 
 QUERIES = {
     "op1_neardup": op1_neardup,
@@ -27,6 +28,7 @@ QUERIES = {
     "op8_licenses": op8_licenses,
     "op9_mixing": op9_mixing,
     "op10_quality": op10_quality,
+    "op12_whitening": op12_whitening,
     "op13_rules": op13_rules,
 }
 
