@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from .alignment import op11_alignment
 from .embeddings import op2_embeddings
 from .fingerprints import op3_fingerprints
 from . import mixing, rules, sql, warc
@@ -28,6 +29,7 @@ QUERIES = {
     "op8_licenses": op8_licenses,
     "op9_mixing": op9_mixing,
     "op10_quality": op10_quality,
+    "op11_alignment": op11_alignment,
     "op12_whitening": op12_whitening,
     "op13_rules": op13_rules,
 }
