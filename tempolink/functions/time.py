@@ -26,6 +26,17 @@ def period(unit: str, ts: Column | str) -> Column:
     return F.expr(EPOCH) + F.make_dt_interval(F.lit(0), F.lit(0), F.lit(0), start.cast("decimal(18,6)"))
 
 
+def instant(ts: Column | str) -> Column:
+    """A time without zone as the instant at which UTC shows it, whatever the session's zone."""
+    return F.timestamp_micros(micros(ts))
+
+
+def utc(at: Column | str) -> Column:
+    """What UTC shows at an instant, as a time without zone."""
+    seconds = (F.unix_micros(at).cast("decimal(20,0)") / 1_000_000).cast("decimal(18,6)")
+    return F.expr(EPOCH) + F.make_dt_interval(F.lit(0), F.lit(0), F.lit(0), seconds)
+
+
 def cents(amount: Column | str) -> Column:
     """An amount as whole cents, so that sums are exact."""
     amount = F.col(amount) if isinstance(amount, str) else amount

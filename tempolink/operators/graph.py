@@ -35,12 +35,12 @@ def pair_edges(exposed: DataFrame) -> DataFrame:
 
 
 def edge_history(edges: DataFrame) -> DataFrame:
-    """Each pair's number of edges and its first and last time."""
+    """Each pair's number of edges and its first and last time; edges without time count, and repeats count each."""
     return edges.groupBy("src", "dst").agg(F.count("*").alias("n"), F.min("ts").alias("first_ts"), F.max("ts").alias("last_ts"))
 
 
 def adjacency(edges: DataFrame) -> DataFrame:
-    """(u, v, ts, group_id): every edge from both ends, in one pass over the edges."""
+    """(u, v, ts, group_id): every edge from both ends, in one pass over the edges; nulls and repeats stay."""
     ends = F.array(F.struct(F.col("src").alias("u"), F.col("dst").alias("v")), F.struct(F.col("dst").alias("u"), F.col("src").alias("v")))
     return edges.select(F.explode(ends).alias("e"), "ts", "group_id").select("e.u", "e.v", "ts", "group_id")
 
@@ -51,46 +51,60 @@ def snapshots(adj: DataFrame, unit: str = "month") -> DataFrame:
 
 
 def cumulative(snap: DataFrame) -> DataFrame:
-    """Adds each node's degree up to and in each period."""
+    """Adds each node's degree up to and in each period; the null period comes first."""
     upto = Window.partitionBy("u").orderBy("period").rowsBetween(Window.unboundedPreceding, 0)
     return snap.withColumn("cumulative_degree", F.sum("degree").over(upto))
 
 
 def degree(adj: DataFrame) -> DataFrame:
-    """Each node's edges and distinct neighbours."""
+    """Each node's edges and distinct neighbours; repeated edges count each, a null neighbour is one."""
     pairs = adj.groupBy("u", "v").agg(F.count("*").alias("n"))
     return pairs.groupBy("u").agg(F.sum("n").alias("degree"), F.count("*").alias("n_neighbors"))
 
 
-def gaps(adj: DataFrame) -> DataFrame:
+def gaps(adj: DataFrame, unit: str = "month") -> DataFrame:
     """Each edge end with the days since the node's previous edge; null for the first.
 
-    Edges without time come first and have no days, nor has the next one.
+    Edges without time come first and have no days, nor has the next one; rows
+    that repeat follow each other.  Windows hold a node's edges of one period, and
+    a period's first edge gets the last time of the node's period before, so that a
+    node with very many edges is many tasks.
     """
-    order = Window.partitionBy("u").orderBy("ts", "group_id", "v")
-    return adj.withColumn("gap_days", F.datediff("ts", F.lag("ts").over(order)))
+    timed = adj.withColumn("_period", period(unit, "ts"))
+    order = Window.partitionBy("u", "_period").orderBy("ts", "group_id", "v")
+    lasts = timed.groupBy("u", "_period").agg(F.max("ts").alias("_last"))
+    before = lasts.select("u", "_period", F.lag("_last").over(Window.partitionBy("u").orderBy("_period")).alias("_before"))
+    near = timed.withColumn("_near", F.lag("ts").over(order)).withColumn("_first", F.row_number().over(order) == 1)
+    both = near.join(before, ["u", "_period"], "left")
+    return both.select(*adj.columns, F.datediff("ts", F.when(F.col("_first"), F.col("_before")).otherwise(F.col("_near"))).alias("gap_days"))
 
 
 def sliding(events: DataFrame, length: str = "7 days", step: str = "1 day") -> DataFrame:
-    """Events and users of each type in each sliding window."""
+    """Events and users of each type in each sliding window; events without time are in none, no user is none."""
     w = F.window("ts", length, step)
     counted = events.groupBy(w, "event_type", "user_id").agg(F.count("*").alias("n"))
     return counted.groupBy("window", "event_type").agg(F.sum("n").alias("n"), F.count("user_id").alias("n_users")).select(F.col("window.start").cast("timestamp_ntz").alias("window_start"), "event_type", "n", "n_users")
 
 
-def asof(left: DataFrame, right: DataFrame, by: str, ts: str, row_id: str) -> DataFrame:
+def asof(left: DataFrame, right: DataFrame, by: str, ts: str, row_id: str, unit: str = "day") -> DataFrame:
     """Each left row with the last strictly earlier right row of the same key, or nulls.
 
     One sort of both sides replaces a join: the greatest (time, id) among right
     rows in a range that ends a microsecond before.  Of rows tied in time, the
     greatest id is the last.  A row without key or time finds nothing and isn't
-    found.
+    found; rows that repeat each find theirs.  A window holds a key's rows of one
+    period; what is last in the periods before comes from a table with one row for
+    each key and period, so a key with very many rows is many tasks.
     """
     side = lambda df, is_right: df.select(F.col(by), F.col(ts), F.col(row_id), micros(ts).alias("_t"), F.lit(is_right).alias("_right"))
-    both = side(left, False).unionByName(side(right.where(F.col(by).isNotNull() & F.col(ts).isNotNull()), True))
-    earlier = Window.partitionBy(by).orderBy("_t").rangeBetween(Window.unboundedPreceding, -1)
-    last = F.max(F.when(F.col("_right"), F.struct(F.col("_t"), F.col(row_id).alias("id"), F.col(ts).alias("at")))).over(earlier)
-    out = both.withColumn("_last", last).where(~F.col("_right"))
+    both = side(left, False).unionByName(side(right.where(F.col(by).isNotNull() & F.col(ts).isNotNull()), True)).withColumn("_period", period(unit, ts))
+    found = F.max(F.when(F.col("_right"), F.struct(F.col("_t"), F.col(row_id).alias("id"), F.col(ts).alias("at"))))
+    earlier = Window.partitionBy(by, "_period").orderBy("_t").rangeBetween(Window.unboundedPreceding, -1)
+    periods = both.groupBy(by, "_period").agg(found.alias("_best"))
+    upto = Window.partitionBy(by).orderBy("_period").rowsBetween(Window.unboundedPreceding, -1)
+    carried = periods.select(by, "_period", F.max("_best").over(upto).alias("_carried"))
+    out = both.withColumn("_near", found.over(earlier)).where(~F.col("_right")).join(carried, [by, "_period"], "left")
+    out = out.withColumn("_last", F.coalesce("_near", "_carried"))
     return out.select(row_id, by, ts, F.col("_last.id").alias("right_id"), F.col("_last.at").alias("right_ts"))
 
 
@@ -119,7 +133,8 @@ def closed_triples(edges: DataFrame) -> DataFrame:
     """(a, b, c), b < c: each triangle of distinct edges once.
 
     Edges point from the lower to the higher degree (ties by id), so no node
-    has more than the root of twice the edges to pair up, hubs included.
+    has more than the root of twice the edges to pair up, hubs included.  Edges
+    with a null end are in no triangle; repeats count once.
     """
     pairs = edges.select("src", "dst").distinct()
     deg = pairs.select(F.explode(F.array("src", "dst")).alias("n")).groupBy("n").agg(F.count("*").alias("d"))

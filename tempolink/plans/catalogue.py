@@ -8,12 +8,16 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators import features, graph, learn, validate
+from ..sources.scratch import Scratch
 from ..sources.tables import table
 from ..streaming import windows
 
 CUT = "2000-01-01"
+#: Models learn from what is new between this and the cut, by what came before.
+START = "1999-01-01"
 NOW = "2002-01-01"
-TYPES = ["STANDARD", "ECONOMY"]
+#: The part types that have a column each; any other one is marked as such.
+TYPES = ["ECONOMY", "LARGE", "MEDIUM", "PROMO", "SMALL", "STANDARD"]
 
 
 def _exposures(spark, d):
@@ -50,32 +54,32 @@ def _components_all(spark, d):
     return graph.component_labels(_edges(spark, d))
 
 
-def _node_features_all(spark, d):
-    part = table(spark, d, "part")
-    types = [r[0] for r in part.where("p_type IS NOT NULL").select("p_type").distinct().orderBy("p_type").collect()]
-    return features.node_features(part, types)
+def _firsts(spark, d):
+    """First links, kept: held-out pairs, degrees and negatives all follow from them."""
+    return Scratch(spark, "firsts").keep(learn.first_links(_edges(spark, d)))
+
+
+def _scored_of(spark, d, firsts):
+    pairs = learn.new_pairs(firsts, learn.negative_samples(firsts, _nodes(spark, d)), CUT)
+    return learn.link_scores(pairs, learn.degrees_before(firsts, CUT))
 
 
 def _scored(spark, d):
-    edges = _edges(spark, d)
-    pairs = learn.held_out_pairs(edges, learn.negative_samples(edges, _nodes(spark, d)), CUT)
-    return learn.link_scores(pairs, learn.train_degree(edges, CUT))
+    return _scored_of(spark, d, _firsts(spark, d))
 
 
-def _trained(spark, d):
+def _trained(spark, d, firsts):
     """A model of pairs first linked in the year before the cut, by what came before that year."""
-    edges, start = _edges(spark, d), "1999-01-01"
-    seen = edges.where(F.col("ts") < F.lit(CUT).cast("timestamp_ntz"))
-    pairs = learn.held_out_pairs(seen, learn.negative_samples(edges, _nodes(spark, d), seed="neg-2"), start)
-    return learn.train_link_model(learn.pair_features(learn.link_scores(pairs, learn.train_degree(edges, start))))
-
+    pairs = learn.new_pairs(firsts, learn.negative_samples(firsts, _nodes(spark, d), seed="neg-2"), START, CUT)
+    return learn.train_link_model(learn.pair_features(learn.link_scores(pairs, learn.degrees_before(firsts, START))))
 
-def _link_model(spark, d):
-    return learn.predict_links(_trained(spark, d), learn.pair_features(_scored(spark, d)))
 
+def _by_model(use):
+    def query(spark, d):
+        firsts = _firsts(spark, d)
+        return use(_trained(spark, d, firsts), learn.pair_features(_scored_of(spark, d, firsts)))
 
-def _attribution(spark, d):
-    return learn.linear_attribution(_trained(spark, d), learn.pair_features(_scored(spark, d)))
+    return query
 
 
 def _split(spark, d):
@@ -114,7 +118,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "profile_rollup": lambda s, d: validate.profile_rollup(table(s, d, "lineitem")),
     "edge_invariants": lambda s, d: validate.edge_invariants(_edges(s, d), "1995-01-01", "2001-12-31"),
     "node_features": lambda s, d: features.node_features(table(s, d, "part"), TYPES),
-    "node_features_all": _node_features_all,
+    "node_features_all": lambda s, d: features.node_features(table(s, d, "part"), TYPES).drop("is_other"),
+    "sparse_node_features": lambda s, d: features.sparse_features(table(s, d, "part")),
     "class_centroid": lambda s, d: features.class_centroids(table(s, d, "embeddings")),
     "class_centroid_all": lambda s, d: features.class_centroids(table(s, d, "embeddings")),
     "event_attributes": lambda s, d: features.event_attributes(table(s, d, "events")),
@@ -123,10 +128,10 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "chrono_split": _split,
     "negative_samples": lambda s, d: learn.negative_samples(_edges(s, d), _nodes(s, d)),
     "link_scores": _scored,
-    "train_link_model": _link_model,
+    "train_link_model": _by_model(learn.predict_links),
     "auc": lambda s, d: learn.auc(_scored(s, d)),
     "hits_at_k": lambda s, d: learn.hits_at_k(_scored(s, d)),
-    "linear_attribution": _attribution,
+    "linear_attribution": _by_model(learn.linear_attribution),
     "occlusion": lambda s, d: learn.occlusion(_adj(s, d), _part_features(s, d)),
     "stream_tumbling": _whole_stream(windows.tumbling),
     "stream_session": _whole_stream(windows.sessions),

@@ -5,7 +5,7 @@ from __future__ import annotations
 _EXPOSURES = "x AS (SELECT DISTINCT l_orderkey AS group_id, l_partkey AS node_id, o_orderdate AS ts FROM lineitem JOIN orders ON l_orderkey = o_orderkey)"
 _EDGES = _EXPOSURES + ", e AS (SELECT a.group_id, a.node_id AS src, b.node_id AS dst, a.ts FROM x a JOIN x b ON a.group_id = b.group_id AND a.node_id < b.node_id)"
 _ADJ = _EDGES + ", adj AS (SELECT src AS u, dst AS v, ts, group_id FROM e UNION ALL SELECT dst, src, ts, group_id FROM e)"
-_PRICE = ", price AS (SELECT p_partkey AS v, round(p_retailprice * 100)::BIGINT AS c FROM part)"
+_PRICE = ", price AS (SELECT p_partkey AS v, round(p_retailprice * 100)::BIGINT AS c FROM part WHERE p_retailprice IS NOT NULL)"
 _CUT = "TIMESTAMP '2000-01-01'"
 _SCORED = _EDGES + f""", nodes AS (SELECT p_partkey AS node_id FROM part),
 ord AS (SELECT node_id, row_number() OVER (ORDER BY md5('neg-1:' || node_id), node_id) - 1 AS place FROM nodes),
@@ -55,16 +55,23 @@ ORACLE_SQL = {
     "profile_rollup": "SELECT l_returnflag, l_linestatus, count(*) AS n, sum(l_quantity::BIGINT)::BIGINT AS quantity, grouping(l_returnflag, l_linestatus)::BIGINT AS level FROM lineitem GROUP BY ROLLUP (l_returnflag, l_linestatus)",
     "edge_invariants": f"""WITH {_EDGES} SELECT count(*) AS n_edges, count(*) FILTER (src = dst) AS self_loops, count(*) FILTER (src >= dst) AS wrong_order, count(*) FILTER (ts IS NULL) AS null_time,
         count(*) FILTER (ts < TIMESTAMP '1995-01-01' OR ts > TIMESTAMP '2001-12-31') AS outside FROM e""",
-    "node_features": "SELECT p_partkey AS node_id, p_size AS size, round(p_retailprice * 100)::BIGINT AS price_cents, (p_type = 'STANDARD')::INTEGER AS is_standard, (p_type = 'ECONOMY')::INTEGER AS is_economy FROM part",
+    "node_features": "SELECT p_partkey AS node_id, p_size AS size, round(p_retailprice * 100)::BIGINT AS price_cents, "
+    + "".join(f"(p_type = '{t}')::INTEGER AS is_{t.lower()}, " for t in ("ECONOMY", "LARGE", "MEDIUM", "PROMO", "SMALL", "STANDARD"))
+    + "(p_type NOT IN ('ECONOMY', 'LARGE', 'MEDIUM', 'PROMO', 'SMALL', 'STANDARD'))::INTEGER AS is_other FROM part",
     "node_features_all": "SELECT p_partkey AS node_id, p_size AS size, round(p_retailprice * 100)::BIGINT AS price_cents, "
     + ", ".join(f"(p_type = '{t}')::INTEGER AS is_{t.lower()}" for t in ("ECONOMY", "LARGE", "MEDIUM", "PROMO", "SMALL", "STANDARD")) + " FROM part",
+    "sparse_node_features": """SELECT * FROM (SELECT p_partkey AS node_id, 'size' AS feature, p_size::BIGINT AS value FROM part
+        UNION ALL SELECT p_partkey, 'price_cents', round(p_retailprice * 100)::BIGINT FROM part UNION ALL SELECT p_partkey, 'is_' || replace(lower(p_type), ' ', '_'), 1 FROM part)
+        WHERE feature IS NOT NULL AND value IS NOT NULL""",
     "class_centroid": _CENTROIDS,
     "class_centroid_all": _CENTROIDS,
     "event_attributes": "SELECT event_id, (props->>'$.k')::BIGINT AS k, hour(ts)::INTEGER AS hour, round(sin(hour(ts) * (2 * pi() / 24)), 9) + 0.0 AS hour_sin, round(cos(hour(ts) * (2 * pi() / 24)), 9) + 0.0 AS hour_cos FROM events",
     "mean_message": f"WITH {_ADJ}{_PRICE} SELECT u, count(*) AS n, sum(c)::DOUBLE / count(*) AS mean_price_cents FROM adj JOIN price USING (v) GROUP BY u",
-    "decayed_message": f"""WITH {_ADJ}{_PRICE}, m AS (SELECT u, c, round(exp(-((epoch_us(TIMESTAMP '2002-01-01') - epoch_us(ts)) / 86400000000.0::DOUBLE) / 365.0::DOUBLE) * 1e9)::BIGINT AS w FROM adj JOIN price USING (v))
-        SELECT u, sum(w::HUGEINT * c)::DOUBLE / sum(w)::DOUBLE AS decayed_price_cents FROM m GROUP BY u""",
-    "chrono_split": f"WITH {_EDGES} SELECT CASE WHEN ts < {_CUT} THEN 'train' ELSE 'test' END AS fold, count(*) AS n, min(ts) AS first_ts, max(ts) AS last_ts FROM e GROUP BY 1",
+    "decayed_message": f"""WITH {_ADJ}{_PRICE}, a AS (SELECT u, c, (epoch_us(TIMESTAMP '2002-01-01') - epoch_us(ts)) / 86400000000.0::DOUBLE / 365.0::DOUBLE AS age FROM adj JOIN price USING (v) WHERE ts IS NOT NULL),
+        m AS (SELECT u, floor(age)::BIGINT AS step, c, round(exp(floor(age) - age) * 1e9)::BIGINT AS w FROM a),
+        f AS (SELECT u, w, c, round(exp((min(step) OVER (PARTITION BY u) - step)::DOUBLE) * 1e9)::BIGINT AS f FROM m)
+        SELECT u, sum(w::HUGEINT * c * f)::DOUBLE / sum(w::HUGEINT * f)::DOUBLE AS decayed_price_cents FROM f GROUP BY u""",
+    "chrono_split": f"WITH {_EDGES} SELECT CASE WHEN ts < {_CUT} THEN 'train' WHEN ts >= {_CUT} THEN 'test' END AS fold, count(*) AS n, min(ts) AS first_ts, max(ts) AS last_ts FROM e GROUP BY 1",
     "negative_samples": f"WITH {_SCORED} SELECT src, dst FROM neg",
     "link_scores": f"WITH {_SCORED} SELECT * FROM sc",
     "auc": f"""WITH {_SCORED}, pairs AS (SELECT sum(CASE WHEN a.score > b.score THEN 2 WHEN a.score = b.score THEN 1 ELSE 0 END * a.n * b.n)::DOUBLE AS h

@@ -1,3 +1,4 @@
+import random
 from datetime import datetime, timedelta
 from itertools import combinations
 from math import comb
@@ -185,3 +186,30 @@ def test_edges_are_read_from_the_very_time(spark, tmp_path):
     read = lambda **w: sorted(r["ts"].strftime("%m-%d") for r in read_edges(spark, str(tmp_path / "e"), **w).collect())
     assert read(since="2024-01-10") == ["01-20", "02-03", "03-09"] and read(since="2024-01-20", until="2024-03-09") == ["01-20", "02-03"]
     assert read(since="2025-01-01") == [] and read(until="2024-01-05") == [] and len(read()) == 4
+
+
+def test_gaps_over_periods_equal_a_plain_walk(spark):
+    pick = random.Random(3)
+    days = [None] + [datetime(2024, 1, 1) + timedelta(days=17 * k, hours=pick.randrange(30)) for k in range(20)]
+    adj = graph.adjacency(edges(spark, [(g, *pick.sample(range(5), 2), pick.choice(days)) for g in range(120)]))
+    want, last = [], {}
+    for r in sorted(adj.collect(), key=lambda r: (r["u"], r["ts"] or datetime.min, r["group_id"], r["v"])):
+        before = last.get(r["u"])
+        want.append((*r, (r["ts"].date() - before.date()).days if before and r["ts"] else None))
+        last[r["u"]] = r["ts"]
+    for unit in ("month", "day", "year"):
+        assert sorted(map(str, map(tuple, graph.gaps(adj, unit).collect()))) == sorted(map(str, want))
+
+
+def test_asof_over_periods_equals_a_plain_search(spark):
+    pick = random.Random(9)
+    schema = "id bigint, by bigint, ts timestamp_ntz"
+    some = lambda n, k: [(k + i, pick.choice([1, 2, None]), pick.choice([None, *(datetime(2024, 1, 1) + timedelta(hours=7 * h) for h in range(40))])) for i in range(n)]
+    left, right = some(60, 0), some(60, 1000)
+    want = {}
+    for i, by, t in left:
+        seen = [(x, j) for j, b, x in right if by is not None and t is not None and b == by and x is not None and x < t]
+        want[i] = max(seen)[1] if seen else None
+    for unit in ("day", "month"):
+        got = graph.asof(spark.createDataFrame(left, schema), spark.createDataFrame(right, schema), "by", "ts", "id", unit)
+        assert {r["id"]: r["right_id"] for r in got.collect()} == want and got.count() == len(left)

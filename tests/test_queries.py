@@ -50,9 +50,10 @@ def test_entry(spark):
     assert set(entry.oracle_sql()) <= set(entry.queries())
 
 
-def test_works_without_the_llm_folders(tmp_path):
+@pytest.mark.parametrize("pipeline", [(), ("corpus_pipeline.py",)])
+def test_works_without_the_llm_folders(tmp_path, pipeline):
     """The driver may delete them."""
-    for part in ("tempolink", "__spark_entry__.py"):
+    for part in ("tempolink", "__spark_entry__.py") + pipeline:
         source = ROOT / part
         if source.is_dir():
             shutil.copytree(source, tmp_path / part, ignore=shutil.ignore_patterns("llm", "__pycache__"))

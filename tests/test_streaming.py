@@ -65,3 +65,13 @@ def test_late_rows_and_open_windows_count_over_many_files(spark, tmp_path, name)
     assert got == counted(in_batch(spark, str(tmp_path), name)) and sum(int(r[-1]) for r in got) == 5
     stream(spark, tmp_path / "none", [[]])
     assert QUERIES[name](spark, str(tmp_path / "none")).count() == 0
+
+
+@pytest.mark.parametrize("name", ["stream_tumbling", "stream_session", "stream_dedup"])
+def test_another_session_zone_changes_nothing(spark, small, name):
+    want = counted(QUERIES[name](spark, small))
+    spark.conf.set("spark.sql.session.timeZone", "America/New_York")
+    try:
+        assert counted(QUERIES[name](spark, small)) == want
+    finally:
+        spark.conf.set("spark.sql.session.timeZone", "UTC")

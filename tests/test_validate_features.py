@@ -1,3 +1,4 @@
+import math
 from datetime import datetime
 
 import pytest
@@ -43,6 +44,41 @@ def test_messages(spark):
     assert decayed[1] == pytest.approx((200 + 400 * 2.718281828459045**-1) / (1 + 2.718281828459045**-1), rel=1e-6)
 
 
+def test_prices_that_are_null_send_nothing(spark):
+    adj = graph.adjacency(spark.createDataFrame([(1, 1, 2, T(1)), (2, 1, 3, T(1)), (3, 3, 4, T(1)), (4, 1, 2, T(1))], tables.EDGES))
+    price = spark.createDataFrame([(1, 100), (2, 300), (3, None)], "node_id bigint, price_cents bigint")
+    assert rows(features.mean_message(adj, price)) == [(1, 2, 300.0), (2, 2, 100.0), (3, 1, 100.0)]
+    assert rows(features.decayed_message(adj, price, "2024-02-01")) == [(1, 300.0), (2, 100.0), (3, 100.0)]
+
+
+def test_old_edges_keep_their_mean(spark):
+    """Thirty years apart, and all before the clock could tell; weights are relative to the newest."""
+    days = [datetime(1970, 1, 1), datetime(1970, 1, 11), datetime(1940, 1, 1)]
+    adj = graph.adjacency(spark.createDataFrame([(i, 1, i + 2, t) for i, t in enumerate(days)] + [(9, 8, 9, None)], tables.EDGES))
+    price = spark.createDataFrame([(1, 50), (2, 100), (3, 200), (4, 9000), (8, 1), (9, 1)], "node_id bigint, price_cents bigint")
+    got = dict(rows(features.decayed_message(adj, price, "2002-01-01")))
+    old = math.exp(-10 / 365)
+    assert got[1] == pytest.approx((100 * old + 200) / (old + 1), rel=1e-6) and {got[2], got[3], got[4]} == {50.0} and 8 not in got
+    future = dict(rows(features.decayed_message(adj, price, "1900-01-01")))
+    assert future[1] == pytest.approx(got[1], rel=1e-6)
+
+
+def test_all_types_have_features(spark):
+    part = spark.createDataFrame([(1, "PROMO", 3, 1.5), (2, "NEW KIND", None, None), (3, None, 1, 2.0)], "p_partkey bigint, p_type string, p_size int, p_retailprice double")
+    wide = {r["node_id"]: (r["is_promo"], r["is_other"]) for r in features.node_features(part, ["PROMO"]).collect()}
+    assert wide == {1: (1, 0), 2: (0, 1), 3: (None, None)}
+    assert rows(features.sparse_features(part)) == [(1, "is_promo", 1), (1, "price_cents", 150), (1, "size", 3), (2, "is_new_kind", 1), (3, "price_cents", 200), (3, "size", 1)]
+
+
+def test_empty_tables(spark):
+    adj = graph.adjacency(spark.createDataFrame([], tables.EDGES))
+    price = spark.createDataFrame([], "node_id bigint, price_cents bigint")
+    assert features.mean_message(adj, price).count() == features.decayed_message(adj, price, "2024-01-01").count() == 0
+    edges, nodes = spark.createDataFrame([], tables.EDGES), spark.createDataFrame([], "node_id bigint")
+    assert validate.dangling_edges(edges, nodes).count() == 0 and tuple(validate.edge_invariants(edges, "2024-01-01", "2024-02-01").head()) == (0, 0, 0, 0, 0)
+    assert validate.missing_features(nodes, spark.createDataFrame([], "node_id bigint, embedding array<float>")).count() == 0
+
+
 def test_event_attributes_of_odd_json(spark):
     events = spark.createDataFrame([(1, T(1), '{"k": 7}'), (2, T(1), "{}"), (3, T(1), None)], "event_id bigint, ts timestamp_ntz, props string")
     assert [r["k"] for r in features.event_attributes(events).orderBy("event_id").collect()] == [7, None, None]
