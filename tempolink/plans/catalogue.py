@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..operators import features, graph, learn, validate
+from ..operators import features, graph, learn, temporal, validate
 from ..sources.scratch import Scratch
 from ..sources.tables import table
 from ..streaming import windows
@@ -82,6 +82,29 @@ def _by_model(use):
     return query
 
 
+def _temporal(use):
+    """A model of what is new before the cut, by states of the start; then ``use`` on it and all pairs new from the cut on, by states of the cut."""
+
+    def query(spark, d):
+        edges = Scratch(spark, "edges").keep(_edges(spark, d))
+        firsts = Scratch(spark, "firsts").keep(learn.first_links(edges))
+        adj, x = graph.adjacency(edges), features.node_features(table(spark, d, "part"), TYPES)
+        size = temporal.width(len(x.columns) - 1)
+        seen = temporal.sample(learn.new_pairs(firsts, learn.negative_samples(firsts, _nodes(spark, d), seed="neg-2"), START, CUT))
+        model = temporal.fit(temporal.with_states(seen, temporal.states(adj, x, START), size), len(x.columns) - 1)
+        pairs = learn.new_pairs(firsts, learn.negative_samples(firsts, _nodes(spark, d)), CUT)
+        return use(model, temporal.with_states(pairs, temporal.states(adj, x, CUT), size), firsts)
+
+    return query
+
+
+def _temporal_auc(model, pairs, firsts):
+    """The trained model's AUC beside the degree product's, on the same pairs."""
+    scored = {"degree product": learn.link_scores(pairs.select("src", "dst", "label"), learn.degrees_before(firsts, CUT)), "temporal": temporal.predict(model, pairs)}
+    rows = [learn.auc(s.withColumn("score", F.col("score").cast("double"))).select(F.lit(name).alias("model"), "n_pos", "n_neg", "auc") for name, s in scored.items()]
+    return rows[0].unionByName(rows[1])
+
+
 def _split(spark, d):
     return learn.chrono_split(_edges(spark, d), CUT).groupBy("fold").agg(F.count("*").alias("n"), F.min("ts").alias("first_ts"), F.max("ts").alias("last_ts"))
 
@@ -132,6 +155,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "auc": lambda s, d: learn.auc(_scored(s, d)),
     "hits_at_k": lambda s, d: learn.hits_at_k(_scored(s, d)),
     "linear_attribution": _by_model(learn.linear_attribution),
+    "temporal_model": _temporal(lambda model, pairs, _: temporal.predict(model, pairs)),
+    "temporal_auc": _temporal(_temporal_auc),
+    "explain_links": _temporal(lambda model, pairs, _: temporal.explain_ages(model, pairs)),
     "occlusion": lambda s, d: learn.occlusion(_adj(s, d), _part_features(s, d)),
     "stream_tumbling": _whole_stream(windows.tumbling),
     "stream_session": _whole_stream(windows.sessions),

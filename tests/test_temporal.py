@@ -1,0 +1,149 @@
+import random
+from datetime import datetime, timedelta
+
+import numpy as np
+import pytest
+
+from tempolink.operators import graph, learn, temporal
+from tempolink.sources import tables
+
+DAY0 = datetime(2020, 1, 1)
+START, CUT = "2021-01-01", "2022-01-01"
+KINDS, NODES = 3, 160
+
+
+def planted(spark, n=NODES, seed=1):
+    """Nodes of a few kinds, linked nearly always to their own kind; no other trace of the kind than who sent messages."""
+    pick = random.Random(seed)
+    kind = {i: pick.randrange(KINDS) for i in range(n)}
+    rows = []
+    for g in range(2500):
+        a = pick.randrange(n)
+        b = pick.choice([x for x in range(n) if x != a and (kind[x] == kind[a]) == (pick.random() < 0.95)])
+        rows.append((g, min(a, b), max(a, b), DAY0 + timedelta(days=pick.randrange(1000))))
+    edges = spark.createDataFrame(rows, tables.EDGES)
+    # the feature is a noisy hint
+    x = spark.createDataFrame([(i, *[float(k == c) + pick.gauss(0, 0.3) for c in range(KINDS)]) for i, k in kind.items()], "node_id long, f0 double, f1 double, f2 double")
+    return edges, x
+
+
+def pairs_at(spark, edges, since, until=None):
+    nodes = spark.createDataFrame([(i,) for i in range(NODES)], "node_id bigint")
+    return learn.new_pairs(learn.first_links(edges), learn.negative_samples(edges, nodes, per_node=8, seed=f"n{since}"), since, until)
+
+
+def test_states_equal_a_plain_sum(spark):
+    edges, x = planted(spark)
+    adj = graph.adjacency(edges)
+    got = {r["node_id"]: np.array(r["state"]) for r in temporal.states(adj, x, START).collect()}
+    feature = {r["node_id"]: np.array(r[1:]) for r in x.collect()}
+    at, f = datetime(2021, 1, 1), KINDS
+    early = [(r["u"], r["v"], (at - r["ts"]).days) for r in adj.collect() if r["ts"] < at]
+    mean = {u: np.mean([feature[v] for a, v, _ in early if a == u], axis=0) for u in feature if any(a == u for a, *_ in early)}
+    for u, state in got.items():
+        own = [(v, sum(d >= s for s in temporal.AGES)) for a, v, d in early if a == u]
+        want = [feature[u], [sum(s == k for _, s in own) for k in range(temporal.STEPS)]]
+        want += [np.sum([feature[v] for v, s in own if s == k] or [np.zeros(f)], axis=0) for k in range(temporal.STEPS)]
+        want += [np.mean([mean[v] for v, _ in own] or [np.zeros(f)], axis=0)]
+        assert np.abs(state - np.concatenate(want)).max() < 1e-4
+    assert len(got) == NODES and {len(s) for s in got.values()} == {temporal.width(f)}
+
+
+def model_of(n_features=2, seed=3):
+    rng = np.random.default_rng(seed)
+    size = temporal.encoded(np.zeros((1, temporal.width(n_features))), n_features).shape[1]
+    h = temporal.HIDDEN
+    return temporal.TemporalModel(n_features, rng.normal(size=size) * 0.1, 1 + rng.random(size), rng.normal(size=size * h + 3 * h + 1) * 0.3)
+
+
+def test_gradients_equal_differences():
+    model, rng = model_of(), np.random.default_rng(5)
+    a, b = (np.abs(rng.normal(size=(7, temporal.width(2)))) for _ in range(2))
+    label, weight = rng.integers(0, 2, 7).astype(float), rng.random(7)
+    gradient, _ = model.gradient(a, b, label, weight)
+    for k in rng.choice(len(gradient), 60, replace=False):
+        ahead = model.parameters.copy()
+        ahead[k] += 1e-5
+        behind = 2 * model.parameters - ahead
+        loss = [temporal.replace(model, parameters=p).gradient(a, b, label, weight)[1] for p in (ahead, behind)]
+        assert gradient[k] == pytest.approx((loss[0] - loss[1]) / 2e-5, abs=1e-6)
+    assert (model.logits(a, b) == pytest.approx(model.logits(b, a)))
+
+
+def test_summed_gradients_are_those_of_all_rows(spark):
+    model, rng = model_of(), np.random.default_rng(6)
+    a, b = (np.abs(rng.normal(size=(50, temporal.width(2)))) for _ in range(2))
+    df = spark.createDataFrame([(x.tolist(), y.tolist()) for x, y in zip(a, b)], "a array<double>, b array<double>").repartition(7)
+    of_batch = lambda t: model.gradient(temporal._matrix(t.column(0)), temporal._matrix(t.column(1)), np.ones(t.num_rows), np.ones(t.num_rows))[0]
+    assert np.abs(temporal._summed(df, of_batch) - model.gradient(a, b, np.ones(50), np.ones(50))[0]).max() < 1e-9
+
+
+@pytest.fixture(scope="module")
+def trained(spark):
+    edges, x = planted(spark)
+    adj, size = graph.adjacency(edges), temporal.width(KINDS)
+    model = temporal.fit(temporal.with_states(pairs_at(spark, edges, START, CUT), temporal.states(adj, x, START), size), KINDS)
+    pairs = temporal.with_states(pairs_at(spark, edges, CUT), temporal.states(adj, x, CUT), size)
+    return model, pairs, edges, x
+
+
+def test_it_learns_what_degrees_do_not_show(trained):
+    model, pairs, edges, _ = trained
+    auc = learn.auc(temporal.predict(model, pairs)).head()["auc"]
+    plain = learn.auc(learn.link_scores(pairs.select("src", "dst", "label"), learn.train_degree(edges, CUT))).head()["auc"]
+    # knowing every kind would give about 0.81: nine in ten new pairs and three in ten others are of one kind
+    assert auc > 0.72 and auc > plain + 0.15
+
+
+def test_later_edges_change_no_state(trained, spark):
+    _, _, edges, x = trained
+    seen = edges.where(f"ts < '{CUT}'")
+    a, b = ({r["node_id"]: r["state"] for r in temporal.states(graph.adjacency(e), x, CUT).collect()} for e in (edges, seen))
+    assert a == b
+
+
+def test_a_saved_model_scores_alike(trained, spark, tmp_path):
+    model, pairs, *_ = trained
+    temporal.save(model, spark, str(tmp_path / "m"))
+    again = temporal.load(spark, str(tmp_path / "m"))
+    a, b = ({(r["src"], r["dst"]): r["score"] for r in temporal.predict(m, pairs).collect()} for m in (model, again))
+    assert a == b
+
+
+def test_explanations_are_what_is_left_out(trained, spark):
+    model, pairs, edges, x = trained
+    one = pairs.orderBy("src", "dst").limit(1)
+    row = one.head()
+    adj = graph.adjacency(edges)
+    got = temporal.explain_neighbours(model, one, adj, x, CUT, k=2).collect()
+    assert sorted((r["side"], r["rank"]) for r in got) == [("dst", 1), ("dst", 2), ("src", 1), ("src", 2)]
+    a, b = np.array([row["a"]]), np.array([row["b"]])
+    for r in got:
+        end = row["src"] if r["side"] == "src" else row["dst"]
+        rest = adj.where(f"NOT (u = {end} AND v = {r['neighbour']})")
+        state = np.array([temporal.states(rest, x, CUT).where(f"node_id = {end}").head()["state"]])
+        state[:, -KINDS:] = (a if r["side"] == "src" else b)[:, -KINDS:]  # second-round means stay
+        less = model.logits(state, b) if r["side"] == "src" else model.logits(a, state)
+        assert r["change"] == pytest.approx(float((model.logits(a, b) - less)[0]), abs=1e-4)
+    ages = temporal.explain_ages(model, one).collect()
+    assert all(r["n_messages"] > 0 for r in ages) and sum(r["n_messages"] for r in ages if r["side"] == "src") == adj.where(f"u = {row['src']} AND ts < '{CUT}'").count()
+
+
+def test_odd_cases(spark):
+    adj = spark.createDataFrame([(1, 2, DAY0, 1), (1, 3, None, 1), (None, 2, DAY0, 1), (1, None, DAY0, 2), (1, 2, DAY0, 1)], "u long, v long, ts timestamp_ntz, group_id long")
+    x = spark.createDataFrame([(1, 1.0), (2, None), (None, 5.0), (2, 4.0), (7, 2.0)], "node_id long, f double")
+    got = {r["node_id"]: r["state"] for r in temporal.states(adj, x, START).collect()}
+    steps = [0.0] * temporal.STEPS
+    assert got[7] == [2.0] + steps + steps + [0.0] and got[2][0] == 4.0 and set(got) == {1, 2, 7}
+    assert sum(got[1][1 : 1 + temporal.STEPS]) == 2 and sum(got[1][1 + temporal.STEPS : -1]) == 8.0
+    pairs = temporal.with_states(spark.createDataFrame([(1, 9, 1), (None, 1, 0), (1, 2, None)], "src long, dst long, label int"), temporal.states(adj, x, START), temporal.width(1))
+    assert pairs.count() == 2
+    model = temporal.fit(pairs, 1)  # one class only: nothing to learn
+    assert {r["score"] for r in temporal.predict(model, pairs).collect()} == {0.5}
+    none = pairs.where("1 = 0")
+    assert temporal.predict(temporal.fit(none, 1), none).count() == temporal.explain_ages(model, none).count() == 0
+
+
+def test_a_sample_has_about_its_size(spark):
+    pairs = spark.range(20_000).selectExpr("id AS src", "id + 1 AS dst", "1 AS label")
+    assert temporal.sample(pairs, 30_000).count() == 20_000 and 1800 < temporal.sample(pairs, 2000).count() < 2200
