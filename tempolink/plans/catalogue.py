@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..operators import features, graph, learn, temporal, validate
+from ..operators import features, graph, learn, temporal, traverse, validate
 from ..sources.scratch import Scratch
 from ..sources.tables import table
 from ..streaming import windows
@@ -105,6 +105,18 @@ def _temporal_auc(model, pairs, firsts):
     return rows[0].unionByName(rows[1])
 
 
+def _arrivals(spark, d):
+    """From all nodes of the first episodes."""
+    adj = Scratch(spark, "adjacency").keep(_adj(spark, d))
+    first = adj.agg(F.min("ts").alias("ts"))
+    sources = adj.select(F.col("u").alias("node"), "ts").join(F.broadcast(first), "ts").distinct()
+    return traverse.earliest_arrival(adj, sources)
+
+
+def _walks(spark, d):
+    return traverse.random_walks(_adj(spark, d), _nodes(spark, d).select(F.col("node_id").alias("node")), per_node=2)
+
+
 def _split(spark, d):
     return learn.chrono_split(_edges(spark, d), CUT).groupBy("fold").agg(F.count("*").alias("n"), F.min("ts").alias("first_ts"), F.max("ts").alias("last_ts"))
 
@@ -134,6 +146,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "common_neighbors": lambda s, d: graph.common_neighbors(_edges(s, d)),
     "components": _components_all,
     "components_all": _components_all,
+    "earliest_arrival": _arrivals,
+    "random_walks": _walks,
     "dangling_edges": lambda s, d: validate.dangling_edges(_edges(s, d), _vectors(s, d)),
     "duplicate_exposures": lambda s, d: validate.duplicate_exposures(table(s, d, "lineitem"), "l_orderkey", "l_partkey"),
     "missing_features": lambda s, d: validate.missing_features(_nodes(s, d), _vectors(s, d)),

@@ -25,6 +25,22 @@ cc(node, component) USING KEY (node) AS (
   UNION
   SELECT s.v, min(cc.component) FROM cc JOIN s ON s.u = cc.node JOIN recurring.cc o ON o.node = s.v WHERE cc.component < o.component GROUP BY s.v)
 SELECT node, component FROM cc"""
+_WALKS = f"""WITH RECURSIVE {_ADJ}, pl AS MATERIALIZED (
+  SELECT *, row_number() OVER (PARTITION BY u ORDER BY ts, group_id, v) AS place, count(*) OVER (PARTITION BY u ORDER BY ts RANGE UNBOUNDED PRECEDING) AS upto, count(*) OVER (PARTITION BY u) AS n FROM adj),
+ends AS MATERIALIZED (SELECT DISTINCT u, ts, upto, n FROM pl),
+w AS (
+  SELECT p_partkey AS start, walk, 0 AS step, NULL::BIGINT AS u, p_partkey AS v, NULL::TIMESTAMP AS ts, NULL::BIGINT AS group_id, 0::BIGINT AS upto, n FROM part JOIN (SELECT DISTINCT u, n FROM pl) s ON s.u = p_partkey, (VALUES (1), (2)) t(walk)
+  UNION ALL
+  SELECT w.start, w.walk, w.step + 1, pl.u, pl.v, pl.ts, pl.group_id, e.upto, e.n
+  FROM (SELECT *, ('0x' || substr(md5('walk-1:' || start || ':' || walk || ':' || (step + 1)), 1, 12))::BIGINT::DOUBLE / 281474976710656::DOUBLE AS x FROM w WHERE step < 5 AND upto < n) w
+  JOIN pl ON pl.u = w.v AND pl.place = w.upto + 1 + floor(w.x * w.x * (w.n - w.upto))::BIGINT JOIN ends e ON e.u = pl.v AND e.ts = pl.ts)
+SELECT start, walk, step, u, v, ts, group_id FROM w WHERE step > 0"""
+_ARRIVALS = f"""WITH RECURSIVE {_ADJ}, s AS MATERIALIZED (SELECT DISTINCT u, v, ts FROM adj),
+r(node, arrival, hops) USING KEY (node) AS (
+  SELECT DISTINCT u, ts, 0 FROM s WHERE ts = (SELECT min(ts) FROM s)
+  UNION
+  SELECT s.v, min(s.ts), max(r.hops) + 1 FROM r JOIN s ON s.u = r.node AND s.ts > r.arrival LEFT JOIN recurring.r o ON o.node = s.v WHERE o.arrival IS NULL OR s.ts < o.arrival GROUP BY s.v)
+SELECT node, arrival, hops FROM r"""
 _CENTROIDS = """SELECT label, component::INTEGER AS component, count(*) AS n, sum(round(x::DOUBLE * 1e6)::BIGINT)::DOUBLE / count(*) / 1e6 AS mean
 FROM (SELECT label, unnest(embedding) AS x, generate_subscripts(embedding, 1) AS component FROM embeddings) WHERE x IS NOT NULL GROUP BY ALL"""
 
@@ -48,6 +64,8 @@ ORACLE_SQL = {
         FROM p a JOIN p b ON b.u = a.u JOIN p c ON c.u = a.v AND c.v = b.v JOIN d ON d.z = b.v WHERE a.u < a.v GROUP BY a.u, a.v""",
     "components": _COMPONENTS,
     "components_all": _COMPONENTS,
+    "earliest_arrival": _ARRIVALS,
+    "random_walks": _WALKS,
     "dangling_edges": f"WITH {_EDGES} SELECT e.*, m.missing FROM e, LATERAL (SELECT unnest([src, dst]) AS missing) m WHERE NOT EXISTS (SELECT 1 FROM embeddings WHERE vec_id = m.missing)",
     "duplicate_exposures": "SELECT l_orderkey, l_partkey, count(*) AS n FROM lineitem GROUP BY ALL HAVING count(*) > 1",
     "missing_features": "SELECT p_partkey AS node_id FROM part WHERE p_partkey NOT IN (SELECT vec_id FROM embeddings WHERE len(embedding) > 0)",
