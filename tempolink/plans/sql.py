@@ -87,8 +87,9 @@ ORACLE_SQL = {
     "mean_message": f"WITH {_ADJ}{_PRICE} SELECT u, count(*) AS n, sum(c)::DOUBLE / count(*) AS mean_price_cents FROM adj JOIN price USING (v) GROUP BY u",
     "decayed_message": f"""WITH {_ADJ}{_PRICE}, a AS (SELECT u, c, (epoch_us(TIMESTAMP '2002-01-01') - epoch_us(ts)) / 86400000000.0::DOUBLE / 365.0::DOUBLE AS age FROM adj JOIN price USING (v) WHERE ts IS NOT NULL),
         m AS (SELECT u, floor(age)::BIGINT AS step, c, round(exp(floor(age) - age) * 1e9)::BIGINT AS w FROM a),
-        f AS (SELECT u, w, c, round(exp((min(step) OVER (PARTITION BY u) - step)::DOUBLE) * 1e9)::BIGINT AS f FROM m)
-        SELECT u, sum(w::HUGEINT * c * f)::DOUBLE / sum(w::HUGEINT * f)::DOUBLE AS decayed_price_cents FROM f GROUP BY u""",
+        k AS (SELECT u, step, sum(w)::BIGINT::DOUBLE AS w, sum(w * c)::BIGINT::DOUBLE AS s FROM m GROUP BY u, step),
+        f AS (SELECT *, round(exp((min(step) OVER (PARTITION BY u) - step)::DOUBLE) * 1e9) / 1e9 AS f FROM k)
+        SELECT u, list_reduce(list(s * f ORDER BY step), lambda a, x: a + x) / list_reduce(list(w * f ORDER BY step), lambda a, x: a + x) AS decayed_price_cents FROM f GROUP BY u""",
     "chrono_split": f"WITH {_EDGES} SELECT CASE WHEN ts < {_CUT} THEN 'train' WHEN ts >= {_CUT} THEN 'test' END AS fold, count(*) AS n, min(ts) AS first_ts, max(ts) AS last_ts FROM e GROUP BY 1",
     "negative_samples": f"WITH {_SCORED} SELECT src, dst FROM neg",
     "link_scores": f"WITH {_SCORED} SELECT * FROM sc",
