@@ -7,10 +7,10 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..operators import features, graph, learn, temporal, traverse, validate
+from ..operators import changes, features, graph, learn, overlap, temporal, traverse, validate
 from ..sources.scratch import Scratch
 from ..sources.tables import table
-from ..streaming import windows
+from ..streaming import joins, windows
 
 CUT = "2000-01-01"
 #: Models learn from what is new between this and the cut, by what came before.
@@ -121,6 +121,10 @@ def _split(spark, d):
     return learn.chrono_split(_edges(spark, d), CUT).groupBy("fold").agg(F.count("*").alias("n"), F.min("ts").alias("first_ts"), F.max("ts").alias("last_ts"))
 
 
+def _views_before(spark, d):
+    return joins.Drained(spark, ["purchase", "view"]).finish(windows.event_stream(spark, d), joins.views_before)
+
+
 def _stream(of):
     return lambda spark, d: windows.drain(spark, of(windows.event_stream(spark, d)))
 
@@ -173,6 +177,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "temporal_auc": _temporal(_temporal_auc),
     "explain_links": _temporal(lambda model, pairs, _: temporal.explain_ages(model, pairs)),
     "occlusion": lambda s, d: learn.occlusion(_adj(s, d), _part_features(s, d)),
+    "overlapping_sessions": lambda s, d: overlap.together(overlap.user_sessions(table(s, d, "events")), grain=3_600_000_000),
+    "edge_changes": lambda s, d: changes.edge_changes(_edges(s, d)),
+    "stream_views_before": _views_before,
     "stream_tumbling": _whole_stream(windows.tumbling),
     "stream_session": _whole_stream(windows.sessions),
     "stream_dedup": _stream(windows.deduplicated),

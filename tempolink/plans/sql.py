@@ -44,6 +44,10 @@ SELECT node, arrival, hops FROM r"""
 _CENTROIDS = """SELECT label, component::INTEGER AS component, count(*) AS n, sum(round(x::DOUBLE * 1e6)::BIGINT)::DOUBLE / count(*) / 1e6 AS mean
 FROM (SELECT label, unnest(embedding) AS x, generate_subscripts(embedding, 1) AS component FROM embeddings) WHERE x IS NOT NULL GROUP BY ALL"""
 
+_SESSIONS = """g AS (SELECT user_id, ts, CASE WHEN ts - lag(ts) OVER w <= INTERVAL 30 MINUTE THEN 0 ELSE 1 END AS new FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts)),
+s AS (SELECT user_id, ts, sum(new) OVER (PARTITION BY user_id ORDER BY ts ROWS UNBOUNDED PRECEDING) AS k FROM g),
+sessions AS (SELECT user_id, min(ts) AS session_start, max(ts) + INTERVAL 30 MINUTE AS session_end, count(*) AS n FROM s GROUP BY user_id, k)"""
+
 ORACLE_SQL = {
     "exposures": f"WITH {_EXPOSURES} SELECT * FROM x",
     "temporal_edges": f"WITH {_EDGES} SELECT * FROM e",
@@ -102,8 +106,16 @@ ORACLE_SQL = {
     "occlusion": f"""WITH {_ADJ}{_PRICE}, p AS (SELECT u, v, count(*) AS n, sum(c) AS s FROM adj JOIN price USING (v) GROUP BY u, v), t AS (SELECT u, sum(n)::BIGINT AS n, sum(s)::BIGINT AS s FROM p GROUP BY u)
         SELECT p.u, p.v, t.s::DOUBLE / t.n - CASE WHEN t.n > p.n THEN (t.s - p.s)::DOUBLE / (t.n - p.n) END AS change FROM p JOIN t USING (u)""",
     "stream_tumbling": "SELECT date_trunc('day', ts)::TIMESTAMP AS window_start, event_type, count(*) AS n FROM events GROUP BY ALL",
-    "stream_session": """WITH g AS (SELECT user_id, ts, CASE WHEN ts - lag(ts) OVER w <= INTERVAL 30 MINUTE THEN 0 ELSE 1 END AS new FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts)),
-        s AS (SELECT user_id, ts, sum(new) OVER (PARTITION BY user_id ORDER BY ts ROWS UNBOUNDED PRECEDING) AS k FROM g)
-        SELECT user_id, min(ts) AS session_start, max(ts) + INTERVAL 30 MINUTE AS session_end, count(*) AS n FROM s GROUP BY user_id, k""",
+    "stream_session": f"WITH {_SESSIONS} SELECT * FROM sessions",
+    "overlapping_sessions": f"""WITH {_SESSIONS} SELECT a.user_id AS user_a, b.user_id AS user_b, count(*) AS n_overlaps,
+        sum(epoch_us(least(a.session_end, b.session_end)) - epoch_us(greatest(a.session_start, b.session_start)))::BIGINT AS micros
+        FROM sessions a JOIN sessions b ON a.user_id < b.user_id AND a.session_start <= b.session_end AND b.session_start <= a.session_end GROUP BY ALL""",
+    "edge_changes": f"""WITH {_EDGES}, c AS (SELECT date_trunc('month', ts)::TIMESTAMP AS period, src, dst, count(*) AS n FROM e GROUP BY ALL),
+        d AS (SELECT coalesce(a.period, b.period + INTERVAL 1 MONTH) AS period, coalesce(a.src, b.src) AS src, coalesce(a.dst, b.dst) AS dst, coalesce(b.n, 0) AS n_before, coalesce(a.n, 0) AS n_after
+          FROM c a FULL JOIN c b ON a.src = b.src AND a.dst = b.dst AND a.period = b.period + INTERVAL 1 MONTH)
+        SELECT *, CASE WHEN n_before = 0 THEN 'gained' WHEN n_after = 0 THEN 'lost' WHEN n_after > n_before THEN 'more' WHEN n_after < n_before THEN 'fewer' ELSE 'kept' END AS change
+        FROM d WHERE period > (SELECT min(period) FROM c) AND period <= (SELECT max(period) FROM c)""",
+    "stream_views_before": """SELECT p.event_id, p.user_id, p.ts, v.event_id AS view_id, v.ts AS view_ts FROM (SELECT * FROM events WHERE event_type = 'purchase' AND ts IS NOT NULL) p
+        LEFT JOIN (SELECT * FROM events WHERE event_type = 'view') v ON v.user_id = p.user_id AND v.ts < p.ts AND v.ts >= p.ts - INTERVAL 30 MINUTE""",
     "stream_dedup": "SELECT DISTINCT event_id, ts, user_id, event_type FROM events",
 }

@@ -5,7 +5,7 @@ from pyspark.sql import functions as F
 
 from tempolink.plans.catalogue import QUERIES
 from tempolink.sources.tables import SCHEMAS, table
-from tempolink.streaming import windows
+from tempolink.streaming import joins, windows
 
 
 def stream(spark, tmp_path, batches):
@@ -75,3 +75,28 @@ def test_another_session_zone_changes_nothing(spark, small, name):
         assert counted(QUERIES[name](spark, small)) == want
     finally:
         spark.conf.set("spark.sql.session.timeZone", "UTC")
+
+
+def bought(spark, tmp_path, files):
+    """Events of (id, time, user, kind), a file each."""
+    for rows in files:
+        df = spark.createDataFrame([(e, t, u, kind, 1.0, "{}") for e, t, u, kind in rows], SCHEMAS["events"])
+        df.coalesce(1).write.mode("append").parquet(str(tmp_path / "events.parquet"))
+    return windows.event_stream(spark, str(tmp_path))
+
+
+def test_purchases_have_their_views_or_none(spark, tmp_path):
+    first = [(1, at(1, 10), 7, "view"), (2, at(1, 20), 7, "purchase"), (3, at(1, 20), 7, "view"), (4, at(1, 21), 8, "purchase"), (5, at(2), None, "purchase"), (6, at(2), None, "view"), (7, None, 7, "purchase"), (8, at(1, 55), 7, "purchase")]
+    second = [(9, at(1, 50), 7, "view"), (10, at(1, 50), 7, "view"), (11, at(3), 9, "purchase"), (2, at(1, 20), 7, "purchase")]
+    drained = joins.Drained(spark, ["purchase", "view"])
+    open_now = drained.run(bought(spark, tmp_path, [first]), joins.views_before)
+    assert {(r["event_id"], r["view_id"]) for r in open_now.collect()} == {(2, 1)}  # what may still be matched is held back
+    got = drained.finish(bought(spark, tmp_path, [second]), joins.views_before)
+    assert sorted((r["event_id"], r["view_id"] or 0) for r in got.collect()) == [(2, 1), (2, 1), (4, 0), (5, 0), (8, 9), (8, 10), (11, 0)]
+
+
+def test_what_is_later_than_the_delay_is_dropped(spark, tmp_path):
+    drained = joins.Drained(spark, ["purchase", "view"])
+    drained.run(bought(spark, tmp_path, [[(1, at(10), 7, "purchase"), (2, at(10), 7, "view")]]), joins.views_before)
+    got = drained.finish(bought(spark, tmp_path, [[(3, at(2), 7, "purchase"), (4, at(9, 50), 7, "purchase"), (5, at(9, 40), 7, "view")]]), joins.views_before)
+    assert sorted((r["event_id"], r["view_id"] or 0) for r in got.collect()) == [(1, 0), (4, 5)]
