@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from ..operators import changes, features, graph, learn, overlap, temporal, traverse, validate
 from ..sources.scratch import Scratch
 from ..sources.tables import table
-from ..streaming import joins, windows
+from ..streaming import alerts, joins, windows
 
 CUT = "2000-01-01"
 #: Models learn from what is new between this and the cut, by what came before.
@@ -125,6 +125,11 @@ def _views_before(spark, d):
     return joins.Drained(spark, ["purchase", "view"]).finish(windows.event_stream(spark, d), joins.views_before)
 
 
+def _silent_users(spark, d):
+    with alerts.keyed_state(spark):
+        return joins.Drained(spark, ["close"]).finish(windows.event_stream(spark, d), alerts.silent_users)
+
+
 def _stream(of):
     return lambda spark, d: windows.drain(spark, of(windows.event_stream(spark, d)))
 
@@ -180,6 +185,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "overlapping_sessions": lambda s, d: overlap.together(overlap.user_sessions(table(s, d, "events")), grain=3_600_000_000),
     "edge_changes": lambda s, d: changes.edge_changes(_edges(s, d)),
     "stream_views_before": _views_before,
+    "stream_silent_users": _silent_users,
     "stream_tumbling": _whole_stream(windows.tumbling),
     "stream_session": _whole_stream(windows.sessions),
     "stream_dedup": _stream(windows.deduplicated),

@@ -115,6 +115,9 @@ ORACLE_SQL = {
           FROM c a FULL JOIN c b ON a.src = b.src AND a.dst = b.dst AND a.period = b.period + INTERVAL 1 MONTH)
         SELECT *, CASE WHEN n_before = 0 THEN 'gained' WHEN n_after = 0 THEN 'lost' WHEN n_after > n_before THEN 'more' WHEN n_after < n_before THEN 'fewer' ELSE 'kept' END AS change
         FROM d WHERE period > (SELECT min(period) FROM c) AND period <= (SELECT max(period) FROM c)""",
+    "stream_silent_users": """SELECT user_id, ts AS last_ts, ts + INTERVAL 24 HOUR AS alert_ts
+        FROM (SELECT user_id, ts, lead(ts) OVER (PARTITION BY user_id ORDER BY ts) AS next FROM (SELECT DISTINCT user_id, ts FROM events WHERE user_id IS NOT NULL AND ts IS NOT NULL))
+        WHERE next IS NULL OR next > ts + INTERVAL 24 HOUR""",
     "stream_views_before": """SELECT p.event_id, p.user_id, p.ts, v.event_id AS view_id, v.ts AS view_ts FROM (SELECT * FROM events WHERE event_type = 'purchase' AND ts IS NOT NULL) p
         LEFT JOIN (SELECT * FROM events WHERE event_type = 'view') v ON v.user_id = p.user_id AND v.ts < p.ts AND v.ts >= p.ts - INTERVAL 30 MINUTE""",
     "stream_dedup": "SELECT DISTINCT event_id, ts, user_id, event_type FROM events",

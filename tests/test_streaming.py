@@ -1,11 +1,11 @@
-from datetime import datetime, timezone
+from datetime import datetime, timedelta
 
 import pytest
 from pyspark.sql import functions as F
 
 from tempolink.plans.catalogue import QUERIES
 from tempolink.sources.tables import SCHEMAS, table
-from tempolink.streaming import joins, windows
+from tempolink.streaming import alerts, joins, windows
 
 
 def stream(spark, tmp_path, batches):
@@ -100,3 +100,21 @@ def test_what_is_later_than_the_delay_is_dropped(spark, tmp_path):
     drained.run(bought(spark, tmp_path, [[(1, at(10), 7, "purchase"), (2, at(10), 7, "view")]]), joins.views_before)
     got = drained.finish(bought(spark, tmp_path, [[(3, at(2), 7, "purchase"), (4, at(9, 50), 7, "purchase"), (5, at(9, 40), 7, "view")]]), joins.views_before)
     assert sorted((r["event_id"], r["view_id"] or 0) for r in got.collect()) == [(1, 0), (4, 5)]
+
+
+def test_silence_is_told_when_it_is_certain_and_after_a_restart(spark, tmp_path):
+    view = lambda e, t, u: (e, t, u, "view")
+    first = [view(1, at(1), 7), view(2, at(1), 7), view(3, at(4), 7), view(4, at(1), 8), view(5, at(2), 8), view(6, at(4), None), view(7, None, 9), view(8, at(5), 9)]
+    second = [view(9, at(4, 30), 8), view(10, at(8), 7)]  # in time: within a day of the latest
+    third = [view(11, at(2), 7), view(12, at(7, 30), 8)]  # the first is too late
+    got = lambda df: sorted((r["user_id"], r["last_ts"], r["alert_ts"]) for r in df.collect())
+    day = timedelta(days=1)
+    with alerts.keyed_state(spark):
+        drained = joins.Drained(spark, ["close"])
+        told = got(drained.run(bought(spark, tmp_path, [first]), alerts.silent_users))
+        assert told == [(7, at(1), at(1) + day), (8, at(2), at(2) + day)]
+        drained.run(bought(spark, tmp_path, [second]), alerts.silent_users)
+        told = got(drained.finish(bought(spark, tmp_path, [third]), alerts.silent_users))
+    last = [(7, at(1)), (7, at(4)), (7, at(8)), (8, at(2)), (8, at(4, 30)), (8, at(7, 30)), (9, at(5))]
+    assert told == [(u, t, t + day) for u, t in last]
+    assert "RocksDB" not in spark.conf.get("spark.sql.streaming.stateStore.providerClass")
