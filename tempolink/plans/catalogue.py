@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..operators import changes, features, graph, learn, overlap, temporal, traverse, validate
+from ..operators import changes, features, graph, learn, overlap, profiles, rollups, temporal, traverse, validate
 from ..sources.scratch import Scratch
 from ..sources.tables import table
 from ..streaming import alerts, joins, windows
@@ -182,6 +182,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "temporal_auc": _temporal(_temporal_auc),
     "explain_links": _temporal(lambda model, pairs, _: temporal.explain_ages(model, pairs)),
     "occlusion": lambda s, d: learn.occlusion(_adj(s, d), _part_features(s, d)),
+    "profile_drift": lambda s, d: profiles.drift(table(s, d, "events"), "2024-01-16"),
+    "activity_rollup": lambda s, d: rollups.rolled(rollups.stored(table(s, d, "events"))),
     "overlapping_sessions": lambda s, d: overlap.together(overlap.user_sessions(table(s, d, "events")), grain=3_600_000_000),
     "edge_changes": lambda s, d: changes.edge_changes(_edges(s, d)),
     "stream_views_before": _views_before,

@@ -115,6 +115,14 @@ ORACLE_SQL = {
           FROM c a FULL JOIN c b ON a.src = b.src AND a.dst = b.dst AND a.period = b.period + INTERVAL 1 MONTH)
         SELECT *, CASE WHEN n_before = 0 THEN 'gained' WHEN n_after = 0 THEN 'lost' WHEN n_after > n_before THEN 'more' WHEN n_after < n_before THEN 'fewer' ELSE 'kept' END AS change
         FROM d WHERE period > (SELECT min(period) FROM c) AND period <= (SELECT max(period) FROM c)""",
+    "profile_drift": """WITH f AS (
+          SELECT user_id, ts >= TIMESTAMP '2024-01-16' AS late, 'type:' || event_type AS key, 1.0::DOUBLE AS value FROM events
+          UNION ALL SELECT user_id, late, key, try_cast(json_extract_string(props, '$."' || key || '"') AS DOUBLE) FROM (SELECT user_id, ts >= TIMESTAMP '2024-01-16' AS late, props, unnest(json_keys(props)) AS key FROM events)),
+        p AS (SELECT user_id, key, coalesce(sum(round(value * 1e6)::BIGINT) FILTER (NOT late), 0)::BIGINT::DOUBLE / 1e6 AS a, coalesce(sum(round(value * 1e6)::BIGINT) FILTER (late), 0)::BIGINT::DOUBLE / 1e6 AS b,
+          count(*) FILTER (NOT late) > 0 AS in_a, count(*) FILTER (late) > 0 AS in_b FROM f WHERE value IS NOT NULL GROUP BY user_id, key),
+        d AS (SELECT user_id, count(*) FILTER (in_a)::INTEGER AS n_before, count(*) FILTER (in_b)::INTEGER AS n_after, list_reduce(list(a * b ORDER BY key), lambda x, y: x + y) AS ab,
+          sqrt(list_reduce(list(a * a ORDER BY key), lambda x, y: x + y)) * sqrt(list_reduce(list(b * b ORDER BY key), lambda x, y: x + y)) AS norm FROM p GROUP BY user_id)
+        SELECT user_id, n_before, n_after, CASE WHEN norm > 0 THEN ab / norm END AS cosine FROM d""",
     "stream_silent_users": """SELECT user_id, ts AS last_ts, ts + INTERVAL 24 HOUR AS alert_ts
         FROM (SELECT user_id, ts, lead(ts) OVER (PARTITION BY user_id ORDER BY ts) AS next FROM (SELECT DISTINCT user_id, ts FROM events WHERE user_id IS NOT NULL AND ts IS NOT NULL))
         WHERE next IS NULL OR next > ts + INTERVAL 24 HOUR""",
