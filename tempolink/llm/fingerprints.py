@@ -21,8 +21,11 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_type
 
 from .shared import pick, shingle_sets, text_slices
 
@@ -57,6 +60,11 @@ def likeness(a: np.ndarray, b: np.ndarray, k: int = K) -> float:
     return float(np.searchsorted(same, union[-1], "right")) / len(union)
 
 
+def estimated(sketch: np.ndarray, k: int = K) -> float:
+    """Estimated number of distinct shingles; exact below ``k``."""
+    return float(len(sketch)) if len(sketch) < k else (k - 1) * _TOP / (int(sketch[-1]) + 1)
+
+
 def fingerprint_text(sketch: np.ndarray) -> str:
     """Twelve hex digits for each hash."""
     return sketch.astype(">i8").view(np.uint8).reshape(-1, 8)[:, 2:].tobytes().hex()
@@ -78,21 +86,54 @@ def sketch_merge(a: Column, b: Column, k: int = K) -> Column:
     return F.slice(F.array_sort(F.array_union(a, b)), 1, k)
 
 
+#: Parts of a key that one task merges at a time, keys whose sketches a task holds, and rounds of merging.
+FAN, HELD, ROUNDS = 64, 4096, 3
+
+
 def sketch_parts(parts: DataFrame, key: str, k: int = K) -> DataFrame:
     """(key, sketch): the merged sketches of each key's parts.
 
-    Takes a ``sketch`` column.  The k smallest hashes come from a group's
-    sorted distinct hashes, counted down by a rank that is first taken within
-    each input partition, so at most k hashes a key leave any partition.
+    Takes a ``sketch`` column.  A task merges what it reads of a key before
+    anything is shuffled, so at most k hashes of a key leave it, and more only
+    where it meets more than ``HELD`` keys.  Then come ``ROUNDS`` rounds: the parts of
+    a key from ``FAN`` neighbouring tasks, of as many such groups, and so on, so
+    that no group of a hot key is large.  Null sketches are empty; null keys are
+    one key.
     """
-    from pyspark.sql import Window
+    kind = parts.schema[key].dataType
+    schema = T.StructType([T.StructField("key", kind), T.StructField("part", T.LongType()), T.StructField("sketch", T.ArrayType(T.LongType()))])
+    arrow = to_arrow_type(kind)
+
+    def batch_of(rows: list[tuple]) -> pa.RecordBatch:
+        keys, places, sketches = zip(*rows)
+        return pa.RecordBatch.from_arrays([pa.array(keys, arrow), pa.array(places, pa.int64()), pa.array(sketches, pa.list_(pa.int64()))], names=["key", "part", "sketch"])
 
-    rows = parts.select(F.col(key).alias("key"), F.explode("sketch").alias("h"), F.spark_partition_id().alias("p"))
-    near = Window.partitionBy("key", "p").orderBy("h")
-    local = rows.distinct().withColumn("r", F.row_number().over(near)).where(F.col("r") <= k).select("key", "h").distinct()
-    best = Window.partitionBy("key").orderBy("h")
-    kept = local.withColumn("r", F.row_number().over(best)).where(F.col("r") <= k)
-    return kept.groupBy(F.col("key").alias(key)).agg(F.array_sort(F.collect_list("h")).alias("sketch"))
+    def lowest(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+        return np.unique(np.concatenate([a, b]))[:k]
+
+    def near(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        part, held = TaskContext.get().partitionId(), {}
+        for batch in batches:
+            for name, hashes in zip(batch.column(0).to_pylist(), batch.column(1)):
+                own = np.zeros(0, np.int64) if not hashes.is_valid else hashes.values.to_numpy(zero_copy_only=False)
+                held[name] = lowest(held.get(name, own[:0]), own)
+            if len(held) > HELD:
+                yield batch_of([(name, part, sketch) for name, sketch in held.items()])
+                held = {}
+        if held:
+            yield batch_of([(name, part, sketch) for name, sketch in held.items()])
+
+    def merged(table: pa.Table) -> pa.Table:
+        sketch = np.zeros(0, np.int64)
+        for hashes in table.column("sketch"):
+            sketch = lowest(sketch, hashes.values.to_numpy(zero_copy_only=False))
+        return pa.Table.from_batches([batch_of([(table.column("key")[0].as_py(), table.column("part")[0].as_py() // FAN, sketch)])])
+
+    rows = parts.select(F.col(key).alias("key"), F.col("sketch").cast("array<long>").alias("sketch")).mapInArrow(near, schema)
+    for level in range(ROUNDS):
+        group = F.floor(F.col("part") / FAN) if level + 1 < ROUNDS else F.lit(0)
+        rows = rows.groupBy("key", group.alias("g")).applyInArrow(merged, schema)
+    return rows.select(F.col("key").alias(key), "sketch")
 
 
 def distinct_count(sketch: Column, k: int = K) -> Column:
@@ -114,10 +155,10 @@ def containment(a: Column, b: Column, k: int = K) -> Column:
     return F.when(F.size(a) == 0, F.lit(1.0)).otherwise(F.least(F.lit(1.0), overlap / distinct_count(a, k)))
 
 
-PAIRED = "doc_id long, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double, n_shingles_estimate double"
+PAIRED = "doc_id long, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double, n_shingles_estimate double, n_both_estimate double, contained_next double"
 
 
-def with_next(docs: DataFrame, rows_per_run: int = 4096, most_runs: int = 2048) -> DataFrame:
+def with_next(docs: DataFrame, rows_per_run: int = 4096, many: int = 2048, rows_then: int = 65_536) -> DataFrame:
     """The rows cut into runs of descending doc_id, each run followed by its successor.
 
     Returns (run, doc_id, text, tag, spare): within a run, sorted by it, each
@@ -126,19 +167,30 @@ def with_next(docs: DataFrame, rows_per_run: int = 4096, most_runs: int = 2048)
     last; after the last of all comes the first.
 
     Runs come from quantiles of the ids alone, so the texts are shuffled once.
-    A partition is one run, sorted with spilling; beyond ``most_runs`` the runs
-    grow instead of their number.
+    A partition is one run, sorted with spilling.  Runs hold ``rows_per_run`` rows
+    until there are ``many``, then grow to ``rows_then``, and then their number
+    grows with the rows: what lies between two quantiles is cut evenly.  All rows
+    of one id, or without one, are in one run.
     """
     rows = pick(docs, doc_id="long", text="string").withColumn("text", F.coalesce("text", F.lit("")))
     rows = rows.withColumn("tag", F.xxhash64("text"))
     ids = rows.select("doc_id")
-    n_runs = min(most_runs, max(1, -(-ids.count() // rows_per_run)))
+    n_rows = ids.count()
+    n_cuts = min(many, max(1, -(-n_rows // rows_per_run)))
+    pieces = max(1, -(-n_rows // (n_cuts * max(rows_per_run, rows_then))))
     cuts: list[int] = []
-    if n_runs > 1:
-        shares = [i / n_runs for i in range(1, n_runs)]
-        cuts = sorted(set(ids.agg(F.percentile_approx("doc_id", shares, 20 * n_runs)).head()[0] or []))
-    # run 0 holds null ids; run r those above cut r - 2, up to cut r - 1
-    run = F.when(F.col("doc_id").isNull(), 0).otherwise(_steps(F.col("doc_id"), cuts) + 1)
+    if n_cuts > 1:
+        shares = [i / n_cuts for i in range(1, n_cuts)]
+        found = ids.agg(F.percentile_approx("doc_id", shares, 20 * n_cuts), F.min("doc_id"), F.max("doc_id")).head()
+        cuts = sorted(set(found[0] or []))
+    # run 0 holds null ids; the others are in rising order of ids
+    step = _steps(F.col("doc_id"), cuts)
+    if pieces > 1 and cuts:
+        bounds = F.array(*map(F.lit, [found[1], *cuts, found[2]]))
+        low, high = (F.get(bounds, step + i).cast("double") for i in (0, 1))
+        share = F.when(high > low, (F.col("doc_id") - low) / (high - low)).otherwise(0.0)
+        step = step * pieces + F.least(F.lit(pieces - 1), F.greatest(F.lit(0), F.floor(share * pieces))).cast("int")
+    run = F.when(F.col("doc_id").isNull(), 0).otherwise(step + 1)
     tops = ids.withColumn("run", run).groupBy("run").agg(F.max("doc_id").alias("top")).orderBy("run").collect()
     # what follows the bottom of a run is the top of the run below, at last that of the highest
     spares = [(below["top"], above["run"]) for below, above in zip(tops, tops[1:] + tops[:1])]
@@ -148,7 +200,7 @@ def with_next(docs: DataFrame, rows_per_run: int = 4096, most_runs: int = 2048)
     places = F.when(F.col("to").isNull(), F.array(own)).otherwise(F.array(own, extra))
     placed = rows.join(F.broadcast(table), F.col("doc_id").eqNullSafe(F.col("top")), "left").select("doc_id", "text", "tag", F.explode(places).alias("p"))
     placed = placed.select("p.run", "doc_id", "text", "tag", "p.spare")
-    return placed.repartitionById(len(cuts) + 2, F.col("run")).sortWithinPartitions("spare", F.col("doc_id").desc_nulls_last(), "tag")
+    return placed.repartitionById((len(cuts) + 1) * pieces + 1, F.col("run")).sortWithinPartitions("spare", F.col("doc_id").desc_nulls_last(), "tag")
 
 
 def _steps(value: Column, cuts: list[int]) -> Column:
@@ -163,7 +215,9 @@ def compare_with_next(docs: DataFrame, k: int = K) -> DataFrame:
     """Each document's fingerprint beside those of its edited text and of the next document.
 
     The edited text has the last third of the characters replaced by as many
-    of the next document's first.
+    of the next document's first.  ``n_both_estimate`` counts the distinct shingles
+    of document and next together, by their merged sketch; ``contained_next`` is the
+    share of the document's that the next one has.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -183,11 +237,13 @@ def compare_with_next(docs: DataFrame, k: int = K) -> DataFrame:
                     held = row
                 for (a, b), text, sketch in zip(own, edited, bottom_k(pa.array(edited, pa.string()), k)):
                     n = len(a[2])
-                    count = float(len(a[3])) if len(a[3]) < k else (k - 1) * _TOP / (int(a[3][-1]) + 1)
-                    out.append((a[1], n, hashlib.sha256(text.encode()).hexdigest(), fingerprint_text(a[3]), fingerprint_text(sketch), likeness(a[3], sketch, k), likeness(a[3], b[3], k), count))
+                    count, next_like = estimated(a[3], k), likeness(a[3], b[3], k)
+                    both = estimated(np.unique(np.concatenate([a[3], b[3]]))[:k], k)  # of the merged sketch
+                    shared = min(1.0, next_like * both / count) if count else 1.0
+                    out.append((a[1], n, hashlib.sha256(text.encode()).hexdigest(), fingerprint_text(a[3]), fingerprint_text(sketch), likeness(a[3], sketch, k), next_like, count, both, shared))
                 if out:
                     names = [x.split()[0] for x in PAIRED.split(", ")]
-                    kinds = [pa.int64(), pa.int64(), pa.string(), pa.string(), pa.string(), pa.float64(), pa.float64(), pa.float64()]
+                    kinds = [pa.int64(), pa.int64(), pa.string(), pa.string(), pa.string(), *[pa.float64()] * 5]
                     yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out), kinds)], names=names)
 
     return with_next(docs).mapInArrow(run, PAIRED)

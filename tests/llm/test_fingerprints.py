@@ -66,3 +66,53 @@ def test_estimates(spark):
     r = df.select(fp.resemblance(F.col("x"), F.col("y")), fp.containment(F.col("y"), F.col("x")), fp.resemblance(F.col("z"), F.col("z")), fp.resemblance(F.col("x"), F.col("z"))).head()
     assert abs(r[0] - 0.5) < 0.15 and r[1] > 0.75 and r[2] == 1.0 and r[3] == 0.0
     assert fp.likeness(np.array(x), np.array(y)) == r[0]
+
+
+@pytest.mark.parametrize(("many", "rows_then"), [(1, 1), (2, 2), (3, 1)])
+def test_runs_grow_in_number_beyond_the_quantiles(spark, odd, many, rows_then):
+    n = fp.with_next(odd, 1, many, rows_then)
+    runs = [list(g) for g in n.select("run", "doc_id", "text", "spare").rdd.glom().collect()]
+    pairs = [(a["doc_id"], b["doc_id"]) for g in runs for a, b in zip(g, g[1:]) if not a["spare"]]
+    order = [10, 9, 8, 8, 7, 6, 5, 4, 3, 2, 1, None, None]
+    assert sorted(pairs, key=str) == sorted(zip(order, order[1:] + order[:1]), key=str)
+    ids = [(10**12 * s + i * 37 % 101, "x") for i in range(60) for s in (1, -1)]
+    wide = fp.with_next(spark.createDataFrame(ids, "doc_id long, text string"), 4, 4, 4)
+    runs = [list(g) for g in wide.rdd.glom().collect()]
+    assert sum(1 for g in runs if any(not r["spare"] for r in g)) > 6
+    pairs = sorted((a["doc_id"], b["doc_id"]) for g in runs for a, b in zip(g, g[1:]) if not a["spare"])
+    order = sorted((i for i, _ in ids), reverse=True)
+    assert pairs == sorted(zip(order, order[1:] + order[:1]))
+
+
+def test_sketches_are_the_smallest_of_all_hashes(spark, small):
+    """Against a plain sort of every shingle's hash, one text at a time."""
+    texts = [r["text"] for r in spark.read.parquet(f"{small}/documents.parquet").collect()] + ["", "one two", "a b c d e f"]
+    column = pa.array(texts)
+    for sketch, text in zip(fp.bottom_k(column), texts):
+        _, data, offs = next(fp.text_slices(pa.array([text])))
+        values, _ = fp.shingle_sets(data, offs)
+        assert sketch.tolist() == sorted({int(v) >> 16 for v in values})[: fp.K]
+        assert len(set(values.tolist())) == len(shingles(text))
+
+
+def test_many_parts_of_a_hot_key(spark, monkeypatch):
+    monkeypatch.setattr(fp, "FAN", 2)
+    monkeypatch.setattr(fp, "HELD", 1)
+    rng = np.random.default_rng(3)
+    rows = [(i % 3 if i % 2 else None, sorted(rng.choice(5000, 20, replace=False).tolist())) for i in range(200)] + [(7, None), (7, []), (8, [5, 1, 5])]
+    want = {}
+    for key, hashes in rows:
+        want.setdefault(key, set()).update(hashes or [])
+    df = spark.createDataFrame(rows, "k long, sketch array<long>").repartition(9)
+    got = {r["k"]: r["sketch"] for r in fp.sketch_parts(df, "k", 50).collect()}
+    assert got == {key: sorted(h)[:50] for key, h in want.items()}
+    assert fp.sketch_parts(df.where("1 = 0"), "k").count() == 0
+
+
+def test_the_query_merges_and_contains(spark, small):
+    rows = sorted((tuple(r) for r in spark.read.parquet(f"{small}/documents.parquet").select("doc_id", "text").collect()), reverse=True)
+    got = {r["doc_id"]: r for r in fp.op3_fingerprints(spark, small).collect()}
+    for (i, t), (_, u) in zip(rows, rows[1:] + rows[:1]):
+        a, b = shingles(t), shingles(u)
+        assert got[i]["n_both_estimate"] == pytest.approx(len(a | b), rel=0.4)
+        assert got[i]["contained_next"] == pytest.approx(len(a & b) / len(a) if a else 1.0, abs=0.35)
