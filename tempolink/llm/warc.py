@@ -23,6 +23,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .shared import pick
+from .warcread import read_responses  # noqa: F401
 
 DATE = "2024-01-01T00:00:00Z"
 CRLF = "\r\n"
@@ -245,22 +246,6 @@ def read_warc(spark: SparkSession, path: str) -> DataFrame:
     )
 
 
-def read_responses(spark: SparkSession, path: str) -> DataFrame:
-    """Response records of WARC files, plain or gzipped record by record, as ``responses`` gives them; page_id is null.
-
-    Blocks are read as UTF-8 text; a block whose text holds a record's first line
-    of its own is cut there.
-    """
-    raw = read_warc(spark, path).select(F.transform_keys("headers", lambda k, _: F.lower(k)).alias("h"), "block").where(F.lower(F.col("h")["warc-type"]) == "response")
-    at = F.expr("instr(block, '\r\n\r\n')")
-    payload = F.when(at > 0, F.substring("block", at + 4, F.length("block"))).otherwise(F.lit(""))
-    return raw.select(
-        F.lit(None).cast("long").alias("page_id"), F.col("h")["warc-record-id"].alias("record_id"), F.coalesce(F.col("h")["warc-target-uri"], F.lit("")).alias("target_uri"),
-        F.col("h")["warc-date"].alias("date"), F.when(at > 0, F.substring("block", F.lit(1), at - 1)).otherwise(F.col("block")).alias("http_headers"), payload.alias("payload"),
-        F.coalesce(F.col("h")["warc-payload-digest"], digest(payload)).alias("payload_digest"),
-    )
-
-
 def op5_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return derivatives(responses(spark.read.parquet(f"{sf_dir}/pages.parquet")), whole=False)
 
