@@ -18,22 +18,12 @@ from pyspark.sql import functions as F
 from tempolink.llm import mixing, neardup, packing, quality, secrets
 from tempolink.sources.scratch import Scratch
 
-#: Python workers serve all stages in turn; so set, their allocators give large arrays back
-#: when a batch is done instead of keeping them for the next stage.
-WORKERS = {"MALLOC_MMAP_THRESHOLD_": "1048576", "MALLOC_TRIM_THRESHOLD_": "1048576", "MALLOC_ARENA_MAX": "2", "ARROW_DEFAULT_MEMORY_POOL": "system"}
 #: The mix takes this share of the tokens, each document at most once.
 SHARE = 0.9
 
 
-def _lean(spark: SparkSession) -> None:
-    """Has workers that start from now on take ``WORKERS``; what the session sets itself stays."""
-    for name, value in WORKERS.items():
-        spark.sparkContext.environment.setdefault(name, value)
-
-
 def keep_good(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Without the documents that the quality classifier rejects."""
-    _lean(spark)
     return quality.keep_good(docs, quality.fit(docs, spark.read.parquet(f"{sf_dir}/labels.parquet")))
 
 
