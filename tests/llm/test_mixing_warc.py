@@ -1,5 +1,6 @@
 import gzip
 import hashlib
+import html as html_lib
 import json
 import random
 import re
@@ -198,3 +199,27 @@ def test_files_keep_source_headers_and_response_files_are_read(spark, tmp_path):
     for r in back:
         assert json.loads(r["headers"][warc.SOURCE_HEADERS]) == http.split("\r\n")
         assert r["headers"]["WARC-Refers-To"] in got and int(r["headers"]["Content-Length"]) == len(r["block"].encode())
+
+
+def test_the_whole_query_equals_a_plain_reading(spark, small):
+    """Every block of ``op5_warc_all`` against Python's expressions and its reader of references."""
+    read = lambda c: html_lib.unescape(c).replace("\xa0", " ")
+    pages = {r["page_id"]: r for r in spark.read.parquet(f"{small}/pages.parquet").collect()}
+    made = {(r["page_id"], r["warc_type"]): r for r in queries.QUERIES["op5_warc_all"](spark, small).collect()}
+    assert len(made) == 2 * len(pages)
+    for i, page in pages.items():
+        c = page["html"] or ""
+        for pattern, to in ((r"(?s)<!--.*?-->", ""), (r"(?is)<script\b.*?</script\s*>", ""), (r"(?is)<style\b.*?</style\s*>", ""), (rf"(?i)</?(?:{warc.BLOCKS})\b[^>]*>", "\n"), (r"<[^>]*>", "")):
+            c = re.sub(pattern, to, c)
+        text = re.sub(r" ?\n[ \n]*", "\n", re.sub(r"[ \t\r\f]+", " ", read(c))).strip(" \n")
+        title = re.search(r"(?is)<title[^<>]*>(.*?)</title\s*>", page["html"] or "")
+        links = [re.sub(r"""^["']|["']$""", "", re.sub(r"(?i)^.href\s*=\s*", "", m)) for m in re.findall(r"""(?i)[\s"'/]href\s*=\s*(?:"[^"]*"|'[^']*'|[^\s"'<>=]+)""", page["html"] or "")]
+        about = json.loads(made[i, "metadata"]["block"])
+        assert made[i, "conversion"]["block"] == text and about["n_chars"] == len(text)
+        assert about["title"] == (read(title[1].strip(" ")) if title else "") and about["n_links"] == len(links)
+        assert [a for a, b in zip(about["links"], links) if "&" not in b] == [b for b in links if "&" not in b]
+        payload = "sha256:" + hashlib.sha256((page["html"] or "").encode()).hexdigest()
+        for kind in ("metadata", "conversion"):
+            r = made[i, kind]
+            assert r["refers_to_payload_digest"] == payload and r["block_digest"] == "sha256:" + hashlib.sha256(r["block"].encode()).hexdigest()
+            assert r["content_length"] == len(r["block"].encode()) and r["refers_to"] == made[i, "metadata"]["refers_to"]
