@@ -129,6 +129,12 @@ def paths2(adj: DataFrame, horizon_days: int = 30) -> DataFrame:
     return on.groupBy("u").agg(F.count("*").alias("n_paths"))
 
 
+def _pairs(edges: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(src, dst) of distinct edges, and (n, d), each node's number of them."""
+    pairs = edges.select("src", "dst").distinct()
+    return pairs, pairs.select(F.explode(F.array("src", "dst")).alias("n")).groupBy("n").agg(F.count("*").alias("d"))
+
+
 def closed_triples(edges: DataFrame) -> DataFrame:
     """(a, b, c), b < c: each triangle of distinct edges once.
 
@@ -136,8 +142,7 @@ def closed_triples(edges: DataFrame) -> DataFrame:
     has more than the root of twice the edges to pair up, hubs included.  Edges
     with a null end are in no triangle; repeats count once.
     """
-    pairs = edges.select("src", "dst").distinct()
-    deg = pairs.select(F.explode(F.array("src", "dst")).alias("n")).groupBy("n").agg(F.count("*").alias("d"))
+    pairs, deg = _pairs(edges)
     sized = pairs.join(deg.select(F.col("n").alias("src"), F.col("d").alias("ds")), "src").join(deg.select(F.col("n").alias("dst"), F.col("d").alias("dd")), "dst")
     up = (F.col("ds") < F.col("dd")) | ((F.col("ds") == F.col("dd")) & (F.col("src") < F.col("dst")))
     out = sized.select(F.when(up, F.col("src")).otherwise(F.col("dst")).alias("a"), F.when(up, F.col("dst")).otherwise(F.col("src")).alias("b"))
@@ -156,8 +161,9 @@ def common_neighbors(edges: DataFrame) -> DataFrame:
     A shared neighbour of a linked pair closes a triangle, so triangles are
     listed once and give a row to each of their three pairs.  Terms are rounded
     to a millionth before they are summed, so the sum is the same in any order.
+    Degrees are those that ``closed_triples`` counts too.
     """
-    deg = degree(adjacency(edges)).select(F.col("u").alias("z"), F.col("n_neighbors").alias("d"))
+    deg = _pairs(edges)[1].select(F.col("n").alias("z"), "d")
     side = lambda x, y, z: F.struct(F.least(x, y).alias("src"), F.greatest(x, y).alias("dst"), F.col(z).alias("z"))
     three = closed_triples(edges).select(F.explode(F.array(side("a", "b", "c"), side("a", "c", "b"), side("b", "c", "a"))).alias("p")).select("p.*")
     term = F.round(F.lit(1e6) / F.log(F.col("d").cast("double"))).cast("bigint")
