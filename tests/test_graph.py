@@ -213,3 +213,17 @@ def test_asof_over_periods_equals_a_plain_search(spark):
     for unit in ("day", "month"):
         got = graph.asof(spark.createDataFrame(left, schema), spark.createDataFrame(right, schema), "by", "ts", "id", unit)
         assert {r["id"]: r["right_id"] for r in got.collect()} == want and got.count() == len(left)
+
+
+@pytest.mark.parametrize("shift", [0, 1 << 40])
+def test_open_triples_are_never_rows(spark, shift):
+    """Ids beyond 32 bits too; two edges that may be closed were a shuffled row each before."""
+    pick = random.Random(5)
+    pairs = {tuple(sorted(pick.sample(range(40), 2))) for _ in range(220)} | {(0, i) for i in range(1, 40)}
+    e = edges(spark, [(k, a + shift, b + shift, T(1)) for k, (a, b) in enumerate(sorted(pairs))])
+    found = graph.closed_triples(e)
+    want = [t for t in combinations(range(40), 3) if set(combinations(t, 2)) <= pairs]
+    assert sorted(tuple(sorted(n - shift for n in r)) for r in found.collect()) == want
+    assert all(r["b"] < r["c"] for r in found.collect())
+    plan = found._jdf.queryExecution().optimizedPlan().toString()
+    assert "array_intersect" in plan and plan.count("Join") == 1
