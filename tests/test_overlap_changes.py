@@ -88,3 +88,24 @@ def test_edge_changes(spark):
 def test_each_query_has_rows_of_every_kind(spark, small):
     kinds = {r["change"] for r in QUERIES["edge_changes"](spark, small).select("change").distinct().collect()}
     assert {"gained", "lost"} <= kinds
+
+
+@pytest.mark.parametrize(("users", "pairs"), [(1024, 1 << 20), (3, 5)])
+def test_users_together_in_blocks_equal_all_pairs(spark, monkeypatch, users, pairs):
+    """No overlap is shuffled, as each was before."""
+    monkeypatch.setattr(overlap, "USERS", users)
+    monkeypatch.setattr(overlap, "PAIRS", pairs)
+    pick = random.Random(11)
+    rows = [((u, lo), lo, lo + pick.choice([0, 2, 9, 40])) for u in range(-4, 9) for lo in pick.sample(range(0, 200), 8)]
+    sane = rows + [((3, 5), 5, 5), ((3, 5), 5, 5)]
+    df = spark.createDataFrame(sane + [((None, 1), 1, 9), ((1, 9), 9, 1), ((1, 2), None, 2)], "id struct<user_id long, start long>, lo long, hi long")
+    want = {}
+    for (s, a, b) in sane:
+        for (t, c, d) in sane:
+            if s[0] < t[0] and a <= d and c <= b:
+                n, m = want.get((s[0], t[0]), (0, 0))
+                want[s[0], t[0]] = n + 1, m + min(b, d) - max(a, c)
+    found = overlap.together(df)
+    assert {(r[0], r[1]): (r[2], r[3]) for r in found.collect()} == want and found.count() == len(want)
+    assert "Join" not in found._jdf.queryExecution().optimizedPlan().toString()
+    assert overlap.together(df.where("false")).count() == 0
