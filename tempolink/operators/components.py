@@ -2,7 +2,7 @@
 
 Edges first shrink where they lie: a task joins up the edges of a bounded batch
 and passes on a spanning forest; if all came from one batch, that is the answer.
-Else every round hooks each vertex to the first of its neighbours and itself,
+What is left is one more batch if it fits into one.  Else every round hooks each vertex to the first of its neighbours and itself,
 follows the pointers a few steps, and contracts the edges to what still differs.
 First is the smallest number, which settles stars, or in most rounds the smallest
 hash, by which a long chain needs few rounds, however it is numbered.  Aggregates are partial before they shuffle, so
@@ -66,7 +66,7 @@ def _shrunk(edges: DataFrame) -> DataFrame:
         if n:
             yield joined(us, vs)
 
-    return edges.hint("rebalance").mapInArrow(run, "u long, v long, batch long")
+    return edges.mapInArrow(run, "u long, v long, batch long")
 
 
 def components(edges: DataFrame, scratch: Scratch, most_rounds: int = 60) -> DataFrame:
@@ -79,6 +79,12 @@ def components(edges: DataFrame, scratch: Scratch, most_rounds: int = 60) -> Dat
     edges = scratch.keep(_shrunk(edges.where("u <> v").select("u", "v")), **counts)
     pointers: list[DataFrame] = []
     while edges.counts["low"] != edges.counts["high"]:
+        if edges.counts["n"] <= BATCH:
+            batch = scratch.keep(_shrunk(edges.select("u", "v").coalesce(1)), **counts)
+            scratch.drop(edges)
+            edges = batch
+            if edges.counts["low"] == edges.counts["high"]:
+                break
         if len(pointers) == most_rounds:
             raise RuntimeError(f"components not settled after {most_rounds} rounds")
         by = len(pointers) % 3

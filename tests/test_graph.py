@@ -125,6 +125,29 @@ def test_components_of_a_long_chain_take_few_rounds(spark, tmp_path, monkeypatch
     assert got == {**dict.fromkeys(range(401), 0), 900: 900, 901: 900}
 
 
+@pytest.mark.parametrize("most", [4, 1 << 19])
+def test_what_fits_into_a_batch_needs_no_rounds(spark, monkeypatch, most):
+    """Edges of many tasks, few of them; with a smaller batch the rounds give the same."""
+    from tempolink.operators import components as module
+    from tempolink.sources.scratch import Scratch
+
+    monkeypatch.setattr(module, "BATCH", most)
+    merged = "spark.sql.adaptive.coalescePartitions.enabled"
+    spark.conf.set(merged, "false")
+    try:
+        links = spark.range(0, 60, 1, 12).select(F.pmod(F.col("id") * 7, F.lit(61)).alias("u"), F.pmod(F.col("id") * 7 + 7, F.lit(61)).alias("v")).where("u <> 30 AND v <> 30")
+        scratch = Scratch(spark, "few")
+        got = dict(map(tuple, module.components(links, scratch).collect()))
+    finally:
+        spark.conf.unset(merged)
+    up = {n: n for n in range(61)}
+    pairs = [tuple(r) for r in links.collect()]
+    for u, v in pairs * len(up):
+        up[u] = up[v] = min(up[u], up[v])
+    assert got == {n: up[n] for p in pairs for n in p}
+    assert (len(scratch.paths) <= 3) == (most > 4)
+
+
 def test_a_batch_shrinks_to_its_forest():
     from tempolink.operators.components import forest
 
