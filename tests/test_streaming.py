@@ -118,3 +118,38 @@ def test_silence_is_told_when_it_is_certain_and_after_a_restart(spark, tmp_path)
     last = [(7, at(1)), (7, at(4)), (7, at(8)), (8, at(2)), (8, at(4, 30)), (8, at(7, 30)), (9, at(5))]
     assert told == [(u, t, t + day) for u, t in last]
     assert "RocksDB" not in spark.conf.get("spark.sql.streaming.stateStore.providerClass")
+
+
+def test_a_users_batch_is_one_read_and_one_write_of_state():
+    """However many events: keyed state and timers cost a call to Spark each."""
+    calls, held, timers = [], [None], []
+
+    class State:
+        def get(self):
+            calls.append("get")
+            return held[0]
+
+        def update(self, value):
+            calls.append("update")
+            held[0] = value
+
+        def clear(self):
+            held[0] = None
+
+    class Handle:
+        getValueState = lambda self, *_: State()
+        registerTimer = lambda self, at: timers.append(at)
+
+    class Now:
+        def __init__(self, at):
+            self.getExpiryTimeInMs = self.getCurrentWatermarkInMs = lambda: at
+
+    silence = alerts.Silence(10_000)
+    silence.init(Handle())
+    list(silence.handleInputRows((7,), iter([{"at": 5000 * k} for k in [*range(1000), 2000, 3]]), Now(0)))
+    assert (calls, timers) == (["get", "update"], [10])
+    found = list(silence.handleExpiredTimer((7,), Now(5100), Now(5010)))
+    assert [(r["last"], r["due"]) for r in found] == [(4_995_000, 5_005_000)]
+    assert (held, timers) == ([([10_000_000],)], [10, 10_010])
+    assert len(list(silence.handleExpiredTimer((7,), Now(10_010), Now(10_010)))) == 1 and held == [None]
+    assert list(silence.handleExpiredTimer((7,), Now(10_010), Now(10_010))) == []
